@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import bpe, fingerprint, line_dedup, token_files
 from .common import read_table
 
 
@@ -14,8 +14,32 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op1(spark, read_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    """The public tokenizer file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op4(spark, read_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op5(spark, read_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op7(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_token_files": op4_token_files,
+        "op5_bpe": op5_bpe,
+        "op7_fingerprint": op7_fingerprint,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
