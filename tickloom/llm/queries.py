@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, line_dedup, token_files
+from . import bpe, fingerprint, line_dedup, token_files, toxicity
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op5(spark, read_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op7(spark, read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op4_token_files": op4_token_files,
         "op5_bpe": op5_bpe,
+        "op6_toxicity": op6_toxicity,
         "op7_fingerprint": op7_fingerprint,
     }
 
