@@ -12,24 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, WordSplitter, rejoin
 from .common import pieces, small_batches
 
 NEVER = np.iinfo(np.int32).max
-#: Unicode's White_Space, as the tokenizer's pattern has it.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|\n"
-
-
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if it is one, else the next from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -62,8 +55,7 @@ class WordBpe:
         first = np.full(self.size, NEVER, np.int64)
         np.minimum.at(first, np.concatenate([keys // self.size, keys % self.size]), np.tile(np.arange(len(keys)), 2))
         self.safe = first[made] > np.arange(len(made))
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.words = WordSplitter(self.special)
 
     def _ranks_of(self, sym: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """The rank of the pair that starts at each symbol; inside: the next symbol is of the same word."""
@@ -113,21 +105,10 @@ class WordBpe:
         order = np.argsort(out_word, kind="stable")
         return out_sym[order], np.cumsum(np.bincount(out_word, minlength=len(words)))
 
-    def _words(self, chunks: list[str]) -> list[str | int]:
-        """The words of all chunks in turn, special tokens as ids, and a line feed after each chunk."""
-        joined = "\n".join(chunks) + "\n"
-        out: list[str | int] = []
-        for piece in self.split_special.split(joined) if "<|" in joined else [joined]:
-            if piece in self.special:
-                out.append(self.special[piece])
-            else:
-                out += self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-        return out
-
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk (bytes without a line feed), little-endian 32-bit."""
-        parts = self._words([c.decode() for c in chunks])
-        known: dict[str | int, bytes] = {w: w.to_bytes(4, "little") for w in parts if isinstance(w, int)}
+        parts = self.words.split([c.decode() for c in chunks])
+        known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         words = list({w for w in parts if w not in known and w != "\n"})
         if words:
             flat, ends = self.merge([w.encode() for w in words])
@@ -135,14 +116,7 @@ class WordBpe:
             for w, end in zip(words, (4 * ends).tolist()):
                 known[w] = raw[at:end]
                 at = end
-        out, held = [], []
-        for w in parts:
-            if w == "\n":
-                out.append(b"".join(held))
-                held = []
-            else:
-                held.append(known[w])
-        return out
+        return rejoin(parts, known)
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens with one space between, as the library decodes for a file that names no decoder."""

@@ -5,11 +5,50 @@ For tokenizers that drop white space and lower-case, whose tokens never span whi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterable
+
+import regex
+
+#: Unicode's White_Space, as the tokenizer's pattern has it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|\n"
+
+
+class WordSplitter:
+    """The words that such a tokenizer makes of chunks, before it merges letters."""
+
+    def __init__(self, special: Iterable[str]):
+        self.special = set(special)
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special or ["\n"])) + ")")
+        self.words = regex.compile(WORDS)
+
+    def split(self, chunks: list[str]) -> list[str]:
+        """The words of all chunks in turn, special tokens whole, and a line feed after each chunk."""
+        joined = "\n".join(chunks) + "\n"
+        out: list[str] = []
+        for piece in self.at_special.split(joined) if "<|" in joined else [joined]:
+            if piece in self.special:
+                out.append(piece)
+            else:
+                out += self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+        return out
+
+
+def rejoin(words: list[str], ids: dict[str, bytes]) -> list[bytes]:
+    """The ids of each chunk from those of its words, as WordSplitter lists them."""
+    out, held = [], []
+    for w in words:
+        if w == "\n":
+            out.append(b"".join(held))
+            held = []
+        else:
+            held.append(ids[w])
+    return out
 
 
 class ChunkCache:
-    """Two generations of at most ``most`` chunks: those met lately stay, and memory is bounded."""
+    """Two generations of about ``most`` entries: what was met lately stays, and memory is bounded."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000, block: int = 50_000):
         self.encode, self.most, self.block = encode, most, block
@@ -22,14 +61,12 @@ class ChunkCache:
         # A special token is matched before lower-casing, so such a text keeps its case.
         return (raw if b"<|" in raw else raw.lower()).split()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as bytes."""
-        chunks = [self.split(t) for t in texts]
+    def look_up(self, wanted: Iterable) -> dict:
+        """A mapping that has all of ``wanted``, good until the next call."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young = self.young
-        new = []
-        for c in set().union(*chunks):
+        young, new = self.young, []
+        for c in wanted:
             if c not in young:
                 if c in self.old:
                     young[c] = self.old[c]
@@ -38,4 +75,10 @@ class ChunkCache:
         for k in range(0, len(new), self.block):
             part = new[k : k + self.block]
             young.update(zip(part, self.encode(part)))
-        return [b"".join([young[c] for c in t]) for t in chunks]
+        return young
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as bytes."""
+        chunks = [self.split(t) for t in texts]
+        known = self.look_up(set().union(*chunks))
+        return [b"".join([known[c] for c in t]) for t in chunks]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import ChunkCache, WordSplitter, rejoin
 from .common import new_path, parts_wanted, pieces, range_cuts, range_part, small_batches
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -34,7 +34,7 @@ MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 
 
 class Library:
-    """The tokenizers library over chunks of text, a batch of chunks a call."""
+    """The tokenizers library over the words of texts, a batch of words a call."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,14 +43,21 @@ class Library:
         self.model.no_padding()
         self.model.no_truncation()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache = ChunkCache(self._encode, block=2000)
+        self.words = WordSplitter(t.content for t in self.model.get_added_tokens_decoder().values())
+        self.met = ChunkCache(self._words, most=350_000, block=2000)
+        self.cache = ChunkCache(self._chunks)
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        got = self.model.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
+    def _words(self, words: list[str]) -> list[bytes]:
+        got = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(got.ids, self.kind).tobytes()
-        ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(chunks))) * self.kind.itemsize
+        ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))) * self.kind.itemsize
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """A chunk's words are encoded alone, as the library does; the words met lately are kept too."""
+        words = self.words.split([c.decode() for c in chunks])
+        return rejoin(words, self.met.look_up({w for w in words if w != "\n"}))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(i, self.kind) for i in self.cache.ids(texts)]
 
