@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, line_dedup, token_files, toxicity
+from . import bpe, fingerprint, jaccard_join, line_dedup, token_files, toxicity
 from .common import read_table
 
 
@@ -37,6 +37,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op7(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op8(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_fingerprint": op7_fingerprint,
+        "op8_jaccard_join": op8_jaccard_join,
     }
 
 
