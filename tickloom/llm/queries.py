@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, jaccard_join, line_dedup, token_files, toxicity
+from . import bpe, fingerprint, jaccard_join, line_dedup, lm_score, token_files, toxicity
 from .common import read_table
 
 
@@ -41,6 +41,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op8(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_fingerprint": op7_fingerprint,
         "op8_jaccard_join": op8_jaccard_join,
+        "op10_lm_score": op10_lm_score,
     }
 
 
