@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, jaccard_join, line_dedup, lm_score, token_files, toxicity
+from . import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, token_files, topk, toxicity
 from .common import read_table
 
 
@@ -45,17 +45,32 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op2(spark, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op3(spark, read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op9(spark, read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_topk": op2_topk,
+        "op3_html_text": op3_html_text,
         "op4_token_files": op4_token_files,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_fingerprint": op7_fingerprint,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_topk": topk.SQL}
