@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, token_files, topk, toxicity
@@ -69,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
+        "pipeline": corpus_pipeline.run,
     }
 
 
