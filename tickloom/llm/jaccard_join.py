@@ -14,9 +14,10 @@ On the cluster the same division is made in two places:
    over all their shingles with DivideSkip.
 
 Steps: equal sets are one node from the start. Rounds of (2) join what they can, each node in one
-of its lists, blocks bounded in size; a task sends on one edge a node at most. Lists that then
-still hold several components give the pairs left to verify, and these are verified one by one, so
-no link is lost: rounds only save pairs. Pairs within a component are never made.
+of its lists, blocks bounded in size. Where lists then still hold several components, the nodes of
+the smaller ones that share enough lists with another component are searched among that one's
+nodes, so no link is lost. Nodes within a component are never paired, and a task sends on at most
+one edge a node.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from .shingles import Shingler, set_id
 #: A shingle goes last if more than this share of all documents hold it (and this many at least).
 #: That bounds the list of such shingles by the mean number of shingles a document times 5000.
 HOT_SHARE, HOT_LEAST = 1 / 5000, 32
-#: Shared short lists that are asked for, if the set is large enough.
-MEET = 3
-BLOCK_ROWS, BLOCK_BYTES = 4096, 24 << 20
+#: Of a set of n shingles n * MEET // 100 short lists must be shared with a partner, 1 at least.
+MEET = 5
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 4096, 24 << 20, 3_000_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -46,7 +47,13 @@ def needed(n: int, percent: int) -> int:
 
 
 def meets(n: int) -> int:
-    return MEET if n >= 24 else 1
+    """h: the short lists that a set of n shingles shares with any partner as large."""
+    return max(1, n * MEET // 100)
+
+
+def least_meets(n: Column, percent: int) -> Column:
+    """h for the smallest partner of a set of n shingles."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * MEET / 100))
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -62,10 +69,6 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     return shingles[:k]
 
 
-def overlap_links(a: int, b: int, both: int, percent: int) -> bool:
-    return 100 * both >= percent * (a + b - both)
-
-
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -84,8 +87,8 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def links_in_block(sets: list[np.ndarray], percent: int, forest: Forest) -> None:
-    """Join all linked sets of the block in ``forest``, by DivideSkip for each set against those before it."""
+def links_in_block(sets: list[np.ndarray], percent: int, forest: Forest, begin: int = 1) -> None:
+    """Join linked sets of the block in ``forest``, by DivideSkip for each set from ``begin`` on against those before it."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
@@ -99,7 +102,7 @@ def links_in_block(sets: list[np.ndarray], percent: int, forest: Forest) -> None
     roots = np.arange(len(sets))
     for i in range(len(sets)):
         roots[i] = forest.root(i)
-    for i in range(1, len(sets)):
+    for i in range(begin, len(sets)):
         n = int(sizes[i])
         t = needed(n, percent)
         mine = token[ends[i] - n : ends[i]]
@@ -237,24 +240,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
     yield from search()
 
 
-def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (query, label, partner_label, node, text) sorted by query, the query's own text (label null) first."""
-    shingler, query, own, seen = Shingler(size), None, [], set()
-    for batch in pieces(batches, 4, 1 << 20):
-        found: set[tuple[int, int]] = set()
-        sets = shingler.sets(batch.column(4).to_pylist())
-        for q, label, other, node, s in zip(*(batch.column(k).to_pylist() for k in range(4)), sets):
-            if q != query:
-                query, own, seen = q, [], set()
+def _against(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (component, chunk, visitor, node, label, text) sorted so: edges between a chunk's members and its visitors.
+
+    The members of a chunk are bounded; its visitors come in turns, as many at a time.
+    """
+    shingler, key = Shingler(size), None
+    members: list[np.ndarray] = []
+    visitors: list[np.ndarray] = []
+    labels: list[int] = []
+    held = 0
+
+    def search() -> Iterator[pa.RecordBatch]:
+        if not members or not visitors:
+            return
+        n = len(members)
+        forest = Forest(n + len(visitors))
+        for i in range(1, n):
+            forest.join(0, i)
+        links_in_block(members + visitors, percent, forest, begin=n)
+        # Visitors that hang together without the members are joined by an edge of their own.
+        edges = {(label, key[0] if (r := forest.root(n + i)) < n else labels[r - n]) for i, label in enumerate(labels)}
+        edges = [e for e in edges if e[0] != e[1]]
+        if edges:
+            yield pa.record_batch({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+    for batch in pieces(batches, 5, 1 << 20):
+        sets = shingler.sets(batch.column(5).to_pylist())
+        for component, chunk, visitor, node, label, s in zip(*(batch.column(k).to_pylist() for k in range(5)), sets):
+            if key != (component, chunk):
+                yield from search()
+                key, members, visitors, labels, held = (component, chunk), [], [], [], 0
             if set_id(s) != node:
                 continue  # the text of another row with this node's document id
-            if label is None:
-                own = s
-            elif (label, other) not in seen and len(own) and overlap_links(len(own), len(s), len(np.intersect1d(own, s, assume_unique=True)), percent):
-                seen.add((label, other))
-                found.add((label, other))
-        if found:
-            yield pa.record_batch({"u": pa.array([e[0] for e in found], pa.int64()), "v": pa.array([e[1] for e in found], pa.int64())})
+            if not visitor:
+                members.append(s)
+                continue
+            visitors.append(s)
+            labels.append(label)
+            held += len(s)
+            if held > BLOCK_SHINGLES or len(visitors) >= BLOCK_ROWS:
+                yield from search()
+                visitors, labels, held = [], [], 0
+    yield from search()
 
 
 def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -302,8 +330,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = stash(sorted_lists.mapInArrow(_shared, "shingle long, node long, n long"), "short-lists")
 
     # The texts of nodes that met others often enough, one text a node.
-    times = F.when(F.col("n") >= 24, MEET).otherwise(1)
-    met = lists.groupBy("node").agg(F.count("*").alias("met"), F.max("n").alias("n")).where(F.col("met") >= F.least(times, F.lit(1))).select("node")
+    met = lists.groupBy("node").agg(F.count("*").alias("met"), F.max("n").alias("n")).where(F.col("met") >= least_meets(F.col("n"), percent)).select("node")
+    met = stash(met, "met-nodes")
+    lists = stash(lists.join(met, "node", "left_semi"), "met-lists")
     holders = members.join(met, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     some = stash(texts.join(holders, "doc_id").select("node", "n", "text"), "candidate-texts")
 
@@ -324,29 +353,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _left_links(spark: SparkSession, lists: DataFrame, labels: DataFrame | None, some: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between labels among the pairs that still share short lists across labels."""
-    rows = stash(_labelled(lists, labels), "open-lists")
-    top = rows.groupBy("shingle").agg(F.mode("label", True).alias("top"))
-    minor = rows.join(top, "shingle").where("label <> top").select("shingle", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("label").alias("ql"), "top")
-    fits: Column = (100 * F.least("qn", "n") >= percent * F.greatest("qn", "n")) & (F.col("ql") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("q") < F.col("node")))
-    meet = F.when(F.least("qn", "n") >= 24, MEET).otherwise(1)
-    key = [F.least("q", "node").alias("q"), F.greatest("q", "node").alias("node")]
-    swap = F.col("q") > F.col("node")
-    pairs = (
-        minor.join(rows, "shingle")
-        .where(fits)
-        .select(*key, meet.alias("meet"), F.when(swap, F.col("label")).otherwise(F.col("ql")).alias("ql"), F.when(swap, F.col("ql")).otherwise(F.col("label")).alias("label"))
-        .groupBy("q", "node")
-        .agg(F.count("*").alias("met"), F.max("meet").alias("meet"), F.first("ql").alias("ql"), F.first("label").alias("label"))
-        .where("met >= meet")
-        .select("q", "node", "ql", "label")
+    """Links between labels that still share short lists, found among all their nodes that do.
+
+    Of two such labels the one with fewer nodes visits the other: each of its nodes that shares
+    enough lists with the other's nodes together is searched among these, in chunks of bounded size.
+    """
+    rows = _labelled(lists, labels).select("shingle", "node", "n", "label")
+    rows = stash(rows, "open-lists")
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    sized = rows.join(sizes.select("label", "nodes"), "label")
+    spans = sized.groupBy("shingle", F.col("label").alias("home")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("nodes").alias("home_nodes"))
+    fewer = (F.col("nodes") < F.col("home_nodes")) | ((F.col("nodes") == F.col("home_nodes")) & (F.col("label") < F.col("home")))
+    fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
+    visits = (
+        sized.join(spans, "shingle")
+        .where(fewer & fits)
+        .groupBy("node", "home")
+        .agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("label").alias("label"))
+        .where(F.col("met") >= least_meets(F.col("n"), percent))
+        .select("node", "home", "label")
     )
-    pairs = stash(pairs, "open-pairs")
-    nothing = F.lit(None).cast("long")
-    own = pairs.select(F.col("q").alias("node")).distinct().join(some, "node").select(F.col("node").alias("q"), nothing.alias("ql"), nothing.alias("label"), "node", "text")
-    others = pairs.join(some, "node").select("q", "ql", "label", "node", "text")
-    placed = own.unionByName(others).repartition(parts_wanted(spark), "q").sortWithinPartitions("q", F.asc_nulls_first("ql"))
-    return stash(placed.mapInArrow(lambda b: _verify(b, words, percent), "u long, v long"), "links")
+    visits = stash(visits, "visits")
+    chunks = sizes.select(F.col("label").alias("home"), F.ceil(F.greatest(F.col("nodes") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).alias("chunks"))
+    homes = visits.select("home").distinct().join(chunks, "home")
+    members = nodes.join(homes, nodes["label"] == homes["home"]).select("home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("visitor"), "node", "label")
+    visitors = visits.join(homes, "home").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "node", "label")
+    placed = members.unionByName(visitors).join(some, "node").select("home", "chunk", "visitor", "node", "label", "text")
+    placed = placed.repartition(parts_wanted(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "visitor")
+    return stash(placed.mapInArrow(lambda b: _against(b, words, percent), "u long, v long"), "links")
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -14,20 +14,42 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class WordHashes:
-    """Hashes of words, kept a while."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
-
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set().union(*texts):
-            if w not in known:
-                known[w] = digest(w)
-        return [np.fromiter(map(known.__getitem__, t), np.uint64, len(t)) for t in texts]
+#: A random value for each byte, and a base (odd, so it has an inverse) of the polynomial hash of words.
+BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+BASE = 0x5851F42D4C957F2D
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+VALUES = BYTES[SMALL]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2^64."""
+    out = np.ones(1, np.uint64)
+    step = base
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(step)])
+        step = step * step % (1 << 64)
+    return out[:n]
+
+
+def word_hashes(texts: list[bytes], up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of all texts in turn, and how many words each text has.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the whole buffer.
+    """
+    x = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = BLANK[x]
+    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(VALUES[x] * down[: len(x)], out=sums[1:])
+    h = (sums[end] - sums[start]) * up[end - 1]
+    h = (h ^ (h >> np.uint64(32))) * MIX + (end - start).astype(np.uint64)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    count = np.diff(np.r_[0, np.searchsorted(start, bounds)])
+    return h, count
 
 
 def _mixed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -35,16 +57,13 @@ def _mixed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * STEP
 
 
-def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """The distinct shingles, ascending; of fewer words than ``size`` the whole sequence is one; of none, none."""
-    if not len(words):
-        return words
-    k = min(size, len(words))
+def _rolled(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k words in a row."""
     n = len(words) - k + 1
-    x = np.full(n, k, np.uint64)
-    for i in range(k):
+    x = np.full(max(n, 0), k, np.uint64)
+    for i in range(k if n > 0 else 0):
         x = _mixed(x, words[i : i + n])
-    return np.unique(x ^ (x >> np.uint64(32)))
+    return x ^ (x >> np.uint64(32))
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -54,10 +73,36 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 class Shingler:
-    """Shingle sets of texts; keeps the hashes of words met lately."""
+    """Shingle sets of texts: the distinct runs of ``size`` words, ascending, as hashes.
+
+    Of fewer words the whole sequence is one shingle; of none there is none.
+    """
 
     def __init__(self, size: int):
-        self.size, self.hashes = size, WordHashes()
+        self.size = size
+        self.up = self.down = np.ones(1, np.uint64)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [shingle_set(w, self.size) for w in self.hashes.of([words_of(t) for t in texts])]
+        raw = [(t or "").encode() for t in texts]
+        total = sum(map(len, raw)) + len(raw) + 1
+        if total > len(self.up):
+            n = 1 << total.bit_length()
+            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        words, count = word_hashes(raw, self.up, self.down)
+        rolled = _rolled(words, self.size)
+        out, at = [], 0
+        for n in count.tolist():
+            if n >= self.size:
+                out.append(_distinct(rolled[at : at + n - self.size + 1]))
+            else:
+                out.append(_rolled(words[at : at + n], n) if n else words[:0])
+            at += n
+        return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
