@@ -34,22 +34,37 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def word_hashes(texts: list[bytes], up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of all texts in turn, and how many words each text has.
+class WordHasher:
+    """Hashes of all words of texts at once.
 
     A word's hash is a polynomial in its bytes, taken from running sums over the whole buffer.
     """
-    x = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = BLANK[x]
-    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(VALUES[x] * down[: len(x)], out=sums[1:])
-    h = (sums[end] - sums[start]) * up[end - 1]
-    h = (h ^ (h >> np.uint64(32))) * MIX + (end - start).astype(np.uint64)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    count = np.diff(np.r_[0, np.searchsorted(start, bounds)])
-    return h, count
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every word's hash in turn, how many words each text has, and every word's last three bytes as a number."""
+        raw = [(t or "").encode() for t in texts]
+        x = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        if len(x) > len(self.up):
+            n = 1 << len(x).bit_length()
+            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        blank = BLANK[x]
+        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(VALUES[x] * self.down[: len(x)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.up[end - 1]
+        size = end - start
+        h = (h ^ (h >> np.uint64(32))) * MIX + size.astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        small = SMALL[x]
+        tail = small[end - 1].astype(np.int64)
+        for k in (2, 3):
+            tail |= np.where(size >= k, small[np.maximum(end - k, 0)].astype(np.int64), 0) << 8 * (k - 1)
+        bounds = np.cumsum([len(t) + 1 for t in raw])
+        return h, np.diff(np.r_[0, np.searchsorted(start, bounds)]), tail
 
 
 def _mixed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -79,16 +94,10 @@ class Shingler:
     """
 
     def __init__(self, size: int):
-        self.size = size
-        self.up = self.down = np.ones(1, np.uint64)
+        self.size, self.hasher = size, WordHasher()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        raw = [(t or "").encode() for t in texts]
-        total = sum(map(len, raw)) + len(raw) + 1
-        if total > len(self.up):
-            n = 1 << total.bit_length()
-            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
-        words, count = word_hashes(raw, self.up, self.down)
+        words, count, _ = self.hasher.of(texts)
         rolled = _rolled(words, self.size)
         out, at = [], 0
         for n in count.tolist():
