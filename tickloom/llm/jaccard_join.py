@@ -14,9 +14,9 @@ On the cluster the same division is made in two places:
    over all their shingles with DivideSkip.
 
 Steps: equal sets are one node from the start. Rounds of (2) join what they can, each node in one
-of its lists, blocks bounded in size. Where lists then still hold several components, the nodes of
-the smaller ones that share enough lists with another component are searched among that one's
-nodes, so no link is lost. Nodes within a component are never paired, and a task sends on at most
+of its lists, blocks bounded in size. Where lists then still hold several components, their nodes
+are searched among the nodes of every other component with which they share enough lists, small
+components taken together, so no link is lost. No pair is ever a row, and a task sends on at most
 one edge a node.
 """
 
@@ -39,6 +39,7 @@ HOT_SHARE, HOT_LEAST = 1 / 5000, 32
 #: Of a set of n shingles n * MEET // 100 short lists must be shared with a partner, 1 at least.
 MEET = 5
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 4096, 24 << 20, 3_000_000
+HOME_NODES = 256
 
 
 def needed(n: int, percent: int) -> int:
@@ -241,47 +242,44 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 
 
 def _against(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (component, chunk, visitor, node, label, text) sorted so: edges between a chunk's members and its visitors.
+    """Rows (home, chunk, visitor, node, label, text) sorted so: edges that join labels of a chunk's members and visitors.
 
     The members of a chunk are bounded; its visitors come in turns, as many at a time.
     """
     shingler, key = Shingler(size), None
-    members: list[np.ndarray] = []
-    visitors: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
     labels: list[int] = []
-    held = 0
+    members = held = 0
 
     def search() -> Iterator[pa.RecordBatch]:
-        if not members or not visitors:
+        if not members or len(sets) == members:
             return
-        n = len(members)
-        forest = Forest(n + len(visitors))
-        for i in range(1, n):
-            forest.join(0, i)
-        links_in_block(members + visitors, percent, forest, begin=n)
-        # Visitors that hang together without the members are joined by an edge of their own.
-        edges = {(label, key[0] if (r := forest.root(n + i)) < n else labels[r - n]) for i, label in enumerate(labels)}
+        forest, first = Forest(len(sets)), {}
+        for i, label in enumerate(labels):
+            forest.join(first.setdefault(label, i), i)
+        links_in_block(sets, percent, forest, begin=members)
+        edges = {(label, labels[forest.root(i)]) for i, label in enumerate(labels)}
         edges = [e for e in edges if e[0] != e[1]]
         if edges:
             yield pa.record_batch({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
     for batch in pieces(batches, 5, 1 << 20):
-        sets = shingler.sets(batch.column(5).to_pylist())
-        for component, chunk, visitor, node, label, s in zip(*(batch.column(k).to_pylist() for k in range(5)), sets):
-            if key != (component, chunk):
+        found = shingler.sets(batch.column(5).to_pylist())
+        for home, chunk, visitor, node, label, s in zip(*(batch.column(k).to_pylist() for k in range(5)), found):
+            if key != (home, chunk):
                 yield from search()
-                key, members, visitors, labels, held = (component, chunk), [], [], [], 0
+                key, sets, labels, members, held = (home, chunk), [], [], 0, 0
             if set_id(s) != node:
                 continue  # the text of another row with this node's document id
+            sets.append(s)
+            labels.append(label)
             if not visitor:
-                members.append(s)
+                members += 1
                 continue
-            visitors.append(s)
-            labels.append(label)
             held += len(s)
-            if held > BLOCK_SHINGLES or len(visitors) >= BLOCK_ROWS:
+            if held > BLOCK_SHINGLES or len(sets) - members >= BLOCK_ROWS:
                 yield from search()
-                visitors, labels, held = [], [], 0
+                sets, labels, held = sets[:members], labels[:members], 0
     yield from search()
 
 
@@ -355,33 +353,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _left_links(spark: SparkSession, lists: DataFrame, labels: DataFrame | None, some: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between labels that still share short lists, found among all their nodes that do.
 
-    Of two such labels the one with fewer nodes visits the other: each of its nodes that shares
-    enough lists with the other's nodes together is searched among these, in chunks of bounded size.
+    Every label has a home: a large one its own, small ones share homes of about HOME_NODES nodes.
+    Of two homes with open lists in common, the smaller one's nodes that share enough lists with the
+    other's together visit it, and small labels visit their own home; so rows grow with nodes and
+    homes, not with pairs. A home is searched in chunks of bounded size.
     """
     rows = _labelled(lists, labels).select("shingle", "node", "n", "label")
     rows = stash(rows, "open-lists")
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
-    sizes = nodes.groupBy("label").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
-    sized = rows.join(sizes.select("label", "nodes"), "label")
-    spans = sized.groupBy("shingle", F.col("label").alias("home")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("nodes").alias("home_nodes"))
-    fewer = (F.col("nodes") < F.col("home_nodes")) | ((F.col("nodes") == F.col("home_nodes")) & (F.col("label") < F.col("home")))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("nodes"))
+    small = F.col("nodes") <= HOME_NODES // 4
+    few = sizes.where(small).agg(F.sum("nodes").alias("n")).first()["n"] or 0
+    shared = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-few // HOME_NODES))))
+    housed = stash(nodes.join(sizes, "label").select("node", "label", "n", small.alias("small"), F.when(small, shared).otherwise(F.col("label")).alias("home")), "homes")
+    homes = housed.groupBy("home").agg(F.count("*").alias("nodes"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+    placed = rows.select("shingle", "node").join(housed, "node").join(homes.select("home", "nodes"), "home")
+    spans = placed.groupBy("shingle", "home", "nodes").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnsRenamed({"home": "to", "nodes": "to_nodes"})
+    fewer = (F.col("nodes") < F.col("to_nodes")) | ((F.col("nodes") == F.col("to_nodes")) & (F.col("home") < F.col("to")))
     fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
-    visits = (
-        sized.join(spans, "shingle")
-        .where(fewer & fits)
-        .groupBy("node", "home")
-        .agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("label").alias("label"))
-        .where(F.col("met") >= least_meets(F.col("n"), percent))
-        .select("node", "home", "label")
-    )
-    visits = stash(visits, "visits")
-    chunks = sizes.select(F.col("label").alias("home"), F.ceil(F.greatest(F.col("nodes") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).alias("chunks"))
-    homes = visits.select("home").distinct().join(chunks, "home")
-    members = nodes.join(homes, nodes["label"] == homes["home"]).select("home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("visitor"), "node", "label")
-    visitors = visits.join(homes, "home").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "node", "label")
-    placed = members.unionByName(visitors).join(some, "node").select("home", "chunk", "visitor", "node", "label", "text")
-    placed = placed.repartition(parts_wanted(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "visitor")
-    return stash(placed.mapInArrow(lambda b: _against(b, words, percent), "u long, v long"), "links")
+    visits = placed.join(spans, "shingle").where(fewer & fits).groupBy("node", "to").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("label").alias("label"))
+    visits = visits.where(F.col("met") >= least_meets(F.col("n"), percent)).select("node", F.col("to").alias("home"), "label")
+    visits = stash(visits.unionByName(housed.where("small").select("node", "home", "label")), "visits")
+    called = visits.select("home").distinct().join(homes.select("home", "chunks"), "home")
+    members = housed.join(called, "home").select("home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("visitor"), "node", "label")
+    visitors = visits.join(called, "home").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "node", "label")
+    dealt = members.unionByName(visitors).join(some, "node").select("home", "chunk", "visitor", "node", "label", "text")
+    dealt = dealt.repartition(parts_wanted(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "visitor")
+    return stash(dealt.mapInArrow(lambda b: _against(b, words, percent), "u long, v long"), "links")
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
