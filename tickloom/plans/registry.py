@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from tickloom.plans import tick_queries
+
+FLAGSHIP = "digit_uniformity"
+GROUPS = [tick_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for g in GROUPS for name, q in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in GROUPS for name, sql in g.ORACLE.items()}
