@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import bar_queries, contract_queries, research_queries, tick_queries
+from tickloom.plans import bar_queries, contract_queries, port_queries, research_queries, tick_queries
 
 FLAGSHIP = "digit_uniformity"
-GROUPS = [tick_queries, contract_queries, bar_queries, research_queries]
+GROUPS = [tick_queries, contract_queries, bar_queries, research_queries, port_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
