@@ -86,7 +86,7 @@ def _regress(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarra
     Both classes weigh the same, so the odds are those of a text as likely toxic as not beforehand.
     """
     n, k = len(y), len(value)
-    v = value[cols]
+    v = value.astype(np.float32)[cols]
     w, b = np.zeros(k), 0.0
     each = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     size = np.bincount(rows, v * v, n)
@@ -129,11 +129,12 @@ def fit(sample: DataFrame, keep: int = 16_384, smooth: float = 0.25, penalty: fl
             each = np.split(f.astype("<u2"), np.cumsum(np.bincount(owner, minlength=batch.num_rows))[:-1])
             yield pa.record_batch({"toxic": batch.column(0), "features": pa.array([e.tobytes() for e in each], pa.binary())})
 
-    rows = sample.mapInArrow(of_sample, "toxic int, features binary").collect()
-    each = [np.frombuffer(bytes(r["features"]), "<u2") for r in rows]
-    where = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    cols = np.concatenate(each).astype(np.int64)
-    w, b = _regress(where, cols, value, np.array([float(r["toxic"]) for r in rows]), penalty, steps)
+    rows = sample.mapInArrow(of_sample, "toxic int, features binary").toArrow()
+    y = np.array([float(t) for t in rows.column(0).to_pylist()])
+    sizes = [len(f) // 2 for f in rows.column(1).to_pylist()]
+    cols = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u2").astype(np.int32)
+    del rows
+    w, b = _regress(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), cols, value, y, penalty, steps)
     return Model(slots, w * value, b)
 
 
@@ -167,7 +168,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fold: int, held_out: int, max_d
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, max_docs: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, max_docs: int = 8_000) -> Model:
     return fit(labelled(docs, labels, fold, held_out, max_docs).coalesce(16))
 
 
