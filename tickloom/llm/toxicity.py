@@ -105,7 +105,7 @@ def _regress(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarra
     return w, b
 
 
-def fit(sample: DataFrame, keep: int = 16_384, smooth: float = 0.25, penalty: float = 3e-5, steps: int = 400) -> Model:
+def fit(sample: DataFrame, keep: int = 6_000, smooth: float = 0.25, penalty: float = 3e-5, steps: int = 250) -> Model:
     """A model from a bounded sample of (toxic int, text). Without both classes only the bias is learnt."""
     spark = sample.sparkSession
     small_batches(spark)
