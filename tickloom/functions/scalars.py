@@ -117,8 +117,8 @@ def in_session(ts: Column, start_hour: int, end_hour: int, monday: bool = True,
 
 def lots(risk_money: Column, loss_per_lot: Column, step: Column, least: Column, most: Column, cap: Column) -> Column:
     """Lots for a risk: down to a step, at least ``least``, at most ``most`` and the cap. No loss, no lots."""
-    raw = F.floor(F.try_divide(risk_money, F.when(loss_per_lot > 0, loss_per_lot)) / step) * step
-    return F.coalesce(F.least(F.least(F.greatest(raw, least), most), F.when(cap > 0, cap).otherwise(most)), F.lit(0.0))
+    raw = F.floor(F.try_divide(risk_money, loss_per_lot) / step) * step
+    return F.when(loss_per_lot > 0, F.least(F.greatest(raw, least), most, F.when(cap > 0, cap).otherwise(most))).otherwise(0.0)
 
 
 def widened_stop(distance: Column, broker_least: Column) -> Column:
