@@ -102,9 +102,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Null or empty text: one empty line, so ``kept`` is empty, ``n_lines`` 1.
     * Rows with a null id pass through whole and are counted nowhere.
     * Rows of one id count as one document; a row repeated is treated as often as it stands.
-    * Empty table: empty result. Other columns pass through; internal names start with ``_ld_``.
+    * Empty table: empty result. Other columns pass through, but for those named like a result,
+      which are replaced; internal names start with ``_ld_``.
     """
     spark = docs.sparkSession
+    docs = docs.drop("kept", "n_lines", "n_dropped")
     marked = docs.withColumn("_ld_id", F.col(id_col).cast("long")).withColumn("_ld_text", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     long_lines = (

@@ -139,9 +139,15 @@ def fit(sample: DataFrame, keep: int = 6_000, smooth: float = 0.25, penalty: flo
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability that each text is toxic. Null text counts as empty; other columns pass through."""
+    """``docs`` with the probability that each text is toxic.
+
+    * Null or empty text: the probability of a text without any kept n-gram.
+    * Repeated rows and null ids: scored as they stand. Empty table: empty result.
+    * Other columns pass through; one named as the result is replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop(out)
     sent = spark.sparkContext.broadcast(model)
     k = docs.columns.index(text_col)
 
