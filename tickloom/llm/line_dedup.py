@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, LOWER, UPPER, new_path, parts_wanted, range_cuts, range_part, remove, stash
 
 HASHES = ["_h1", "_h2"]
+SENT = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -123,8 +124,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(len(cuts) + 1):
         counted = keys.where(F.col("_batch") == b).groupBy(*HASHES).agg(F.countDistinct("_ld_id").alias("n_docs"), F.max("_ld_id").alias("keeper"))
         runs.add(counted)
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select(*HASHES, "keeper")
-    drops = keys.join(common, HASHES).where("_ld_id <> keeper").groupBy("_ld_id", "_ld_text").agg(F.collect_set("_pos").alias("_ld_drop"))
+    common = stash(runs.merged().where(F.col("n_docs") >= min_docs), "common-lines")
+    # Lines with a share of 1 / SENT or more of all are at most SENT, so they are sent to every task.
+    bound = keys.count() / SENT
+    sent = common.where(F.col("n_docs") >= bound).select(*HASHES, F.col("keeper").alias("_sent"))
+    held = keys.join(F.broadcast(sent), HASHES, "left")
+    rest = held.where("_sent is null").drop("_sent").join(common.where(F.col("n_docs") < bound).select(*HASHES, "keeper"), HASHES)
+    found = held.where("_sent is not null").withColumnRenamed("_sent", "keeper").unionByName(rest)
+    drops = found.where("_ld_id <> keeper").groupBy("_ld_id", "_ld_text").agg(F.collect_set("_pos").alias("_ld_drop"))
     joined = marked.join(drops, ["_ld_id", "_ld_text"], "left").withColumn("_ld_lines", lines)
     n, drop = F.size("_ld_lines"), F.coalesce("_ld_drop", F.array().cast("array<int>"))
     places = F.array_except(F.sequence(F.lit(0), n - 1), drop)
