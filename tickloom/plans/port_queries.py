@@ -13,7 +13,7 @@ from tickloom.operators import contracts as C
 from tickloom.operators import ports as P
 from tickloom.operators import signals as S
 from tickloom.plans.bar_queries import FRAME, RECURSION
-from tickloom.plans.research_queries import _bias
+from tickloom.plans.research_queries import WEEKS, _bias
 from tickloom.sources import files
 from tickloom.sources.tables import BARS, TICKS, bars, table, ticks
 from tickloom.streaming import bars as stream_bars
@@ -112,9 +112,13 @@ def price_segment(spark, d):
 PAYOUTS = paper.payout_map(C.FALLBACK)
 
 
+def _ledger(rows):
+    """Rows without nulls: -1 for no barrier or payout, false for what was not won."""
+    return rows.select("symbol", "n", "i", "contract", F.coalesce("barrier", F.lit(-1)).alias("barrier"), F.coalesce("won", F.lit(False)).alias("won"), *_r(6, "stake"), F.coalesce("payout", F.lit(-1.0)).alias("payout"), *_r(6, "bankroll", "drawdown"), "status")
+
+
 def paper_trader_batch(spark, d):
-    rows = paper.paper_batch(ticks(spark, d).select("symbol", "i", "price"), PAYOUTS, strategy="even", martingale=True)
-    return rows.withColumns({"barrier": F.coalesce("barrier", F.lit(-1)), "won": F.coalesce("won", F.lit(False))})
+    return _ledger(paper.paper_batch(ticks(spark, d).select("symbol", "i", "price"), PAYOUTS, strategy="even", martingale=True))
 
 
 def paper_trader_summary(spark, d):
@@ -137,8 +141,7 @@ def paper_trader_stream(spark, d):
     third = F.floor(F.col("i") * 3 / (rows.agg(F.max("i").alias("m")).first()["m"] + 1))
     for k in range(3):
         rows.where(third == k).coalesce(1).write.mode("append").parquet(feed)
-    out = _streamed(spark, feed, lambda s: paper.paper_stream(s, PAYOUTS, strategy="even", martingale=True), rows.schema)
-    return out.withColumns({"barrier": F.coalesce("barrier", F.lit(-1)), "won": F.coalesce("won", F.lit(False))})
+    return _ledger(_streamed(spark, feed, lambda s: paper.paper_stream(s, PAYOUTS, strategy="even", martingale=True), rows.schema))
 
 
 def stream_bars_4h(spark, d):
@@ -175,11 +178,25 @@ _PAIRS = ", ".join(f"('{e['pair']}', '{e['bias']}', '{p['as_of']}')" for p in PA
 _CODE = "CASE upper(bias) WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END"
 _LABEL = "CASE code WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' WHEN 9 THEN 'BLOCK' ELSE 'UNCERTAIN' END"
 #: The weekly mean, over the weeks of the bars.
-HTF = f"""WITH RECURSIVE {BARS}, wk AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS u, arg_max(close, date) AS close, row_number() OVER (PARTITION BY symbol ORDER BY CAST(date_trunc('week', date) AS DATE)) - 1 AS k FROM bars GROUP BY symbol, CAST(date_trunc('week', date) AS DATE)),
+_HTF = """wk AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS u, arg_max(close, date) AS close, row_number() OVER (PARTITION BY symbol ORDER BY CAST(date_trunc('week', date) AS DATE)) - 1 AS k FROM bars GROUP BY symbol, CAST(date_trunc('week', date) AS DATE)),
 em AS (SELECT symbol, k, close, close AS e FROM wk WHERE k = 0 UNION ALL SELECT wk.symbol, wk.k, wk.close, em.e + (2::DOUBLE / 51) * (wk.close - em.e) FROM em JOIN wk ON wk.symbol = em.symbol AND wk.k = em.k + 1),
 hd AS (SELECT w.symbol, w.u, CAST(sign(em.close - em.e) AS INT) AS dir FROM wk w JOIN em ON em.symbol = w.symbol AND em.k = w.k - 1),
 hx AS (SELECT bars.symbol, bars.date, coalesce(hd.dir, 0) AS htf_dir FROM bars LEFT JOIN hd ON hd.symbol = bars.symbol AND hd.u = CAST(date_trunc('week', bars.date) AS DATE))"""
 
+#: The trader with strategy "even" and doubled stakes, tick by tick: state after each tick, and its ledger row if there is one.
+_PAPER = f"""WITH RECURSIVE {TICKS}, dg AS (SELECT symbol, i, CAST(round_even(price * 100, 0) AS BIGINT) % 10 AS digit FROM ticks),
+pt AS (
+  SELECT symbol, -1::BIGINT AS i, 10::DOUBLE AS bank, 0 AS losses, 10::DOUBLE AS peak, 0::DOUBLE AS dd, -1::BIGINT AS exit_i, 0::DOUBLE AS staked, 0 AS n, '' AS done, false AS row, NULL::BOOLEAN AS won, 0::DOUBLE AS stake FROM (SELECT DISTINCT symbol FROM dg)
+  UNION ALL
+  SELECT symbol, i, bank, losses, peak, dd, CASE WHEN opens THEN i + 2 WHEN settled THEN -1 ELSE exit_i END, CASE WHEN opens THEN want ELSE staked END, n, CASE WHEN ended <> '' THEN ended WHEN decides AND want > bank THEN 'unfunded' ELSE '' END,
+    (settled OR decides AND want > bank) AND was = '', CASE WHEN settled THEN hit END, CASE WHEN settled THEN staked ELSE want END
+  FROM (SELECT *, decides AND want <= bank AS opens FROM (SELECT *, ended = '' AND (exit_i < 0 OR settled) AND i >= 5 AS decides, 0.35::DOUBLE * pow(2, losses) AS want FROM (
+    SELECT *, CASE WHEN was <> '' THEN was WHEN settled AND bank < 0.35 THEN 'ruined' WHEN settled AND n >= 200 THEN 'finished' ELSE '' END AS ended FROM (
+      SELECT * REPLACE (greatest(peak, bank) AS peak, CASE WHEN settled THEN greatest(dd, greatest(peak, bank) - bank) ELSE dd END AS dd) FROM (
+        SELECT symbol, i, was, settled, hit, exit_i, staked, peak, dd, CASE WHEN NOT settled THEN bank WHEN hit THEN bank + staked * (1.95::DOUBLE - 1) ELSE bank - staked END AS bank, CASE WHEN NOT settled THEN losses WHEN hit THEN 0 ELSE losses + 1 END AS losses, n + CAST(settled AS INT) AS n FROM (
+          SELECT dg.symbol, dg.i, pt.bank, pt.losses, pt.peak, pt.dd, pt.exit_i, pt.staked, pt.n, pt.done AS was, pt.done = '' AND pt.exit_i >= 0 AND dg.i >= pt.exit_i AS settled, dg.digit % 2 = 0 AS hit FROM pt JOIN dg ON dg.symbol = pt.symbol AND dg.i = pt.i + 1)))))))
+,lg AS (SELECT symbol, n, i, won, round(stake, 6) AS stake, CASE WHEN won IS NOT NULL THEN 1.95::DOUBLE ELSE -1 END AS payout, round(bank, 6) AS bankroll, round(dd, 6) AS drawdown, CASE WHEN done = '' THEN 'open' ELSE done END AS status FROM pt WHERE row)"""
+
 ORACLE = {
     "daily_breaker": """WITH e AS (SELECT event_type AS symbol, event_id AS seq, ts, value + 1000 AS equity FROM events), s AS (SELECT *, first_value(equity) OVER w AS day_start FROM e WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq)),
         r AS (SELECT *, (day_start - equity) / day_start * 100 AS dd FROM s) SELECT symbol, seq, round(day_start, 6) AS day_start, round(dd, 6) AS drawdown_pct, bool_or(dd >= 5) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq) AS halted FROM r""",
@@ -189,7 +206,12 @@ ORACLE = {
     "bias_json": f"WITH b(pair, bias, as_of) AS (VALUES {_PAIRS}), c AS (SELECT *, {_CODE} AS code FROM b) SELECT *, {_LABEL} AS label FROM c",
     "effective_bias": f"""WITH b(pair, bias, as_of) AS (VALUES {_PAIRS}), m(pair, valid, fallback, manual) AS (VALUES {", ".join(f"('{p}', {str(v).lower()}, '{f}', {n})" for p, v, f, n in MODES)}),
         c AS (SELECT m.pair, valid, fallback, CASE WHEN valid AND bias IS NOT NULL THEN {_CODE} WHEN fallback = 'BLOCK' THEN 9 WHEN fallback = 'MANUAL' THEN manual ELSE 0 END AS code FROM m LEFT JOIN b ON b.pair = m.pair AND as_of = '2024-05-31') SELECT *, {_LABEL} AS label FROM c""",
-    "htf_confirm": f"{HTF} SELECT * FROM hx",
+    "htf_confirm": f"WITH RECURSIVE {BARS}, {_HTF} SELECT * FROM hx",
+    "expert_signals": f"""{FRAME}, {_HTF}, {WEEKS}, w1 AS (SELECT fr.symbol, fr.date, CASE WHEN long_signal AND htf_dir >= 0 THEN 1 WHEN short_signal AND htf_dir <= 0 THEN -1 ELSE 0 END AS want, cot_bias FROM fr
+        JOIN hx ON hx.symbol = fr.symbol AND hx.date = fr.date JOIN al ON al.pair = fr.symbol AND al.date = fr.date)
+        SELECT symbol, date, want AS "order" FROM w1 WHERE want <> 0 AND cot_bias <> -want AND isodow(date) < 6""",
+    "paper_trader_batch": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
+    "paper_trader_stream": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "lot_size": f"""{FRAME}, g AS (SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, greatest(2 * atr, 50000) AS sd, 2.5 * (2 * atr) AS td FROM fr WHERE long_signal OR short_signal)
         SELECT symbol, date, side, round(sd, 4) AS stop_distance, round(td, 4) AS take_distance, round(least(greatest(floor(50 / (sd * 0.01) / 0.01::DOUBLE) * 0.01, 0.01), 5.0), 4)::DOUBLE AS lots FROM g""",
     "chart_signals": f"""{FRAME} SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, round(CASE WHEN long_signal THEN low - 0.3 * atr ELSE high + 0.3 * atr END, 4) AS arrow

@@ -82,19 +82,21 @@ def _variants(spark, d):
 
 
 def swing_trades(spark, d):
-    return W.ledger(_variants(spark, d))
+    rows = W.ledger(_variants(spark, d))
+    return rows.select("symbol", "variant", "direction", "entry_date", *_r(3, "entry", "stop", "take"), *_r(9, "units"), *_r(3, "init_risk"), "exit_date", *_r(3, "exit"), "reason", *_r(5, "pnl", "r_multiple"), "bars_held", *_r(4, "equity_after"))
 
 
 def swing_equity(spark, d):
-    return W.equities(_variants(spark, d))
+    return W.equities(_variants(spark, d)).select("symbol", "variant", "date", *_r(4, "equity"))
 
 
 def swing_metrics(spark, d):
-    return W.metrics(_variants(spark, d)).withColumn("profit_factor", F.coalesce("profit_factor", F.lit(-1.0)))
+    rows = W.metrics(_variants(spark, d)).withColumn("profit_factor", F.coalesce("profit_factor", F.lit(-1.0)))
+    return rows.select("symbol", "variant", "trades", *_r(5, "net", "ret_pct", "cagr", "sharpe", "max_dd", "win_rate", "profit_factor", "expectancy_r", "avg_bars"))
 
 
 def swing_rollup(spark, d):
-    return W.rollup(W.metrics(_variants(spark, d)))
+    return W.rollup(W.metrics(_variants(spark, d))).select("variant", *_r(5, "mean_return", "median_return"), "profitable", "symbols")
 
 
 def is_oos_split(spark, d):
@@ -102,7 +104,7 @@ def is_oos_split(spark, d):
 
 
 def portfolio(spark, d):
-    return W.portfolio(_variants(spark, d))
+    return W.portfolio(_variants(spark, d)).select("variant", "date", *_r(8, "value", "drawdown"))
 
 
 def _labelled(spark, d):
@@ -221,7 +223,61 @@ def _sum_sql(factor: int) -> str:
         round(avg(bank), 6) AS mean_final, round(avg(bank - start), 6) AS expected_pl FROM fin JOIN sc USING (label) GROUP BY label"""
 
 
+# The simulator bar by bar: a bar's row has the state after it and, if one closed, the trade.
+def _simulated(variant: str) -> str:
+    """One variant's run: (symbol, i, date, mark) and, where a trade closed, its columns."""
+    frame = _OPEN_FRAME
+    if variant in ("is", "oos"):
+        keep = "i <= floor(n * 0.6)" if variant == "is" else "i >= floor(n * 0.6)"
+        frame = frame.replace("\nbars AS (", "\nwhole AS (", 1).replace("\nb AS (SELECT *, lag(close)", f"""
+bars AS (SELECT symbol, date, open, high, low, close, volume, i - min(i) OVER (PARTITION BY symbol) AS i FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM whole) WHERE {keep}),
+b AS (SELECT *, lag(close)""", 1)
+    # The bias is that of the whole series of bars.
+    bias = WEEKS.replace("FROM bars d ASOF", "FROM whole d ASOF" if variant in ("is", "oos") else "FROM bars d ASOF")
+    obeyed = "false" if variant == "base" else "bias = -want"
+    side = "(0.0002::DOUBLE / 2 + 0.5::DOUBLE * 0.0001)"
+    return f"""{frame}, {bias},
+z AS (SELECT fr.symbol, i, fr.date, open, high, low, close, atr, regime, CASE WHEN long_signal AND regime = 1 THEN 1 WHEN short_signal AND regime = -1 THEN -1 ELSE 0 END AS want, al.cot_bias AS bias,
+    lead(open) OVER w AS next_open, lead(high) OVER w AS next_high, lead(low) OVER w AS next_low, lead(fr.date) OVER w AS next_date FROM fr JOIN al ON al.pair = fr.symbol AND al.date = fr.date WINDOW w AS (PARTITION BY fr.symbol ORDER BY i)),
+sim AS (
+  SELECT symbol, -1::BIGINT AS i, NULL::DATE AS date, 0 AS d, -1::BIGINT AS since, NULL::DATE AS entry_date, 0::DOUBLE AS entry, 0::DOUBLE AS stop, 0::DOUBLE AS take, 0::DOUBLE AS units, 0::DOUBLE AS risk, 0::DOUBLE AS best, false AS even, 10000::DOUBLE AS equity, 10000::DOUBLE AS mark,
+    NULL::INT AS t_d, NULL::DATE AS t_date, 0::DOUBLE AS t_entry, 0::DOUBLE AS t_stop, 0::DOUBLE AS t_take, 0::DOUBLE AS t_units, 0::DOUBLE AS t_risk, 0::DOUBLE AS t_exit, NULL::VARCHAR AS t_reason, 0::DOUBLE AS t_pnl, -1::BIGINT AS t_bars FROM (SELECT DISTINCT symbol FROM z)
+  UNION ALL
+  SELECT symbol, i, date, CASE WHEN opened THEN go WHEN shut THEN 0 ELSE d END, CASE WHEN opened THEN i + 1 ELSE since END, CASE WHEN opened THEN next_date ELSE entry_date END, CASE WHEN opened THEN fill ELSE entry END, CASE WHEN opened THEN fill - go * 2.0::DOUBLE * atr ELSE stop END,
+    CASE WHEN opened THEN fill + go * 2.5::DOUBLE * gap ELSE take END, CASE WHEN opened THEN size ELSE units END, CASE WHEN opened THEN gap ELSE risk END, CASE WHEN NOT opened THEN best WHEN go = 1 THEN next_high ELSE next_low END, CASE WHEN opened THEN false ELSE even END, eq,
+    CASE WHEN opened THEN eq + go * (close - fill) * size WHEN d <> 0 AND NOT shut THEN eq + d * (close - entry) * units ELSE eq END,
+    CASE WHEN shut THEN d END, entry_date, entry, stop, take, units, risk, out, CASE WHEN shut THEN reason END, pnl, i - since
+  FROM (SELECT *, go <> 0 AND gap > 0 AS opened, least(eq * 0.01 / gap, eq * 50 / greatest(fill, 1e-9)) AS size FROM (SELECT *, next_open + go * {side} AS fill, abs((next_open + go * {side}) - ((next_open + go * {side}) - go * 2.0::DOUBLE * atr)) AS gap FROM (
+    SELECT *, equity + CASE WHEN shut THEN pnl ELSE 0 END AS eq, CASE WHEN (d = 0 OR shut) AND next_open IS NOT NULL AND atr > 0 AND NOT ({obeyed}) THEN want ELSE 0 END AS go FROM (
+      SELECT *, reason IS NOT NULL AS shut, px - d * {side} AS out, d * ((px - d * {side}) - entry) * units - units * (0.2::DOUBLE * 0.0001) AS pnl FROM (
+        SELECT *, CASE WHEN d = 0 THEN NULL WHEN d * open <= d * stop THEN 'gap_stop' WHEN d * bad <= d * stop THEN 'stop' WHEN take > 0 AND d * good >= d * take THEN 'target' WHEN i - since >= 40 THEN 'time' WHEN regime = -d THEN 'flip' END AS reason,
+          CASE WHEN d * open <= d * stop THEN open WHEN d * bad <= d * stop THEN stop WHEN take > 0 AND d * good >= d * take THEN take ELSE close END AS px FROM (
+          SELECT * REPLACE (CASE WHEN d = 1 THEN greatest(s1, best - 3.0::DOUBLE * atr) WHEN d = -1 THEN least(s1, best + 3.0::DOUBLE * atr) ELSE stop END AS stop) FROM (
+            SELECT *, CASE WHEN hit AND d = 1 THEN greatest(stop, entry) WHEN hit THEN least(stop, entry) ELSE stop END AS s1 FROM (
+              SELECT * REPLACE (even OR hit AS even) FROM (
+                SELECT *, d <> 0 AND NOT even AND d * good >= d * (entry + d * 1.0::DOUBLE * abs(entry - stop)) AS hit FROM (
+                  SELECT z.*, sim.d, sim.since, sim.entry_date, sim.entry, sim.stop, sim.take, sim.units, sim.risk, sim.even, sim.equity, CASE WHEN sim.d = 1 THEN greatest(sim.best, z.high) ELSE least(sim.best, z.low) END AS best,
+                    CASE WHEN sim.d = 1 THEN z.high ELSE z.low END AS good, CASE WHEN sim.d = 1 THEN z.low ELSE z.high END AS bad
+                  FROM sim JOIN z ON z.symbol = sim.symbol AND z.i = sim.i + 1)))))))))))
+SELECT '{variant}' AS variant, * FROM sim WHERE i >= 0"""
+
+
+RUNS = "WITH run AS (" + " UNION ALL ".join(f"SELECT * FROM ({_simulated(v)})" for v in ("base", "cot", "is", "oos")) + ")"
+EQUITY = f"{RUNS}, e AS (SELECT symbol, variant, date, mark AS equity, coalesce(mark / lag(mark) OVER w - 1, 0) AS ret, max(mark) OVER w AS peak FROM run WINDOW w AS (PARTITION BY symbol, variant ORDER BY date))"
+METRICS = f"""{EQUITY}, c AS (SELECT symbol, variant, arg_max(equity, date) AS last, date_diff('day', min(date), max(date)) AS days, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe, min((equity - peak) / peak) AS dd FROM e GROUP BY ALL),
+t AS (SELECT symbol, variant, count(*) AS trades, avg(CAST(t_pnl > 0 AS INT)) * 100 AS win_rate, coalesce(sum(t_pnl) FILTER (t_pnl > 0), 0) / nullif(abs(sum(t_pnl) FILTER (t_pnl <= 0)), 0) AS profit_factor, avg(CASE WHEN t_risk > 0 THEN t_pnl / (t_risk * t_units) ELSE 0 END) AS expectancy_r, avg(t_bars) AS avg_bars FROM run WHERE t_reason IS NOT NULL GROUP BY ALL),
+m AS (SELECT symbol, variant, coalesce(trades, 0) AS trades, CASE WHEN trades IS NULL THEN 0 ELSE last - 10000 END AS net, CASE WHEN trades IS NULL THEN 0 ELSE (last / 10000 - 1) * 100 END AS ret_pct, CASE WHEN trades IS NULL THEN 0 ELSE (pow(last / 10000, 1 / greatest(days / 365.25, 1e-9)) - 1) * 100 END AS cagr,
+  CASE WHEN trades IS NULL THEN 0 ELSE coalesce(sharpe, 0) END AS sharpe, CASE WHEN trades IS NULL THEN 0 ELSE dd * 100 END AS max_dd, coalesce(win_rate, 0) AS win_rate, CASE WHEN trades IS NULL THEN 0 ELSE coalesce(profit_factor, -1) END AS profit_factor, coalesce(expectancy_r, 0) AS expectancy_r, coalesce(avg_bars, 0) AS avg_bars FROM c LEFT JOIN t USING (symbol, variant))"""
+
 ORACLE = {
+    "swing_trades": f"""{RUNS} SELECT symbol, variant, t_d AS direction, t_date AS entry_date, round(t_entry, 3) AS entry, round(t_stop, 3) AS stop, round(t_take, 3) AS take, round(t_units, 9) AS units, round(t_risk, 3) AS init_risk, date AS exit_date, round(t_exit, 3) AS exit, t_reason AS reason,
+        round(t_pnl, 5) AS pnl, round(CASE WHEN t_risk > 0 THEN t_pnl / (t_risk * t_units) ELSE 0 END, 5) AS r_multiple, CAST(t_bars AS INT) AS bars_held, round(equity, 4) AS equity_after FROM run WHERE t_reason IS NOT NULL""",
+    "swing_equity": f"{RUNS} SELECT symbol, variant, date, round(mark, 4) AS equity FROM run",
+    "swing_metrics": f"{METRICS} SELECT symbol, variant, trades, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("net", "ret_pct", "cagr", "sharpe", "max_dd", "win_rate", "profit_factor", "expectancy_r", "avg_bars")) + " FROM m",
+    "swing_rollup": f"{METRICS} SELECT variant, round(avg(ret_pct), 5) AS mean_return, round(quantile_cont(ret_pct, 0.5), 5) AS median_return, count(*) FILTER (ret_pct > 0) AS profitable, count(*) AS symbols FROM m GROUP BY variant",
+    "portfolio": f"""{EQUITY}, k AS (SELECT DISTINCT variant, date FROM e), y AS (SELECT DISTINCT variant, symbol FROM e), g AS (SELECT k.variant, k.date, y.symbol, last_value(e.equity / 10000 IGNORE NULLS) OVER (PARTITION BY k.variant, y.symbol ORDER BY k.date) AS v
+        FROM k JOIN y USING (variant) LEFT JOIN e ON e.variant = k.variant AND e.symbol = y.symbol AND e.date = k.date), dd AS (SELECT variant, date, avg(v) AS value FROM g GROUP BY ALL)
+        SELECT variant, date, round(value, 8) AS value, round(value / max(value) OVER (PARTITION BY variant ORDER BY date) - 1, 8) AS drawdown FROM dd""",
     "cot_net": f"WITH {COT} SELECT * FROM cot",
     "cot_index": f"WITH {BARS}, {WEEKS} SELECT asset, date, round(idx, 6) AS idx FROM ai WHERE idx IS NOT NULL",
     "cot_bias_user": f"WITH {BARS}, {WEEKS} SELECT pair, date, bias FROM bu",
