@@ -72,7 +72,7 @@ def selectivity(scored: DataFrame, p: str = "p") -> DataFrame:
     return kept.groupBy("top").agg(F.count("*").alias("trades"), (F.avg("win") * 100).alias("win_pct"), F.avg("r").alias("mean_r"), (F.avg("r") - F.first("_all")).alias("gain"))
 
 
-def walk_forward(folded: DataFrame, iterations: int = 160, depth: int = 3, rate: float = 0.05, subsample: float = 0.8, seed: int = 7) -> DataFrame:
+def walk_forward(folded: DataFrame, iterations: int = 160, depth: int = 3, rate: float = 0.05, subsample: float = 0.8, seed: int = 7, rows_a_task: int = 100_000) -> DataFrame:
     """The tested samples with ``p``, each fold scored by boosted trees that learnt on the rows before its embargo.
 
     Folds without both classes to learn from, or under five rows, are left out.
@@ -84,13 +84,16 @@ def walk_forward(folded: DataFrame, iterations: int = 160, depth: int = 3, rate:
     from pyspark.ml.functions import vector_to_array
 
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(folded.dropna(subset=FEATURES).withColumn("label", F.col("win").cast("double"))).persist()
+    # Every tree is several jobs over the training rows, so these lie in no more parts than their number asks for.
+    tasks = max(1, -(-rows.count() // rows_a_task))
     plan = rows.where("train_end is not null").groupBy("fold").agg(F.min("train_end").alias("end"), F.count("*").alias("n")).orderBy("fold").collect()
     out = []
     for fold in plan:
-        train = rows.where(F.col("place") < fold["end"])
-        if fold["n"] < 5 or train.select("label").distinct().count() < 2:
+        train = rows.where(F.col("place") < fold["end"]).coalesce(tasks).persist()
+        if fold["n"] < 5 or train.agg(F.countDistinct("label").alias("n")).first()["n"] < 2:
             continue
         model = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(train)
+        train.unpersist()
         out.append(model.transform(rows.where(F.col("fold") == fold["fold"])).withColumn("p", vector_to_array("probability")[1]))
     empty = rows.where("false").withColumn("p", F.lit(0.0))
     keep = ["symbol", "date", "fold", "p", "r", "win"]
