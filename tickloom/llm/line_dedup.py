@@ -54,6 +54,11 @@ class LineRuns:
     def _all(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
+    def _together(self, names: list[str]) -> DataFrame:
+        """All rows of some runs. They are dealt out anew: Spark 4.1 takes a union of bucketed scans as
+        dealt by their key, but reads its columnar batches one run after another."""
+        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names]).repartition(self.buckets, *HASHES)
+
     def fresh(self, batch: DataFrame) -> DataFrame:
         """Rows of the batch whose hash no run holds: one merge anti-join per run, the runs unshuffled."""
         for name in self._all():
@@ -64,7 +69,7 @@ class LineRuns:
         """New hashes enter with their keeper; of known ones only the count is added, their keeper stands."""
         new = self.fresh(batch)
         if self._all():
-            seen = reduce(DataFrame.unionByName, [self.spark.table(n).select(*HASHES) for n in self._all()]).distinct()
+            seen = self._together(self._all()).select(*HASHES).distinct()
             known = batch.join(seen.hint("merge"), HASHES, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
             new = new.unionByName(known)
         if not self.levels:
@@ -89,8 +94,7 @@ class LineRuns:
         names = self._all() if names is None else names
         if not names:
             return self.spark.createDataFrame([], "_h1 long, _h2 long, n_docs long, keeper long")
-        rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
-        return rows.groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return self._together(names).groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan_in: int = 2) -> DataFrame:
