@@ -11,7 +11,6 @@ Texts never travel with the hashes: a line is 16 bytes of hash and its place.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +54,9 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def _together(self, names: list[str]) -> DataFrame:
-        """All rows of some runs. They are dealt out anew: Spark 4.1 takes a union of bucketed scans as
-        dealt by their key, but reads its columnar batches one run after another."""
-        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names]).repartition(self.buckets, *HASHES)
+        """All rows of some runs, from their files. A union of the tables would be taken as dealt by hash,
+        but Spark 4.1 reads the columnar batches of bucketed scans one run after another."""
+        return self.spark.read.schema("_h1 long, _h2 long, n_docs long, keeper long").parquet(*[self.paths[n] for n in names])
 
     def fresh(self, batch: DataFrame) -> DataFrame:
         """Rows of the batch whose hash no run holds: one merge anti-join per run, the runs unshuffled."""
