@@ -44,6 +44,31 @@ def expert_signals(frame: DataFrame, higher: DataFrame, bias: DataFrame, session
     return rows.select("symbol", "date", F.when(no(session) & free, allowed).otherwise(0).alias("order"))
 
 
+def managed_stops(frame: DataFrame, stop_atr: float = 2.0, breakeven_r: float = 1.0, trail_atr: float = 3.0, time_bars: int = 40) -> DataFrame:
+    """symbol, opened, side, step, price, stop, exit of every position opened at the bar after a signal, price by price.
+
+    A stop only tightens: to the entry once the price is ``breakeven_r`` times the *current* risk away, and to the
+    current price less the trail, both by the ATR of the last closed bar. So it is a running maximum. A price at the
+    stop of before ends the position, and so does its last bar; later prices are not shown.
+    """
+    w = by_chunk()
+    rows = chunked(frame, "symbol", 1, time_bars + 1).withColumn("_atr", F.lag("atr").over(w))
+    rows = rows.withColumns({"_path": F.collect_list(F.struct("close", "_atr")).over(w.rowsBetween(1, time_bars)), "_entry": F.lead("open").over(w)})
+    side = F.when(F.col("long_signal"), 1).when(F.col("short_signal"), -1)
+    taken = own_rows(rows).withColumn("side", side).where(F.col("side").isNotNull() & F.col("_entry").isNotNull())
+    first = F.col("side") * F.col("_entry") - stop_atr * F.col("atr")
+    steps = taken.select("symbol", F.col("i").alias("opened"), "side", F.col("_entry").alias("entry"), first.alias("_first"), F.posexplode("_path").alias("step", "_p"))
+    price, atr = F.col("side") * F.col("_p.close"), F.col("_p._atr")
+    even = F.when(price >= F.col("side") * F.col("entry") + breakeven_r * stop_atr * atr, F.col("side") * F.col("entry"))
+    one = Window.partitionBy("symbol", "opened").orderBy("step")
+    steps = steps.withColumns({"_price": price, "_stop": F.greatest("_first", F.max(F.greatest(even, price - trail_atr * atr)).over(one.rowsBetween(Window.unboundedPreceding, 0)))})
+    before = F.coalesce(F.lag("_stop").over(one), F.col("_first"))
+    steps = steps.withColumn("exit", F.when(F.col("_price") <= before, "stop").when(F.col("step") == time_bars - 1, "time").otherwise("open"))
+    gone = F.coalesce(F.max((F.col("exit") != "open").cast("int")).over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = steps.withColumn("_gone", gone).where("_gone = 0")
+    return out.select("symbol", "opened", "side", "step", (F.col("side") * F.col("_price")).alias("price"), (F.col("side") * F.col("_stop")).alias("stop"), "exit")
+
+
 def order_plan(frame: DataFrame, balance: float, risk_pct: float = 0.5, stop_atr: float = 2.0, take_r: float = 2.5, money_per_point: float = 0.01) -> DataFrame:
     """symbol, date, side, stop_distance, take_distance, lots of each signal: the stop widened to the broker's least
     distance (the target is not), lots down to the step within the broker's bounds."""

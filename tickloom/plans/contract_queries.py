@@ -88,6 +88,7 @@ QUERIES = {
     "bt_anti_martingale": _equity("anti_martingale"),
     "bt_equity_curve": lambda s, d: C.equity(_trades(s, d)).select("symbol", "combo", "k", F.round("after", 6).alias("after"), F.round("peak", 6).alias("peak")),
     "bt_summary": lambda s, d: C.summary(_trades(s, d)),
+    "bt_report": lambda s, d: C.report_lines(C.summary(_trades(s, d))),
 }
 
 _FALL = ", ".join(f"('{c}', {'NULL' if b is None else b}::INT, {p}::DOUBLE)" for c, b, p in C.FALLBACK)

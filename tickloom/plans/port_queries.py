@@ -79,6 +79,10 @@ def expert_signals(spark, d):
     return rows.where("order <> 0")
 
 
+def managed_stops(spark, d):
+    return P.managed_stops(_frame(spark, d)).select("symbol", "opened", "side", "step", *_r(4, "price", "stop"), "exit")
+
+
 def lot_size(spark, d):
     return P.order_plan(_frame(spark, d), 10_000.0).select("symbol", "date", "side", *_r(4, "stop_distance", "take_distance", "lots"))
 
@@ -160,6 +164,7 @@ QUERIES = {
     "effective_bias": effective_bias,
     "htf_confirm": htf_confirm,
     "expert_signals": expert_signals,
+    "managed_stops": managed_stops,
     "lot_size": lot_size,
     "chart_signals": chart_signals,
     "script_variant": script_variant,
@@ -214,6 +219,14 @@ ORACLE = {
     "paper_trader_stream": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "lot_size": f"""{FRAME}, g AS (SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, greatest(2 * atr, 50000) AS sd, 2.5 * (2 * atr) AS td FROM fr WHERE long_signal OR short_signal)
         SELECT symbol, date, side, round(sd, 4) AS stop_distance, round(td, 4) AS take_distance, round(least(greatest(floor(50 / (sd * 0.01) / 0.01::DOUBLE) * 0.01, 0.01), 5.0), 4)::DOUBLE AS lots FROM g""",
+    "managed_stops": f"""{FRAME}, la AS (SELECT *, lag(atr) OVER w AS pa, lead(open) OVER w AS entry FROM fr WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+        po AS (SELECT symbol, i AS opened, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, entry, atr FROM la WHERE (long_signal OR short_signal) AND entry IS NOT NULL),
+        st AS (SELECT po.symbol, opened, side, CAST(b.i - opened - 1 AS INT) AS step, side * b.close AS p, side * po.entry - 2 * po.atr AS s0, CASE WHEN side * b.close >= side * po.entry + 2 * b.pa THEN side * po.entry END AS ev, side * b.close - 3 * b.pa AS tr
+          FROM po JOIN la b ON b.symbol = po.symbol AND b.i BETWEEN opened + 1 AND opened + 40),
+        sp AS (SELECT *, greatest(s0, max(greatest(ev, tr)) OVER w) AS stop FROM st WINDOW w AS (PARTITION BY symbol, opened ORDER BY step)),
+        se AS (SELECT *, CASE WHEN p <= coalesce(lag(stop) OVER w, s0) THEN 'stop' WHEN step = 39 THEN 'time' ELSE 'open' END AS exit FROM sp WINDOW w AS (PARTITION BY symbol, opened ORDER BY step)),
+        sg AS (SELECT *, coalesce(bool_or(exit <> 'open') OVER (PARTITION BY symbol, opened ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM se)
+        SELECT symbol, opened, side, step, round(side * p, 4) AS price, round(side * stop, 4) AS stop, exit FROM sg WHERE NOT gone""",
     "chart_signals": f"""{FRAME} SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, round(CASE WHEN long_signal THEN low - 0.3 * atr ELSE high + 0.3 * atr END, 4) AS arrow
         FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS last FROM fr) WHERE i < last AND (long_signal OR short_signal)""",
     "script_variant": f"""{RECURSION}, v AS (SELECT symbol, date, atr, min(low) OVER (PARTITION BY symbol ORDER BY i ROWS 5 PRECEDING) <= ema_pullback AS dip, list(atr) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS b FROM ind)
