@@ -53,32 +53,26 @@ def cost_model(spark, d):
     return W.cost_model(symbols, W.pips(spark)).select("symbol", *_r(9, "pip", "spread", "slippage", "commission"))
 
 
-def _with_costs(frame, spark, bias=None):
-    rows = frame if bias is None else frame.join(bias, ["symbol", "date"], "left")
-    rows = rows.withColumn("bias", F.coalesce("bias", F.lit(0.0)) if bias is not None else F.lit(0.0))
-    costs = W.cost_model(rows.select("symbol").distinct(), W.pips(spark)).drop("pip")
-    return rows.join(costs, "symbol")
-
-
 def _bias(spark, d):
     return asof_align(spark, d).select(F.col("pair").alias("symbol"), "date", F.col("cot_bias").alias("bias"))
 
 
 def _variants(spark, d):
-    """The whole period without and with the bias, and both parts with it; parts warm up afresh."""
+    """The whole period without and with the bias, and both parts with it; parts warm up afresh.
+
+    Parts are keyed as symbols of their own, so that one plan makes the signals of all.
+    """
     whole = bars(spark, d)
-    bias = _bias(spark, d)
-    frame = S.frame(whole, OPEN)
-    runs = [(frame, None, "base"), (frame, bias, "cot")]
-    for part in ("is", "oos"):
-        rows = W.split(whole).where(F.col("part") == part).drop("part")
-        start = rows.groupBy("symbol").agg(F.min("i").alias("_i"))
-        runs.append((S.frame(rows.join(start, "symbol").withColumn("i", F.col("i") - F.col("_i")).drop("_i"), OPEN), bias, part))
-    out = None
-    for f, b, name in runs:
-        one = _with_costs(f, spark, b).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return W.backtest(out, OPEN)
+    parts = whole.withColumn("part", F.lit("whole")).unionByName(W.split(whole))
+    start = parts.groupBy("symbol", "part").agg(F.min("i").alias("_i"))
+    keyed = parts.join(start, ["symbol", "part"]).withColumns({"i": F.col("i") - F.col("_i"), "symbol": F.concat_ws("|", "symbol", "part")}).drop("_i", "part")
+    part = F.substring_index("symbol", "|", -1)
+    runs = F.when(part == "whole", F.array(F.lit("base"), F.lit("cot"))).otherwise(F.array(part))
+    rows = S.frame(keyed, OPEN).withColumn("variant", F.explode(runs)).withColumn("symbol", F.substring_index("symbol", "|", 1))
+    rows = rows.join(_bias(spark, d), ["symbol", "date"], "left").withColumn("bias", F.when(F.col("variant") == "base", 0.0).otherwise(F.coalesce("bias", F.lit(0.0))))
+    costs = W.cost_model(whole.select("symbol").distinct(), W.pips(spark)).drop("pip")
+    # Reports read the trades and the equity: the simulation runs once for both.
+    return W.backtest(rows.join(costs, "symbol"), OPEN).persist()
 
 
 def swing_trades(spark, d):
