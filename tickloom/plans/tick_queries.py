@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import sign3
 from tickloom.functions.tails import chi2_tail, normal_two_sided, t_two_sided
 from tickloom.operators import ticks as T
-from tickloom.sources.tables import TICKS, ticks
+from tickloom.sources.tables import TICKS, tick_values, ticks
 
 PARITY = [1, 2, 3, 5, 10, 20, 50, 100]
 
@@ -16,6 +16,10 @@ def _digits(spark, d):
     return T.with_digit(ticks(spark, d))
 
 
+def _unordered(spark, d):
+    return T.with_digit(tick_values(spark, d))
+
+
 def _moves(spark, d):
     return T.increments(ticks(spark, d))
 
@@ -71,9 +75,9 @@ def spike_report(spark, d):
 QUERIES = {
     "tick_scan": lambda s, d: ticks(s, d),
     "last_digit": lambda s, d: _digits(s, d).select("symbol", "i", "digit"),
-    "infer_decimals": lambda s, d: T.decimals(ticks(s, d)),
-    "digit_histogram": lambda s, d: T.histogram(_digits(s, d)),
-    "digit_uniformity": lambda s, d: T.uniformity(_digits(s, d)),
+    "infer_decimals": lambda s, d: T.decimals(tick_values(s, d)),
+    "digit_histogram": lambda s, d: T.histogram(_unordered(s, d)),
+    "digit_uniformity": lambda s, d: T.uniformity(_unordered(s, d)),
     "digit_transitions": lambda s, d: T.transitions(_digits(s, d)),
     "markov_chi2": lambda s, d: T.independence(T.transitions(_digits(s, d)), ["symbol"], "digit", "next"),
     "parity_acf": _acf,

@@ -27,6 +27,12 @@ def numbered(df: DataFrame, key: str, order: list[str], bucket: str, out: str =
     return df.withColumn("_in", inside).join(before, [key, bucket]).withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before")
 
 
+def tick_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, price: for what does not depend on the order, a scan and no more."""
+    rows = table(spark, sf_dir, "events").where("event_type is not null and ts is not null")
+    return rows.select(F.col("event_type").alias("symbol"), (F.col("value") + 100).alias("price"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, i, epoch, price."""
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", (F.col("value") + 100).alias("price")).where("symbol is not null and ts is not null")
