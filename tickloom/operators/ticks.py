@@ -31,9 +31,8 @@ def decimals(ticks: DataFrame) -> DataFrame:
 
 def histogram(digits: DataFrame) -> DataFrame:
     """symbol, digit, n: every digit, also those that do not occur."""
-    seen = digits.groupBy("symbol", "digit").agg(F.count("*").alias("n"))
-    every = seen.select("symbol").distinct().withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    return every.join(seen, ["symbol", "digit"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = digits.groupBy("symbol").agg(*[F.count_if(F.col("digit") == k).alias(f"_{k}") for k in range(10)])
+    return counts.select("symbol", F.inline(F.array(*[F.struct(F.lit(k).alias("digit"), F.col(f"_{k}").alias("n")) for k in range(10)])))
 
 
 def uniformity(digits: DataFrame) -> DataFrame:
