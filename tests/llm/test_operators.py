@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import inspect
 import json
 import math
 import random
@@ -500,6 +501,33 @@ def test_the_model_learns_what_follows(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
 
 
+def test_every_position_is_learnt_from():
+    """At the production values, the rounds together meet every token of every text once."""
+    default = {k: p.default for k, p in inspect.signature(lm_score.lm_scores).parameters.items()}
+    assert {k: inspect.signature(lm_score.fit).parameters[k].default for k in ("rounds", "stride")} == {k: default[k] for k in ("rounds", "stride")}
+    texts = ["a", "b c", "d e f", None, "a b c d e f g h i j k"]
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    table, bias = np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), np.zeros(lm_score.CLASSES, np.float32)
+    met = np.zeros(lm_score.ROWS, np.int64)
+    for r in range(default["rounds"]):
+        for out in lm_score._train_task(iter([batch]), table, bias, default["stride"], r, 0.3):
+            for b, m in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                met[b : b + lm_score.BLOCK] += np.frombuffer(m, np.int64)
+    t = lm_score.tokens_of(texts, lm_score.WordHasher())
+    want = np.bincount(lm_score.features(t).ravel(), minlength=lm_score.ROWS)
+    assert np.array_equal(met, want)
+    with pytest.raises(ValueError):
+        lm_score.fit(None, None, rounds=2, stride=8)
+
+
+def test_the_model_learns_at_the_production_values(spark):
+    rnd = random.Random(1)
+    kinds = [[w + e for w in "abcdefghij"] for e in ("xx", "yy", "zz")]
+    rows = [(i, " ".join(rnd.choice(kinds[i % 3]) for _ in range(60))) for i in range(300)]
+    got = [r for r in lm_score.lm_scores(frame(spark, rows)).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = lm_score.lm_scores(frame(spark, [(held, "a b")])).first()
