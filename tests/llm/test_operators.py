@@ -162,6 +162,13 @@ def test_shared_runs_go_and_unique_ones_stay(spark):
     assert html_text.op3(spark, frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_text_outside_of_an_article_is_judged_by_its_repeats():
+    """A small article does not take the rest of its page along: unique text stays in its place, shared runs go."""
+    menu = "<p>Home News Sport Weather Travel Culture Money Health Science</p>"
+    pages = [f"{menu}<h1>headline {k}</h1><article><p>teaser {k}</p></article><div>the long story number {k} of this page</div>" for k in range(4)]
+    assert html_text.main_texts([html_text.blocks_of(p) for p in pages]) == [f"headline {k}\nteaser {k}\nthe long story number {k} of this page" for k in range(4)]
+
+
 def test_suffix_ranks_sort_by_their_start():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 3, 200)

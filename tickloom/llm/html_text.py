@@ -217,9 +217,6 @@ def main_texts(pages: list[list[tuple[str, int]]]) -> list[str]:
                 text = " ".join([x for x, h in zip(w, boilerplate(hit)) if not h])
             if kind != CHROME and text:
                 kept.append(text)
-        has_body = any(kind == BODY for _, kind in page)
-        if has_body:
-            kept = [t for t, kind in page if kind == BODY]
         out.append("\n".join(kept))
     return out
 
@@ -261,8 +258,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text and n_chars of every page.
 
     * Null or empty html: empty text. Pages without a url share the empty host.
-    * A page with an article or main element has the text of these, without chrome inside them; one
-      without has what is neither chrome nor covered by runs that its host's pages share.
+    * Every page has the text of its article and main elements, without chrome inside them, and of
+      what stands outside of them that is neither chrome nor covered by runs that its host's pages
+      share, in page order.
     * Repeated rows are pages of their own. Empty table: empty result. Other columns are not carried.
 
     A host's pages are dealt over shards by their id and content, as many as keep a shard at about
