@@ -1,6 +1,7 @@
 """Operators on small hand-made rows."""
 
 import gzip
+import inspect
 import json
 import math
 import random
@@ -281,6 +282,17 @@ def test_auc_counts_ties_half(spark):
     assert L.auc(rows).first()["auc"] == pytest.approx(3.5 / 4)
 
 
+def test_the_registered_walk_forward_boosts_as_often_as_the_reference(monkeypatch):
+    from tickloom.plans import research_queries as Q
+
+    own, met = inspect.signature(L.walk_forward), []
+    monkeypatch.setattr(Q, "_folded", lambda spark, d: None)
+    monkeypatch.setattr(Q.L, "walk_forward", lambda *a, **k: met.append(own.bind(*a, **k)))
+    Q.QUERIES["gbt_walkforward"](None, "")
+    met[0].apply_defaults()
+    assert met[0].arguments["iterations"] == 160
+
+
 # ---- ruin
 
 

@@ -135,8 +135,7 @@ def roc_auc(spark, d):
 
 
 def gbt_walkforward(spark, d):
-    """Fewer trees than the operator's default, so that the check stays short."""
-    return L.walk_forward(_folded(spark, d), iterations=10)
+    return L.walk_forward(_folded(spark, d))
 
 
 def ruin_day_prob(spark, d):
