@@ -296,6 +296,17 @@ def test_the_registered_walk_forward_boosts_as_often_as_the_reference(monkeypatc
 # ---- ruin
 
 
+@pytest.mark.parametrize("kind", ["", "_reference"])
+def test_the_full_ruin_queries_have_every_path_of_the_reference(spark, kind):
+    from tickloom.plans.research_queries import QUERIES
+
+    got = QUERIES["ruin_paths_full" + kind](spark, "")
+    assert {r["label"]: r["count"] for r in got.groupBy("label").count().collect()} == {c[0]: 200_000 for c in R.SCENARIOS}
+    # Those that SQL checks are among them.
+    few = QUERIES["ruin_paths" + kind](spark, "").where("path < 20")
+    assert sorted(map(tuple, got.where("path < 20").collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_day_odds(spark):
     got = {r.label: round(r.p_win, 4) for r in R.day_odds(R.scenarios(spark)).collect()}
     assert got == {"even_week": 0.875, "even_month": 0.875, "rise_month": 0.865, "differs_month": 0.9, "even_month_50": 0.9688}

@@ -142,12 +142,16 @@ def ruin_day_prob(spark, d):
     return R.day_odds(R.scenarios(spark)).select("label", "losses", *_r(6, "p_lose", "p_win"))
 
 
-def _paths(accounting):
-    return lambda s, d: R.paths(R.scenarios(s), 2000, accounting).select("label", "path", *_r(6, "bank"), "ruin_day", "days_won")
+#: Paths of a scenario in the reference; the queries that recursive SQL checks have the first 2000 of them.
+ALL_PATHS, SQL_PATHS = 200_000, 2000
 
 
-def _summary(accounting):
-    return lambda s, d: R.summary(R.paths(R.scenarios(s), 2000, accounting)).select("label", "paths", *_r(6, "p_ruin_week", "p_ruin", "median_final", "mean_final", "expected_pl"))
+def _paths(accounting, n=SQL_PATHS):
+    return lambda s, d: R.paths(R.scenarios(s), n, accounting).select("label", "path", *_r(6, "bank"), "ruin_day", "days_won")
+
+
+def _summary(accounting, n=SQL_PATHS):
+    return lambda s, d: R.summary(R.paths(R.scenarios(s), n, accounting)).select("label", "paths", *_r(6, "p_ruin_week", "p_ruin", "median_final", "mean_final", "expected_pl"))
 
 
 QUERIES = {
@@ -175,6 +179,10 @@ QUERIES = {
     "ruin_paths_reference": _paths("reference"),
     "ruin_summary": _summary("correct"),
     "ruin_summary_reference": _summary("reference"),
+    "ruin_paths_full": _paths("correct", ALL_PATHS),
+    "ruin_paths_full_reference": _paths("reference", ALL_PATHS),
+    "ruin_summary_full": _summary("correct", ALL_PATHS),
+    "ruin_summary_full_reference": _summary("reference", ALL_PATHS),
     "ruin_curves": lambda s, d: R.curves(R.scenarios(s)).select("label", "path", "day", *_r(6, "bank")),
 }
 
