@@ -312,10 +312,38 @@ def test_toxicity_without_labels_or_documents(spark):
     none = frame(spark, [], "doc_id long, quality int, toxic int")
     assert toxicity.op6(spark, frame(spark, [(1, "a text")]), none).first()["score"] == 0.5
     assert toxicity.op6(spark, frame(spark, []), none).count() == 0
-    model = toxicity.Model(np.full(1 << toxicity.BITS, -1, np.int32), np.zeros(0), 0.0)
+    model = toxicity.Model(np.full(1 << toxicity.BITS, -1, np.int16), np.zeros(0), 0.0)
     assert toxicity.score(frame(spark, [(1, "x", 9.0)], DOCS + ", score double"), model).columns == ["doc_id", "text", "score"]
 
 
+def test_log_count_ratios_against_plain_counts(spark):
+    """The counts and the kept n-grams' ratios, from sets of n-grams made one by one."""
+    rows, labels = toxic_table(120)
+    truth = {i: t for i, _, t in labels}
+    plain = {0: Counter(), 1: Counter()}
+    for i, t in rows:
+        plain[truth[i]].update({t[a : a + n] for n in toxicity.ORDERS for a in range(len(t) - n + 1)})
+    batch = pa.record_batch({"toxic": pa.array([truth[i] for i, _ in rows], pa.int32()), "text": pa.array([t for _, t in rows])})
+    got = {h: (a, b) for out in toxicity._counts(iter([batch])) for h, a, b in zip(*(c.to_pylist() for c in out.columns))}
+    code = lambda g: int([h for _, h in toxicity.grams([g])][-1][0])
+    met = {}
+    for g in set(plain[0]) | set(plain[1]):
+        met.setdefault(code(g), []).append(g)
+    alone = {h: g[0] for h, g in met.items() if len(g) == 1}
+    assert len(alone) > 0.9 * len(met) and set(got) == set(met)
+    assert all(got[h] == (plain[0][g], plain[1][g]) for h, g in alone.items())
+    n1 = sum(truth.values())
+    n0 = len(truth) - n1
+    model = toxicity.fit(frame(spark, [(truth[i], t) for i, t in rows], "toxic int, text string"), keep=300)
+    kept = [h for h in alone if model.slots[h] >= 0]
+    ratio = {h: math.log((plain[1][alone[h]] + 1) / (n1 + 2) / ((plain[0][alone[h]] + 1) / (n0 + 2))) for h in alone}
+    split = lambda h: abs((plain[1][alone[h]] + 1) / (n1 + 2) - (plain[0][alone[h]] + 1) / (n0 + 2)) * abs(ratio[h])
+    left = [h for h in alone if model.slots[h] < 0 and plain[0][alone[h]] + plain[1][alone[h]] >= 2]
+    assert kept and min(map(split, kept)) >= max(map(split, left)) - 1e-9
+    zonk = code("zonk")
+    assert ratio[zonk] > 2 and model.weight[model.slots[zonk]] > 0
+
+
 # ---- 7
 
 
