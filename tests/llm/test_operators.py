@@ -6,6 +6,7 @@ import inspect
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -137,51 +138,137 @@ def test_top_k(spark):
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><header>Site</header><div class='ad'>buy <div>now</div></div>{}<footer>f &copy;</footer></body></html>"
 
 
+def page_text(page):
+    """A page's text by its marks alone."""
+    return html_text.cut(html_text.blocks_of(page), html_text.WordHasher(), np.zeros(0, np.int64))
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
         ("<article><h1>A &amp; B</h1><p>one\n two<p><b>three<br>four</b><script>var x='</p>';</script></article>", "A & B\none two\nthree four"),
         ("<main><p>x</p><form><input>send</form><aside>s</aside><section id=comments><p>nice</p></section><p>y</main>", "x\ny"),
         ("<div class=cookie>never closed<article><p>real</p></article>", "real"),
+        ("<article><p class=it's>Hello</p><p title=don't>Hello it's fine</p><p a='b>c' \"d>e</p></article>", "Hello\nHello it's fine\ne"),
+        ("<article><p>a<!--> b <!-- c --!> d <!-- <p>x</p> --></p><?php 1 ?><!doctype x></article>", "a b d"),
+        ("<article><p id='social-policy'>kept</p><section class='related-work'>too <span class='alert'>and this</span></section><div class='siteAd'>no</div><div class='ad-slot-3'>no</div></article>", "kept\ntoo and this"),
         ("<article><p>cut <!-- c", "cut"),
         ("<article><p>cut <b", "cut"),
+        ("<article><p>cut <b title='x></b>y</p>", "cut"),
+        ("a < b <3 c</ x>d", "a < b <3 cd"),
         ("", ""),
     ],
 )
 def test_page(page, want):
-    assert html_text.main_texts([html_text.blocks_of(PAGE.format(page) if "cut" not in page else page)]) == [want]
+    assert page_text(PAGE.format(page) if "cut" not in page and "<3" not in page else page) == want
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ('<a "x', "<a b='x", "<p x=\"y", "<article><div class=ad>", "<!--", "<script>", "< / ", "<a b   ", "</"):
+        page = unit * (1_000_000 // len(unit))
+        start = time.perf_counter()
+        html_text.blocks_of(page)
+        assert time.perf_counter() - start < 5, unit
+
+
+def pages_frame(spark, rows):
+    return frame(spark, rows, "page_id long, url string, html string")
 
 
 def test_shared_runs_go_and_unique_ones_stay(spark):
     menu = "<p>Home News Sport Weather Travel Culture Money Health Science</p>"
     rows = [(k, f"https://u@Host.example:80/{k}", f"{menu}<p>only page {k} has this text of its own, number {k * k}</p>") for k in range(5)]
     rows += [(9, "https://other.example/", menu), (10, None, None), (11, "x", "<p>text</p>"), (11, "x", "<p>text</p>")]
-    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.op3(spark, frame(spark, rows, "page_id long, url string, html string")).collect())
+    df = pages_frame(spark, rows).withColumns({"host": F.lit("clash"), "shard": F.lit(1), "runs": F.lit(2), "text": F.lit("x")})
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.op3(spark, df).collect())
     want = [f"only page {k} has this text of its own, number {k * k}" for k in range(5)] + ["Home News Sport Weather Travel Culture Money Health Science", "", "text", "text"]
     assert got == [(i, t, len(t)) for (i, _, _), t in zip(rows, want)]
-    assert html_text.op3(spark, frame(spark, [], "page_id long, url string, html string")).count() == 0
+    assert html_text.op3(spark, pages_frame(spark, [])).count() == 0
 
 
-def test_text_outside_of_an_article_is_judged_by_its_repeats():
+def test_text_outside_of_an_article_is_judged_by_its_repeats(spark):
     """A small article does not take the rest of its page along: unique text stays in its place, shared runs go."""
     menu = "<p>Home News Sport Weather Travel Culture Money Health Science</p>"
-    pages = [f"{menu}<h1>headline {k}</h1><article><p>teaser {k}</p></article><div>the long story number {k} of this page</div>" for k in range(4)]
-    assert html_text.main_texts([html_text.blocks_of(p) for p in pages]) == [f"headline {k}\nteaser {k}\nthe long story number {k} of this page" for k in range(4)]
+    rows = [(k, "http://h/", f"{menu}<h1>headline {k}</h1><article><p>teaser {k}</p></article><div>the long story number {k} of this page</div>") for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.op3(spark, pages_frame(spark, rows)).collect()}
+    assert got == {k: f"headline {k}\nteaser {k}\nthe long story number {k} of this page" for k in range(4)}
+
+
+def texts_by_hand(rows):
+    """Counts of all RUN words in a row, article by article, with dictionaries."""
+    parsed = [(i, (u or '').split('//')[-1].split('/')[0], html_text.blocks_of(h or "")) for i, u, h in rows]
+    holders, articles = {}, {}
+    seen = set()
+
+    def runs(page):
+        streams = []
+        for b, (text, kind) in enumerate(page):
+            if kind != html_text.CHROME:
+                if not streams or streams[-1][0] != kind:
+                    streams.append((kind, []))
+                streams[-1][1].extend((w.translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER)), b, k) for k, w in enumerate(text.split(" ")))
+        for kind, words in streams:
+            for a in range(len(words) - html_text.RUN + 1):
+                yield kind, words[a : a + html_text.RUN]
+
+    for i, host, page in parsed:
+        own = [t.lower() for t, k in page if k == html_text.BODY] or [t.lower() for t, k in page if k == html_text.OPEN]
+        article = " ".join(own)
+        if own and (host, article) not in seen:
+            seen.add((host, article))
+            articles[host] = articles.get(host, 0) + 1
+            for key in {(host, kind, *(w for w, _, _ in run)) for kind, run in runs(page)}:
+                holders[key] = holders.get(key, 0) + 1
+    out = {}
+    for i, host, page in parsed:
+        hit = {b: np.zeros(len(t.split(" ")), bool) for b, (t, _) in enumerate(page)}
+        for kind, run in runs(page):
+            share, least = (html_text.BODY_SHARE, html_text.BODY_LEAST) if kind == html_text.BODY else (html_text.OPEN_SHARE, html_text.OPEN_LEAST)
+            n = holders[(host, kind, *(w for w, _, _ in run))]
+            if n >= least and n >= share * articles[host] - 1e-9:
+                for _, b, k in run:
+                    hit[b][k] = True
+        kept = []
+        for b, (text, kind) in enumerate(page):
+            left = " ".join([w for w, gone in zip(text.split(" "), html_text.boilerplate(hit[b])) if not gone])
+            if kind != html_text.CHROME and left:
+                kept.append(left)
+        out[i] = "\n".join(kept)
+    return out
 
 
-def test_suffix_ranks_sort_by_their_start():
+@pytest.mark.parametrize("shard_pages, sent", [(256, 4_000_000), (5, 4_000_000), (5, 0)])
+def test_boilerplate_of_a_host_against_plain_counts(spark, monkeypatch, shard_pages, sent):
+    """Runs in articles and outside of them, copies of an article, passages of some: the same however pages are dealt.
+
+    Without the suffix stage, every page with the plea inside its article would keep it.
+    """
+    monkeypatch.setattr(html_text, "SHARD_PAGES", shard_pages)
+    monkeypatch.setattr(html_text, "SENT_RUNS", sent)
+    rnd = random.Random(7)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    plea, passage, menu = "Please support our work with a small gift this month", prose(14), "one two three four five six seven eight nine"
+    rows = []
+    for k in range(40):
+        shared = f"<p>{prose(4)} {passage} {prose(4)}</p>" if k % 3 == 0 else ""
+        around = f"<div>{menu if k % 6 == 0 else prose(9)}</div>"
+        rows.append((k, "http://big.example/x", f"{around}<article><h1>{prose(3)}</h1><p>{prose(30)}</p>{shared}<p>{plea}</p><p>{prose(5)}</p></article>"))
+    copy = f"<article><p>{prose(40)}</p></article>"
+    rows += [(100 + k, "http://copies.example/", copy) for k in range(12)] + [(200 + k, "http://small.example/", f"<article><p>{plea} {prose(5)}</p></article>") for k in range(5)]
+    got = {r.page_id: r.text for r in html_text.op3(spark, pages_frame(spark, rows).repartition(3)).collect()}
+    assert got == texts_by_hand(rows)
+    plain = {i: page_text(h) for i, _, h in rows}
+    assert all(plea in plain[k] and plea not in got[k] for k in range(40)) and all(passage in got[k] for k in range(0, 40, 3))
+    assert all(got[k] == plain[k] for k in got if k >= 100) and not any(menu in got[k] for k in range(40))
+
+
+def test_suffix_array():
     rnd = np.random.default_rng(1)
-    x = rnd.integers(0, 3, 200)
-    rank = html_text.suffix_ranks(x, 8)
-    key = lambda i: list(x[i : i + 8])
-    for _ in range(500):
-        i, j = rnd.integers(0, 200, 2)
-        assert (rank[i] < rank[j]) == (key(i) < key(j)) and (rank[i] == rank[j]) == (key(i) == key(j))
-
-
-def test_copies_of_an_article_keep_their_text():
-    page = html_text.blocks_of(PAGE.format("<article><p>" + " ".join(f"w{i}" for i in range(50)) + "</p></article>"))
-    assert len(set(html_text.main_texts([page] * 6))) == 1 and html_text.main_texts([page] * 6)[0].endswith("w49")
+    for n in (0, 1, 2, 200):
+        x = rnd.integers(0, 3, n)
+        assert html_text.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+    x = np.tile(rnd.integers(0, 50, 40), 6)
+    assert html_text.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
 def test_entities():
