@@ -42,6 +42,8 @@ SHARD_PAGES, SHARD_BYTES = 256, 16 << 20
 #: What is listed to every task: so many hosts with several shards, so many runs; beyond that they are joined by a shuffle.
 SENT_HOSTS, SENT_RUNS, SALTS = 200_000, 4_000_000, 64
 CHROME, BODY, OPEN = 0, 1, 2
+#: Bytes of a word's hash. Runs are equal if all their words' hashes are, so few bytes tell them apart.
+WIDTH = 3
 
 # Names of HTML elements.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "button", "datalist", "canvas", "audio", "video", "head"}
@@ -216,7 +218,7 @@ class Words:
         blocks = [(p, b, kind, text) for p, page in enumerate(pages) for b, (text, kind) in enumerate(page) if kind != CHROME]
         self.block = [(p, b) for p, b, _, _ in blocks]
         hashes, count, _ = hasher.of([t for *_, t in blocks])
-        self.hashes = (hashes >> np.uint64(32)).astype(np.int64)
+        self.hashes = (hashes >> np.uint64(64 - 8 * WIDTH)).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(count)].astype(int)
         self.page = np.repeat(np.array([p for p, *_ in blocks], np.int64), count)
         self.kind = np.repeat(np.array([k for _, _, k, _ in blocks], np.int64), count)
@@ -239,6 +241,28 @@ def run_keys(x: np.ndarray, stretch: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return start, key[start].view(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Word hashes in WIDTH bytes each."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WIDTH].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 4), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def lengths(kind: np.ndarray) -> bytes:
+    """How long each row of equal kinds is, with the kind in the lowest bit: 1 for body."""
+    ends = np.flatnonzero(np.r_[kind[1:] != kind[:-1], True])
+    return (np.diff(np.r_[-1, ends]) * 2 + (kind[ends] == BODY)).astype("<u4").tobytes()
+
+
+def kinds_of(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, "<u4").astype(np.int64)
+    return np.repeat(np.where(x & 1, BODY, OPEN), x >> 1)
+
+
 def stretches(page: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """A number for each page's open or body words in a row."""
     return np.cumsum(np.r_[False, (page[1:] != page[:-1]) | (kind[1:] != kind[:-1])]) if len(page) else np.zeros(0, np.int64)
@@ -363,7 +387,7 @@ def cut(page: list[tuple[str, int]], hasher: WordHasher, runs: np.ndarray) -> st
 # ---- on Spark
 
 TOKENS = "host string, shard long, alone boolean, page_id long, article long, words binary, kinds binary"
-SHARDS = "host string, alone boolean, articles long, runs array<long>, words binary, pages binary, kinds binary"
+SHARDS = "host string, alone boolean, articles long, runs array<long>, words binary, sizes array<long>, kinds binary"
 LONGS = pa.list_(pa.int64())
 
 
@@ -391,7 +415,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if article[p] and (host, int(article[p])) not in seen:
                 seen.add((host, int(article[p])))
                 z = slice(bounds[p], bounds[p + 1])
-                rows.append((host, int(article[p]) % shards[p], shards[p] == 1, ids[p], int(article[p]), w.hashes[z].astype(np.uint32).tobytes(), w.kind[z].astype(np.uint8).tobytes()))
+                rows.append((host, int(article[p]) % shards[p], shards[p] == 1, ids[p], int(article[p]), packed(w.hashes[z]), lengths(w.kind[z])))
         if rows:
             types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split(" ")[0] for c in TOKENS.split(", ")])
@@ -402,14 +426,12 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rows = None, []
 
     def out() -> pa.RecordBatch:
-        words = [np.frombuffer(r[0], np.uint32) for r in rows]
-        x = np.concatenate(words).astype(np.int64)
-        page = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        kind = np.frombuffer(b"".join([r[1] for r in rows]), np.uint8).astype(np.int64)
+        words, kinds, sizes = b"".join([r[0] for r in rows]), b"".join([r[1] for r in rows]), [len(r[0]) // WIDTH for r in rows]
+        x, kind, page = unpacked(words), kinds_of(kinds), np.repeat(np.arange(len(rows)), sizes)
         host, _, alone = key
         keys, articles = shard_runs(x, page, kind, alone)
-        raw = [None] * 3 if alone else [x.astype(np.uint32).tobytes(), page.astype(np.uint32).tobytes(), kind.astype(np.uint8).tobytes()]
-        columns = [pa.array([host], pa.string()), pa.array([alone]), pa.array([articles], pa.int64()), pa.array([keys.tolist()], LONGS), *[pa.array([r], pa.binary()) for r in raw]]
+        words, sizes, kinds = (None, None, None) if alone else (words, sizes, kinds)
+        columns = [pa.array([host], pa.string()), pa.array([alone]), pa.array([articles], pa.int64()), pa.array([keys.tolist()], LONGS), pa.array([words], pa.binary()), pa.array([sizes], LONGS), pa.array([kinds], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in SHARDS.split(", ")])
 
     last = None
@@ -427,11 +449,10 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, words, pages, kinds, wanted) of each shard: (host, run, body, n)."""
+    """(host, words, sizes, kinds, wanted) of each shard: (host, run, body, n)."""
     for batch in batches:
-        for host, words, pages, kinds, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            x, page, kind = (np.frombuffer(raw, t).astype(np.int64) for raw, t in ((words, np.uint32), (pages, np.uint32), (kinds, np.uint8)))
-            key, body, n = held(x, page, kind, np.array(wanted, np.int64))
+        for host, words, sizes, kinds, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            key, body, n = held(unpacked(words), np.repeat(np.arange(len(sizes)), sizes), kinds_of(kinds), np.array(wanted, np.int64))
             yield pa.record_batch({"host": pa.array([host] * len(key), pa.string()), "run": pa.array(key), "body": pa.array(body), "n": pa.array(n)})
 
 
@@ -472,7 +493,7 @@ def host_runs(rows: DataFrame) -> DataFrame:
 
     several = shards.where("not alone")
     wanted = several.select("host", F.explode("runs").alias("run")).distinct().groupBy("host").agg(F.collect_list("run").alias("runs"))
-    asked = _by_host(several.select("host", "words", "pages", "kinds"), stash(wanted, "candidate-runs"), F.xxhash64("words")).where("runs is not null")
+    asked = _by_host(several.select("host", "words", "sizes", "kinds"), stash(wanted, "candidate-runs"), F.xxhash64("words")).where("runs is not null")
     counts = asked.mapInArrow(_recounted, "host string, run long, body boolean, n long").groupBy("host", "run", "body").agg(F.sum("n").alias("n"))
     articles = several.groupBy("host").agg(F.sum("articles").alias("articles"))
     least = lambda share, n: F.greatest(F.lit(n), F.ceil(F.col("articles") * share - 1e-9))
