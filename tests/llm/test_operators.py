@@ -114,6 +114,27 @@ def test_line_runs_of_any_number(spark, batches, fan_in):
     assert sorted(r.doc_id for r in got.where("n_dropped = 0").collect()) == [17, 18, 19]
 
 
+def test_a_known_hash_keeps_its_first_keeper(spark):
+    """The anti-join decides: a later batch's keeper counts for new hashes only, through merges too."""
+    runs = line_dedup.LineRuns(spark, fan_in=2)
+    batch = lambda *rows: frame(spark, rows, "_h1 long, _h2 long, n_docs long, keeper long").repartition(runs.buckets, "_h1", "_h2")
+    runs.add(batch((1, 1, 3, 50), (2, 2, 1, 51)))
+    assert {(r._h1, r.keeper) for r in runs.entering(batch((1, 1, 2, 40), (3, 3, 1, 41))).collect()} == {(1, None), (3, 41)}
+    runs.add(batch((1, 1, 2, 40), (3, 3, 1, 41)))
+    runs.add(batch((1, 1, 1, 30), (3, 3, 5, 31), (4, 4, 1, 32)))
+    assert [len(level) for level in runs.levels] == [1, 1]
+    assert sorted(tuple(r) for r in runs.merged().collect()) == [(1, 1, 6, 50), (2, 2, 1, 51), (3, 3, 6, 41), (4, 4, 1, 32)]
+    runs.drop()
+
+
+def test_line_dedup_needs_its_anti_join_and_leaves_no_run(spark, monkeypatch):
+    rows = [(k, LONG.format(k % 3)) for k in range(40)]
+    assert sorted((tuple(r) for r in line_dedup.op1(spark, frame(spark, rows)).collect()), key=repr) == lines_by_hand(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    monkeypatch.setattr(line_dedup.LineRuns, "entering", lambda self, batch: batch)
+    assert sorted((tuple(r) for r in line_dedup.op1(spark, frame(spark, rows)).collect()), key=repr) != lines_by_hand(rows)
+
+
 # ---- 2
 
 

@@ -1,9 +1,12 @@
 """Line dedup on levelled sorted runs of line hashes (DataFrame functions only).
 
-Lines come in batches. A run is a table of line hashes, bucketed and sorted by hash. Each batch
-is merge-anti-joined with the runs that stand, its own lines become a run of level 0, and as soon
-as a level holds ``fan_in`` runs they are merged into one run of the next level. So a batch meets
-few runs, and a hash is rewritten about log(batches) times.
+Lines come in batches, those of the highest ids first. A run is a table of line hashes, bucketed
+and sorted by hash. Each batch is merge-anti-joined with the runs that stand: a hash that none of
+them holds enters with its keeper, the highest id of the batch; of a known hash only the count is
+added. What comes of the batch is a run of level 0, and as soon as a level holds ``fan_in`` runs
+they are merged into one run of the next level. So a batch meets few runs, and a hash is rewritten
+about log(batches) times. Runs are dealt and sorted by hash on disk, so neither the anti-joins nor
+the merges shuffle them.
 
 Texts never travel with the hashes: a line is 16 bytes of hash and its place.
 """
@@ -15,10 +18,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, new_path, parts_wanted, range_cuts, range_part, remove, stash
+from .common import BLANKS, LOWER, UPPER, discard, new_path, parts_wanted, range_cuts, range_part, remove, stash
 
 HASHES = ["_h1", "_h2"]
 SENT = 4096
+#: Documents of a batch, where no number of batches is asked for; four batches at least.
+BATCH_DOCS, BATCHES = 1 << 22, 4
 
 
 def line_key(line: Column) -> Column:
@@ -32,71 +37,79 @@ def key_hashes(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """The runs. ``add`` takes (_h1, _h2, n_docs, keeper), one row per hash of the batch."""
+    """The runs. ``add`` takes (_h1, _h2, n_docs, keeper), one row per hash of the batch; ``drop`` deletes all.
+
+    Of a hash's rows in all runs exactly one has a keeper, that of the batch in which it was new.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets or parts_wanted(spark)
+        # A run has one file a bucket, so its scan may be taken as sorted.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = new_path(self.spark, "line-run")
-        writer = rows.repartition(self.buckets, *HASHES).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES)
-        writer.option("path", self.paths[name]).saveAsTable(name)
+        rows.select(*HASHES, "n_docs", "keeper").write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.paths.pop(name))
 
-    def _all(self) -> list[str]:
-        return [name for level in self.levels for name in level]
-
-    def _together(self, names: list[str]) -> DataFrame:
-        """All rows of some runs, from their files. A union of the tables would be taken as dealt by hash,
-        but Spark 4.1 reads the columnar batches of bucketed scans one run after another."""
-        return self.spark.read.schema("_h1 long, _h2 long, n_docs long, keeper long").parquet(*[self.paths[n] for n in names])
+    def all(self) -> list[str]:
+        """The runs' tables, the oldest first."""
+        return [name for level in reversed(self.levels) for name in level]
 
-    def fresh(self, batch: DataFrame) -> DataFrame:
-        """Rows of the batch whose hash no run holds: one merge anti-join per run, the runs unshuffled."""
-        for name in self._all():
-            batch = batch.join(self.spark.table(name).select(*HASHES).hint("merge"), HASHES, "left_anti")
-        return batch
+    def entering(self, batch: DataFrame) -> DataFrame:
+        """The batch, with a keeper only where no run holds the hash: one merge anti-join a run, which also leaves the known hashes' counts."""
+        known = F.lit(False)
+        for k, name in enumerate(self.all()):
+            run = self.spark.table(name).select(*HASHES, F.lit(True).alias(f"_in{k}"))
+            batch = batch.join(run.hint("merge"), HASHES, "left")
+            known = known | F.col(f"_in{k}").isNotNull()
+        return batch.withColumn("keeper", F.when(~known, F.col("keeper")))
 
     def add(self, batch: DataFrame) -> None:
-        """New hashes enter with their keeper; of known ones only the count is added, their keeper stands."""
-        new = self.fresh(batch)
-        if self._all():
-            seen = self._together(self._all()).select(*HASHES).distinct()
-            known = batch.join(seen.hint("merge"), HASHES, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            new = new.unionByName(known)
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(new))
-        self._compact()
-
-    def _compact(self) -> None:
+        self.levels[0].append(self._write(self.entering(batch)))
         for k, level in enumerate(self.levels):
-            if len(level) < self.fan_in:
-                continue
-            run = self._write(self.merged(level))
-            for name in level:
-                self._drop(name)
-            self.levels[k] = []
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(run)
-
-    def merged(self, names: list[str] | None = None) -> DataFrame:
-        """One row per hash: in how many documents, and its keeper."""
-        names = self._all() if names is None else names
-        if not names:
+            if len(level) >= self.fan_in:
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k] = []
+                self.levels[k + 1].append(self._merge(level))
+
+    def _merge(self, names: list[str]) -> str:
+        """One run of several, older first, pair by pair."""
+        out = names[0]
+        for name in names[1:]:
+            newer = self.spark.table(name).select(*HASHES, F.col("n_docs").alias("_n"), F.col("keeper").alias("_keeper"))
+            both = self.spark.table(out).join(newer.hint("merge"), HASHES, "full_outer")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))
+            merged = self._write(both.select(*HASHES, n.alias("n_docs"), F.coalesce("_keeper", "keeper").alias("keeper")))
+            for x in (out, name):
+                self._drop(x)
+            out = merged
+        return out
+
+    def merged(self) -> DataFrame:
+        """One row per hash: in how many documents, and its keeper. Leaves a single run."""
+        if not self.all():
             return self.spark.createDataFrame([], "_h1 long, _h2 long, n_docs long, keeper long")
-        return self._together(names).groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        self.levels = [[self._merge(self.all())]]
+        return self.spark.table(self.all()[0])
+
+    def drop(self) -> None:
+        for name in self.all():
+            self._drop(name)
+        self.levels = []
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan_in: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fan_in: int = 2) -> DataFrame:
     """``docs`` with ``kept`` (the text without dropped lines), ``n_lines`` and ``n_dropped``.
 
     A key is a line's text without ASCII white space at its ends and with A-Z lower-cased. Keys of
@@ -108,6 +121,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Rows of one id count as one document; a row repeated is treated as often as it stands.
     * Empty table: empty result. Other columns pass through, but for those named like a result,
       which are replaced; internal names start with ``_ld_``.
+
+    Lines come in ``batches``; unless given, as many as bound a batch's documents. Runs and lines
+    are deleted at the end; the places to drop stay in the shared folder for the result to read.
     """
     spark = docs.sparkSession
     docs = docs.drop("kept", "n_lines", "n_dropped")
@@ -120,6 +136,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("_line") >= min_chars)
         .select("_ld_id", "_ld_text", "_pos", *key_hashes(F.translate("_line", UPPER, LOWER)))
     )
+    if batches is None:
+        batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
     cuts = range_cuts(marked, "_ld_id", batches)
     # Higher ids first: the batch in which a hash is new holds its keeper.
     keys = stash(long_lines.withColumn("_batch", F.lit(len(cuts)) - range_part("_ld_id", cuts)), "line-keys", "_batch")
@@ -134,7 +152,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = keys.join(F.broadcast(sent), HASHES, "left")
     rest = held.where("_sent is null").drop("_sent").join(common.where(F.col("n_docs") < bound).select(*HASHES, "keeper"), HASHES)
     found = held.where("_sent is not null").withColumnRenamed("_sent", "keeper").unionByName(rest)
-    drops = found.where("_ld_id <> keeper").groupBy("_ld_id", "_ld_text").agg(F.collect_set("_pos").alias("_ld_drop"))
+    drops = stash(found.where("_ld_id <> keeper").groupBy("_ld_id", "_ld_text").agg(F.collect_set("_pos").alias("_ld_drop")), "line-drops")
+    runs.drop()
+    discard(keys)
+    discard(common)
     joined = marked.join(drops, ["_ld_id", "_ld_text"], "left").withColumn("_ld_lines", lines)
     n, drop = F.size("_ld_lines"), F.coalesce("_ld_drop", F.array().cast("array<int>"))
     places = F.array_except(F.sequence(F.lit(0), n - 1), drop)
