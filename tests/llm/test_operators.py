@@ -627,48 +627,121 @@ def test_counts_that_are_not_sent_are_joined(spark, monkeypatch):
     assert {(r.doc_id, r.base_score.__round__(6), r.n_known) for r in lm_score.lm_scores(frame(spark, rows)).collect()} == want
 
 
-def test_the_model_is_a_distribution():
-    rnd = np.random.default_rng(2)
-    table, bias = rnd.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32), np.zeros(lm_score.CLASSES, np.float32)
-    t = lm_score.tokens_of(["a few words", None, ""], lm_score.WordHasher())
-    z = lm_score.logits(table, bias, lm_score.features(t))
-    assert t.sizes.tolist() == [4, 1, 1] and np.allclose(np.exp(z - lm_score.log_total(z)[:, None]).sum(axis=1), 1, atol=1e-4)
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    return x ^ (x >> 29)
 
 
-def test_the_model_learns_what_follows(spark):
-    """Two kinds of texts with words of their own: the class of a word tells that of the next."""
-    rnd = random.Random(1)
-    kinds = [[w + e for w in "abcdefghij"] for e in ("xx", "yy", "zz")]
-    rows = [(i, " ".join(rnd.choice(kinds[i % 3]) for _ in range(60))) for i in range(300)]
-    got = [r for r in lm_score.lm_scores(frame(spark, rows), stride=2).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+def plain_features(hashes, near, path, place, level):
+    """The hash of each feature of one token at its node, number by number."""
+    top = 4 * (lm_score.MOST_LEVELS - 1)
+    see = lambda d: 7 if place < d else hashes[place - d] if hashes[place - d] in near else path[place - d] >> top
+    node = (path[place] >> 4 * (lm_score.MOST_LEVELS - level)) + (level << 40)
+    out = []
+    for k, kind in enumerate(lm_score.KINDS):
+        h = k + 1
+        for d in kind:
+            h = plain_mix((h * 0x9E3779B97F4A7C15 + see(d)) % 2**64)
+        out.append(plain_mix((h + node * 0xBF58476D1CE4E5B9) % 2**64) >> 24)
+    return out
 
 
-def test_every_position_is_learnt_from():
-    """At the production values, the rounds together meet every token of every text once."""
-    default = {k: p.default for k, p in inspect.signature(lm_score.lm_scores).parameters.items()}
-    assert {k: inspect.signature(lm_score.fit).parameters[k].default for k in ("rounds", "stride")} == {k: default[k] for k in ("rounds", "stride")}
-    texts = ["a", "b c", "d e f", None, "a b c d e f g h i j k"]
-    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
-    table, bias = np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), np.zeros(lm_score.CLASSES, np.float32)
-    met = np.zeros(lm_score.ROWS, np.int64)
-    for r in range(default["rounds"]):
-        for out in lm_score._train_task(iter([batch]), table, bias, default["stride"], r, 0.3):
-            for b, m in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-                met[b : b + lm_score.BLOCK] += np.frombuffer(m, np.int64)
-    t = lm_score.tokens_of(texts, lm_score.WordHasher())
-    want = np.bincount(lm_score.features(t).ravel(), minlength=lm_score.ROWS)
-    assert np.array_equal(met, want)
-    with pytest.raises(ValueError):
-        lm_score.fit(None, None, rounds=2, stride=8)
+@pytest.mark.parametrize("load", [8, 1e-3])
+def test_scores_by_hand(spark, monkeypatch, load):
+    """Table and scores token by token with dictionaries: with room for all words, and with few words as features."""
+    monkeypatch.setattr(lm_score, "LOAD", load)
+    plain, rows = tables(spark)
+    df = frame(spark, rows)
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 1
+    train = [t for i, t in rows if not held(i)]
+    counts = lm_score.word_counts(frame(spark, [(0, t) for t in train]))
+    model = lm_score.fit(frame(spark, [(0, t) for t in train]), counts)
+    monkeypatch.setattr(lm_score, "fit", lambda *_: model)
+    near, size = set(model.near.tolist()), len(model.table)
+    assert model.levels >= 1 and (len(near) == model.distinct) == (load == 8)
+    hasher = lm_score.WordHasher()
+    digit = lambda path, level: path >> 4 * (lm_score.MOST_LEVELS - 1 - level) & 15
+    met, words, tree = Counter(), Counter(), Counter()
+    for text in train:
+        t = lm_score.tokens_of([text], hasher)
+        h, path = t.hashes.tolist(), t.path.tolist()
+        words.update(h)
+        for k in range(len(h)):
+            for level in range(model.levels):
+                tree[level, path[k] >> 4 * (lm_score.MOST_LEVELS - level), digit(path[k], level)] += 1
+                for f in plain_features(h, near, path, k, level):
+                    met[f % size, digit(path[k], level)] += 1
+    code = lambda n: 0 if n == 0 else 1 + round(8 * math.log2(n))
+    assert {(r, d): code(n) for (r, d), n in met.items()} == {(r, d): int(model.table[r, d]) for r, d in zip(*(z.tolist() for z in np.nonzero(model.table[:, :16])))}
+    leaf = lambda path: path >> 4 * (lm_score.MOST_LEVELS - model.levels)
+    paths = {w: int(lm_score.path_of(np.array([w], np.uint64))[0]) for w in words}
+    mass, kinds = Counter(), Counter()
+    for w, n in words.items():
+        mass[leaf(paths[w])] += n
+        kinds[leaf(paths[w])] += 1
+
+    def score(text):
+        t = lm_score.tokens_of([text], hasher)
+        h, path, total, told = t.hashes.tolist(), t.path.tolist(), 0.0, []
+        row_total = lambda f: int(model.table[f % size, 16])
+        for k in range(len(h)):
+            mode = min(sum(told[-4:]), 2)
+            level = min(1, model.levels - 1)
+            f = plain_features(h, near, path, k, level)[lm_score.TELLING]
+            told.append(int(model.table[f % size, digit(path[k], level)] > 0 and row_total(f) <= lm_score.RARE))
+            for level in range(model.levels):
+                node = path[k] >> 4 * (lm_score.MOST_LEVELS - level)
+                seen = [tree[level, node, d] + 0.5 for d in range(16)]
+                z = [math.log(n / sum(seen)) for n in seen]
+                logit = list(z)
+                for kind, f in enumerate(plain_features(h, near, path, k, level)):
+                    often = 0 if row_total(f) == 0 else min(7, 1 + (row_total(f) - 1 + 2) // 8)
+                    for d in range(16):
+                        c = int(model.table[f % size, d])
+                        if c:
+                            logit[d] += model.weights[level, kind, mode * 8 + often] * ((c - 1) * math.log(2) / 8 - z[d])
+                total += logit[digit(path[k], level)] - math.log(sum(math.exp(v) for v in logit))
+            total += math.log((words[h[k]] + 0.5) / (mass[leaf(path[k])] + 0.5 * (kinds[leaf(path[k])] + 1)))
+        return total / math.log(10)
+
+    got = sorted(((r.doc_id, r.score) for r in lm_score.lm_scores(df).collect()), key=repr)
+    want = sorted(((i, score(t)) for i, t in rows), key=repr)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=2e-4, atol=1e-3)
 
 
 def test_the_model_learns_at_the_production_values(spark):
+    """Two kinds of texts with words of their own: a word tells what kind the next is of."""
     rnd = random.Random(1)
     kinds = [[w + e for w in "abcdefghij"] for e in ("xx", "yy", "zz")]
     rows = [(i, " ".join(rnd.choice(kinds[i % 3]) for _ in range(60))) for i in range(300)]
     got = [r for r in lm_score.lm_scores(frame(spark, rows)).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.3 * sum(r.n_tokens for r in got)
+
+
+def test_every_position_is_learnt_from():
+    """A round's task meets every token of every text, and its counts hold every feature of each, whatever a cell holds."""
+    texts = ["a", "b c", "d e f", None, "a b c d e f g h i j k", "w " * 70_000]
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    t = lm_score.tokens_of(texts, lm_score.WordHasher())
+    none = np.zeros(0, np.uint64)
+    (row,) = lm_score._train_task(iter([batch]), none, np.zeros((2, 64, 17), np.uint8), lm_score.node_shares(t.path, np.ones(len(t.path)), 2), np.full((2, 4, lm_score.BUCKETS), 0.25), 0.03)
+    assert row.column(0).to_pylist() == [len(t.path)] == [2 + 3 + 4 + 1 + 12 + 70_001]
+    total = 0
+    for out in lm_score._features_counted(iter([batch]), none, 2, 64):
+        for width, raw in zip(out.column(2).to_pylist(), out.column(3).to_pylist()):
+            total += int(np.frombuffer(lm_score.zstandard.ZstdDecompressor().decompress(raw), f"<u{width}").sum())
+    assert total == len(t.path) * 2 * len(lm_score.KINDS)
+
+
+def test_word_hashes_tell_words_apart():
+    """Also those that break polynomials modulo 2^64, and words that differ in one byte of any place."""
+    a, flip = "a", str.maketrans("ab", "ba")
+    while len(a) < 1024:
+        a += a.translate(flip)
+    words = [a, a.translate(flip)] + ["x" * k + c + "x" * (n - k - 1) for n in (1, 7, 8, 9, 17, 300) for k in range(n) for c in "yz"] + ["x" * n for n in range(1, 400)]
+    h, count = lm_score.WordHasher().of([" ".join(words), None, "A b", " a\tB "])
+    assert count.tolist() == [len(words), 0, 2, 2] and len(set(h[: len(words)].tolist())) == len(set(words))
+    assert h[-4:-2].tolist() == h[-2:].tolist()
 
 
 def test_nothing_to_learn_from(spark):

@@ -217,7 +217,7 @@ class Words:
         self.pages = pages
         blocks = [(p, b, kind, text) for p, page in enumerate(pages) for b, (text, kind) in enumerate(page) if kind != CHROME]
         self.block = [(p, b) for p, b, _, _ in blocks]
-        hashes, count, _ = hasher.of([t for *_, t in blocks])
+        hashes, count = hasher.of([t for *_, t in blocks])
         self.hashes = (hashes >> np.uint64(64 - 8 * WIDTH)).astype(np.int64)
         self.bounds = np.r_[0, np.cumsum(count)].astype(int)
         self.page = np.repeat(np.array([p for p, *_ in blocks], np.int64), count)

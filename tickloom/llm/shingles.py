@@ -14,57 +14,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-#: A random value for each byte, and a base (odd, so it has an inverse) of the polynomial hash of words.
-BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-BASE = 0x5851F42D4C957F2D
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 SMALL = np.arange(256, dtype=np.uint8)
 SMALL[65:91] += 32
-VALUES = BYTES[SMALL]
+#: What of eight bytes belongs to a word of so many.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one at a time.
+LONG = 256
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2^64."""
-    out = np.ones(1, np.uint64)
-    step = base
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % (1 << 64)
-    return out[:n]
+def _stirred(h: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    h = (h ^ eight) * MIX
+    h = (h ^ (h >> np.uint64(29))) * STEP
+    return h ^ (h >> np.uint64(32))
 
 
 class WordHasher:
-    """Hashes of all words of texts at once.
+    """Hashes of all words of texts at once, eight bytes of every word a round; A-Z count as a-z."""
 
-    A word's hash is a polynomial in its bytes, taken from running sums over the whole buffer.
-    """
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every word's hash in turn, how many words each text has, and every word's last three bytes as a number."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Every word's hash in turn, and how many words each text has."""
         raw = [(t or "").encode() for t in texts]
-        x = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        if len(x) > len(self.up):
-            n = 1 << len(x).bit_length()
-            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        x = SMALL[np.frombuffer(b" ".join(raw) + b" " * 9, np.uint8)]
         blank = BLANK[x]
-        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-        end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(VALUES[x] * self.down[: len(x)], out=sums[1:])
-        h = (sums[end] - sums[start]) * self.up[end - 1]
-        size = end - start
-        h = (h ^ (h >> np.uint64(32))) * MIX + size.astype(np.uint64)
-        h ^= h >> np.uint64(29)
-        small = SMALL[x]
-        tail = small[end - 1].astype(np.int64)
-        for k in (2, 3):
-            tail |= np.where(size >= k, small[np.maximum(end - k, 0)].astype(np.int64), 0) << 8 * (k - 1)
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            edge = np.r_[0, edge]
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(x) - 7,), "<u8", x, strides=(1,))
+        h = _stirred(size.astype(np.uint64) * STEP, eight[start] & MASKS[np.minimum(size, 8)])
+        live, k = np.flatnonzero(size > 8), 8
+        for i in live[size[live] > LONG]:
+            h[i] = xxhash.xxh64_intdigest(x[start[i] : start[i] + size[i]].tobytes(), 17)
+        live = live[size[live] <= LONG]
+        while len(live):
+            h[live] = _stirred(h[live], eight[start[live] + k] & MASKS[np.minimum(size[live] - k, 8)])
+            k += 8
+            live = live[size[live] > k]
         bounds = np.cumsum([len(t) + 1 for t in raw])
-        return h, np.diff(np.r_[0, np.searchsorted(start, bounds)]), tail
+        return h, np.diff(np.r_[0, np.searchsorted(start, bounds)]).astype(np.int64)
 
 
 def _mixed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -97,7 +86,7 @@ class Shingler:
         self.size, self.hasher = size, WordHasher()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        words, count, _ = self.hasher.of(texts)
+        words, count = self.hasher.of(texts)
         rolled = _rolled(words, self.size)
         out, at = [], 0
         for n in count.tolist():
