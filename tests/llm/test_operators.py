@@ -672,7 +672,7 @@ def test_scores_by_hand(spark, monkeypatch, load):
                 for f in plain_features(h, near, path, k, level):
                     met[f % size, digit(path[k], level)] += 1
     code = lambda n: 0 if n == 0 else 1 + round(8 * math.log2(n))
-    assert {(r, d): code(n) for (r, d), n in met.items()} == {(r, d): int(model.table[r, d]) for r, d in zip(*(z.tolist() for z in np.nonzero(model.table[:, :16])))}
+    assert {(r, d): code(n) for (r, d), n in met.items()} == {(r, d): int(model.table[r, d]) for r, d in zip(*(z.tolist() for z in np.nonzero(model.table)))}
     leaf = lambda path: path >> 4 * (lm_score.MOST_LEVELS - model.levels)
     paths = {w: int(lm_score.path_of(np.array([w], np.uint64))[0]) for w in words}
     mass, kinds = Counter(), Counter()
@@ -683,7 +683,7 @@ def test_scores_by_hand(spark, monkeypatch, load):
     def score(text):
         t = lm_score.tokens_of([text], hasher)
         h, path, total, told = t.hashes.tolist(), t.path.tolist(), 0.0, []
-        row_total = lambda f: int(model.table[f % size, 16])
+        row_total = lambda f: int(model.totals[f % size])
         for k in range(len(h)):
             mode = min(sum(told[-4:]), 2)
             level = min(1, model.levels - 1)
@@ -699,7 +699,7 @@ def test_scores_by_hand(spark, monkeypatch, load):
                     for d in range(16):
                         c = int(model.table[f % size, d])
                         if c:
-                            logit[d] += model.weights[level, kind, mode * 8 + often] * ((c - 1) * math.log(2) / 8 - z[d])
+                            logit[d] += model.weights[level, kind, mode * 8 + often] * math.log1p(16 * 2 ** ((c - 1) / 8))
                 total += logit[digit(path[k], level)] - math.log(sum(math.exp(v) for v in logit))
             total += math.log((words[h[k]] + 0.5) / (mass[leaf(path[k])] + 0.5 * (kinds[leaf(path[k])] + 1)))
         return total / math.log(10)
@@ -724,7 +724,7 @@ def test_every_position_is_learnt_from():
     batch = pa.record_batch({"text": pa.array(texts, pa.string())})
     t = lm_score.tokens_of(texts, lm_score.WordHasher())
     none = np.zeros(0, np.uint64)
-    (row,) = lm_score._train_task(iter([batch]), none, np.zeros((2, 64, 17), np.uint8), lm_score.node_shares(t.path, np.ones(len(t.path)), 2), np.full((2, 4, lm_score.BUCKETS), 0.25), 0.03)
+    (row,) = lm_score._train_task(iter([batch]), none, np.zeros((2, 64, 16), np.uint8), np.zeros((2, 64), np.uint8), lm_score.node_shares(t.path, np.ones(len(t.path)), 2), np.full((2, len(lm_score.KINDS), lm_score.BUCKETS), 0.25), 0.03)
     assert row.column(0).to_pylist() == [len(t.path)] == [2 + 3 + 4 + 1 + 12 + 70_001]
     total = 0
     for out in lm_score._features_counted(iter([batch]), none, 2, 64):
