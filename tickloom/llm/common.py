@@ -29,9 +29,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; where a local session names none (tests), a temporary one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(root)
@@ -93,6 +95,24 @@ def range_part(key: str, cuts: list[int]) -> F.Column:
     return F.coalesce(F.when(F.col(key).isNull(), 0).otherwise(inside), F.lit(0)).cast("int")
 
 
+#: A key with this share of the rows is heavy; there are at most 1 / share.
+HEAVY, HEAVY_LEAST = 1 / 4096, 512
+
+
+def join_heavy(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``side``, which has a row a key: heavy keys' rows are sent to every task, the others are joined by a shuffle.
+
+    ``rows`` is read several times, so it should be a table.
+    """
+    bound = max(HEAVY_LEAST, rows.count() * HEAVY)
+    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= bound).select(key)
+    sent = F.broadcast(heavy.join(side.withColumn("_found", F.lit(True)), key, "left").withColumn("_heavy", F.lit(True)))
+    held = rows.join(sent, key, "left")
+    rest = held.where("_heavy is null").select(*rows.columns).join(side, key, how)
+    done = held.where("_heavy" if how == "left" else "_heavy and _found").drop("_heavy", "_found")
+    return done.unionByName(rest)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of column ``text``; a longer text is a slice of its own."""
     for batch in batches:

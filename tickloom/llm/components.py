@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and all its v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+#: A node with this share of the edges is a hub; there are at most twice 1 / share.
+HUB, HUB_LEAST = 1 / 4096, 64
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Each (u, v) with m, the least of u and all its v; a hub's least is sent to every task, so its edges stay where they are."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    bound = max(HUB_LEAST, total * HUB)
+    held = edges.join(F.broadcast(least.where(F.col("n") >= bound).select("u", F.col("m").alias("_hub"))), "u", "left")
+    rest = held.where("_hub is null").drop("_hub").join(least.where(F.col("n") < bound).select("u", "m"), "u")
+    return held.where("_hub is not null").withColumnRenamed("_hub", "m").unionByName(rest)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,16 +27,16 @@ def components(links: DataFrame) -> DataFrame:
     Every round is written to the checkpoint folder, so a lost executor costs at most one round.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pointed = _with_least(large)
+        large = _with_least(both, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pointed = _with_least(large, total)
         small = pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pointed.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = small.checkpoint()
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
-        before = now
+        before, total = now, now["n"]
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -22,20 +22,26 @@ one edge a node.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_wanted, pieces, small_batches, stash
+from .common import join_heavy, parts_wanted, pieces, small_batches, stash
 from .components import components
 from .shingles import Shingler, set_id
 
 #: A shingle goes last if more than this share of all documents hold it (and this many at least).
 #: That bounds the list of such shingles by the mean number of shingles a document times 5000.
 HOT_SHARE, HOT_LEAST = 1 / 5000, 32
+#: Of such shingles the most frequent are listed, 32 MB at most; the order of the others is as good, only their lists are longer.
+HOT_MOST = 1 << 22
+#: Short lists with more places together are counted in an array, which gives the same as the heap.
+HEAP_MOST = 256
 #: Of a set of n shingles n * MEET // 100 short lists must be shared with a partner, 1 at least.
 MEET = 5
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 4096, 24 << 20, 3_000_000
@@ -88,6 +94,35 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
+def heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, times) of all that stand in ``least`` or more of the ascending lists.
+
+    The lists' heads wait in a heap. Where too few heads are equal, ``least`` - 1 of them move on to
+    the next head at once, as nothing before it can be often enough.
+    """
+    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
+    heapify(heap)
+    out = []
+    while len(heap) >= least:
+        value, same = heap[0][0], []
+        while heap and heap[0][0] == value:
+            same.append(heappop(heap))
+        if len(same) >= least:
+            out.append((value, len(same)))
+            to = value + 1
+        else:
+            while heap and len(same) < least - 1:
+                same.append(heappop(heap))
+            if not heap:
+                break
+            to = heap[0][0]
+        for _, k, at in same:
+            at = bisect_left(lists[k], to, at)
+            if at < len(lists[k]):
+                heappush(heap, (lists[k][at], k, at))
+    return out
+
+
 def links_in_block(sets: list[np.ndarray], percent: int, forest: Forest, begin: int = 1) -> None:
     """Join linked sets of the block in ``forest``, by DivideSkip for each set from ``begin`` on against those before it."""
     sizes = np.array([len(s) for s in sets])
@@ -96,35 +131,40 @@ def links_in_block(sets: list[np.ndarray], percent: int, forest: Forest, begin:
     order = np.argsort(flat, kind="stable")
     flat, docs = flat[order], owner[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    length = np.diff(np.r_[starts, len(flat)])
     token = np.empty(len(flat), np.int64)
-    token[order] = np.repeat(np.arange(len(starts)), length)
+    token[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))
     ends = np.cumsum(sizes)
-    roots = np.arange(len(sets))
-    for i in range(len(sets)):
-        roots[i] = forest.root(i)
+    roots = np.array([forest.root(i) for i in range(len(sets))])
+    # A list's sets ascend: those before the present one are its first ``upto``.
+    upto = np.zeros(len(starts), np.int64)
+    for i in range(min(begin, len(sets))):
+        upto[token[ends[i] - sizes[i] : ends[i]]] += 1
     for i in range(begin, len(sets)):
         n = int(sizes[i])
         t = needed(n, percent)
-        mine = token[ends[i] - n : ends[i]]
-        # A list's documents ascend: those before i are its head.
-        mine = mine[np.argsort(length[mine], kind="stable")]
-        mine = mine[docs[starts[mine]] < i]
+        every = token[ends[i] - n : ends[i]]
+        mine = every[upto[every] > 0]
+        size = upto[mine]
+        upto[every] += 1
         if len(mine) < t:
             continue
-        longest = int(length[mine[-1]])
-        skip = min(t - 1, int(t / (0.5 * np.log2(longest + 1) + 1)))
-        short, rest = mine[: len(mine) - skip], mine[len(mine) - skip :]
-        count = np.zeros(i, np.int64)
-        spans = np.concatenate([docs[starts[x] : starts[x] + length[x]] for x in short])
-        count += np.bincount(spans[spans < i], minlength=i)
-        found = np.flatnonzero(count >= t - skip)
-        found = found[roots[found] != roots[i]]
+        by = np.argsort(size, kind="stable")
+        mine, size = mine[by], size[by]
+        skip = min(t - 1, int(t / (0.5 * np.log2(int(size[-1]) + 1) + 1)))
+        short = len(mine) - skip
+        places = [docs[starts[x] : starts[x] + k] for x, k in zip(mine.tolist(), size.tolist())]
+        if int(size[:short].sum()) <= HEAP_MOST:
+            found = heap_merge([p.tolist() for p in places[:short]], t - skip)
+            found, both = (np.array(found, np.int64).T if found else np.zeros((2, 0), np.int64))
+        else:
+            count = np.bincount(np.concatenate(places[:short]), minlength=i)
+            found = np.flatnonzero(count >= t - skip)
+            both = count[found]
+        other = roots[found] != roots[i]
+        found, both = found[other], both[other].copy()
         if not len(found):
             continue
-        both = count[found]
-        for x in rest:
-            members = docs[starts[x] : starts[x] + length[x]]
+        for members in places[short:]:
             at = np.searchsorted(members, found)
             at[at == len(members)] = 0
             both += members[at] == found
@@ -288,7 +328,7 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     if labels is None:
         return stash(roots.select("node", F.col("root").alias("label")), "labels")
-    moved = labels.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    moved = join_heavy(labels, roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     fresh = roots.join(labels.select("node"), "node", "left_anti").select("node", F.col("root").alias("label"))
     return stash(moved.unionByName(fresh), "labels")
 
@@ -320,8 +360,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = stash(texts.mapInArrow(lambda b: _sets_and_hot(b, words), "kind int, a long, n long, node long"), "shingle-sets", "kind")
     members = found.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "node")
     total = members.count()
-    often = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, total * HOT_SHARE)).select("a")
-    hot = np.sort(np.array([r["a"] for r in often.collect()], np.int64).view(np.uint64))
+    often = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, total * HOT_SHARE)).orderBy(F.desc("n"), "a").limit(HOT_MOST).select("a")
+    hot = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
     sent = spark.sparkContext.broadcast(hot)
     short = texts.mapInArrow(lambda b: _short_lists(b, words, percent, sent.value), "shingle long, node long, n long")
     sorted_lists = short.repartition(parts_wanted(spark), "shingle").sortWithinPartitions("shingle", "node")
@@ -331,7 +371,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = lists.groupBy("node").agg(F.count("*").alias("met"), F.max("n").alias("n")).where(F.col("met") >= least_meets(F.col("n"), percent)).select("node")
     met = stash(met, "met-nodes")
     lists = stash(lists.join(met, "node", "left_semi"), "met-lists")
-    holders = members.join(met, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    holders = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(met, "node")
     some = stash(texts.join(holders, "doc_id").select("node", "n", "text"), "candidate-texts")
 
     labels: DataFrame | None = None
@@ -344,10 +384,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = _relabelled(labels, edges)
 
     labels = _relabelled(labels, _left_links(spark, lists, labels, some, words, percent))
-    rooted = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = rooted.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rooted = join_heavy(members.where("n > 0"), labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rooted = stash(rooted.select("doc_id", "n", "label"), "rooted")
+    least = rooted.groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = join_heavy(rooted, least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _left_links(spark: SparkSession, lists: DataFrame, labels: DataFrame | None, some: DataFrame, words: int, percent: int) -> DataFrame:
