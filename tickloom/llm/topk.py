@@ -3,8 +3,9 @@
 Vectors are sorted by descending length and packed into blocks, a row each. Vectors and queries
 are rotated into the basis of the singular vectors of all vectors, so a few first coordinates hold
 most of every product. A query meets a block only if |q| * |longest of the block| can reach its
-k-th best score so far (Cauchy-Schwarz), and a candidate only if the product of the first
-coordinates plus |rest of q| * |rest of c| can. What is left is multiplied exactly, in integers.
+k-th best score so far (Cauchy-Schwarz). A candidate goes on from one partial sum to the next, over
+the first 16, 64, 256, ... coordinates, as long as the sum plus |rest of q| * |rest of c| can. What is
+left is multiplied exactly, in integers.
 
 Queries are taken in blocks of bounded size, each sent to all tasks that hold candidate blocks.
 """
@@ -12,18 +13,17 @@ Queries are taken in blocks of bounded size, each sent to all tasks that hold ca
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_wanted, small_batches, stash
+from .common import discard, new_path, parts_wanted, small_batches, stash
 
-BLOCK, STRIDE, QUERY_BLOCK = 4096, 512, 16_384
-HEAD = 16
+BLOCK, STRIDE, QUERY_BLOCK, STEP = 4096, 512, 16_384, 1 << 18
+#: Where the partial sums end: each is HEADS times as long as the one before.
+HEAD, HEADS = 16, 4
 LEAST = np.iinfo(np.int64).min
 
 
@@ -117,15 +117,22 @@ class Search:
         self.ids, self.queries, self.basis, self.k = ids, queries, basis, k
         self.turned = queries.astype(float) @ basis
         self.norm = np.sqrt((self.turned**2).sum(axis=1))
-        self.rest = np.sqrt((self.turned[:, HEAD:] ** 2).sum(axis=1))
+        self.ends = [HEAD]
+        while self.ends[-1] * HEADS < basis.shape[1]:
+            self.ends.append(self.ends[-1] * HEADS)
+        self.rest = self._rests(self.turned)
         self.floor = floor.copy()  # no score below this is among a query's k best
         self.most = float(np.abs(queries).max(initial=0))
         self.best: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 3  # query, score, id
 
+    def _rests(self, turned: np.ndarray) -> list[np.ndarray]:
+        """What each partial sum leaves out: the length of the coordinates from its end on."""
+        return [np.sqrt((turned[:, h:] ** 2).sum(axis=1)) for h in self.ends]
+
     def meet(self, ids: np.ndarray, ints: np.ndarray) -> None:
         turned = ints.astype(float) @ self.basis
         norm = np.sqrt((turned**2).sum(axis=1))
-        rest = np.sqrt((turned[:, HEAD:] ** 2).sum(axis=1))
+        rest = self._rests(turned)
         if self.most * float(np.abs(ints).max(initial=0)) * ints.shape[1] >= 2**62:
             raise ValueError("components are too large for a 64-bit inner product")
         for a in range(0, len(ids), STRIDE):
@@ -137,13 +144,17 @@ class Search:
                     return  # the rest is no longer
                 continue
             first = self.turned[live, :HEAD] @ turned[z, :HEAD].T
-            reach = first + self.rest[live][:, None] * rest[z] + slack[live][:, None] >= self.floor[live][:, None]
+            reach = first + self.rest[0][live][:, None] * rest[0][z] + slack[live][:, None] >= self.floor[live][:, None]
             q, c = np.nonzero(reach)
-            q, c = live[q], c + a
+            part, q, c = first[q, c], live[q], c + a
             keep = self.ids[q] != ids[c]
-            q, c = q[keep], c[keep]
-            for b in range(0, len(q), 1 << 18):
-                y = slice(b, b + (1 << 18))
+            part, q, c = part[keep], q[keep], c[keep]
+            for k, (lo, hi) in enumerate(zip(self.ends, self.ends[1:]), 1):
+                part = part + np.concatenate([np.einsum("ij,ij->i", self.turned[q[b : b + STEP], lo:hi], turned[c[b : b + STEP], lo:hi]) for b in range(0, len(q), STEP)] or [part])
+                keep = part + self.rest[k][q] * rest[k][c] + slack[q] >= self.floor[q]
+                part, q, c = part[keep], q[keep], c[keep]
+            for b in range(0, len(q), STEP):
+                y = slice(b, b + STEP)
                 score = np.einsum("ij,ij->i", self.queries[q[y]], ints[c[y]])
                 good = score >= self.floor[q[y]]
                 self._keep(q[y][good], score[good], ids[c[y][good]])
@@ -202,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     held = blocks(pick(vectors), BLOCK, "vector-blocks")
     asked = blocks(pick(queries), 1024, "query-blocks")
     longest = held.groupBy("dim").agg(F.max("top").alias("top"))
-    found = []
+    out = new_path(spark, "top-k")
     batch: list = []
 
     def run(rows: list) -> None:
@@ -220,18 +231,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         for numbers, *_, floor in groups.values():
             floor[:] = [floors.get(int(i), LEAST) for i in numbers]
         again = spark.sparkContext.broadcast(groups)
-        found.append(stash(_ranked(held.mapInArrow(lambda b: _searched(b, again.value, k), OUT), k), "top-k"))
+        # All blocks' results are one table, so the plan does not grow with their number.
+        _ranked(held.mapInArrow(lambda b: _searched(b, again.value, k), OUT), k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        sent.unpersist()
+        again.unpersist()
 
-    count = 0
+    count, blocks_done = 0, 0
     for row in asked.toLocalIterator():
         batch.append(row)
         count += len(row["ids"]) // 8
         if count >= QUERY_BLOCK:
             run(batch)
-            batch, count = [], 0
-    if batch or not found:
+            batch, count, blocks_done = [], 0, blocks_done + 1
+    if batch or not blocks_done:
         run(batch)
-    return reduce(DataFrame.unionByName, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    discard(asked)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(out)
 
 
 def op2(spark: SparkSession, vectors: DataFrame) -> DataFrame:
