@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, token_files, topk, toxicity
+from tickloom.llm import bpe, common, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, token_files, topk, toxicity
 from tickloom.llm.common import range_cuts, range_part
 from tickloom.llm.components import components
 
@@ -80,6 +80,30 @@ def test_components(spark):
     assert components(frame(spark, [], "u long, v long")).count() == 0
 
 
+def test_components_of_stars(spark):
+    """Hubs hold most edges; they are split off from the join, and the result is the same."""
+    links = [(0, i) for i in range(1, 400)] + [(1000, 1000 + i) for i in range(1, 200)] + [(1100, 2000), (2000, 2001), (7, 3000)]
+    want = {i: 0 for i in [*range(400), 3000]} | {1000 + i: 1000 for i in range(200)} | {2000: 1000, 2001: 1000}
+    assert {r.node: r.root for r in components(frame(spark, links, "u long, v long")).collect()} == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_heavy_keys_join_like_others(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HEAVY_LEAST", 5)
+    rows = [(k, i) for k, n in ((1, 50), (2, 3), (3, 20), (4, 1), (None, 9)) for i in range(n)]
+    left, side = frame(spark, rows, "k long, i long"), frame(spark, [(1, 10), (2, 20), (5, 50)], "k long, v long")
+    got = sorted((tuple(r) for r in common.join_heavy(left, side, "k", how).select("k", "i", "v").collect()), key=repr)
+    v = {1: 10, 2: 20}
+    assert got == sorted(((k, i, v.get(k)) for k, i in rows if how == "left" or k in v), key=repr)
+
+
+def test_a_cluster_session_without_a_shared_folder_is_an_error():
+    conf = type("C", (), {"get": lambda *_: None})()
+    sc = type("S", (), {"getConf": lambda _: conf, "getCheckpointDir": lambda _: None, "master": "spark://host:7077"})()
+    with pytest.raises(ValueError):
+        common.shared_dir(type("Spark", (), {"sparkContext": sc})())
+
+
 # ---- 1
 
 
@@ -152,6 +176,21 @@ def test_top_k(spark):
     got = sorted(tuple(r) for r in topk.op2(spark, df).select("query_id", "rank", "vec_id", "score").collect())
     assert got == sorted(want)
     assert topk.op2(spark, df.limit(0)).count() == 0
+    wide = df.withColumns({"id": F.lit(1), "v": F.lit(2), "rank": F.lit(3), "score": F.lit(4)})
+    assert sorted(tuple(r) for r in topk.op2(spark, wide).collect()) == got
+
+
+def test_partial_sums_of_long_vectors_and_several_query_blocks(spark, monkeypatch):
+    """Three partial sums, and queries in more than one block: one table of results."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=300) * 0.9 ** np.arange(300)]) for i in range(300)]
+    ints = np.floor(256 * np.array([np.array(v, np.float32).astype(float) for _, v in rows])).astype(int)
+    want = []
+    for q in range(0, 300, 50):
+        scores = ints @ ints[q]
+        want += [(q, k + 1, i, int(scores[i])) for k, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:5])]
+    assert sorted(tuple(r) for r in topk.op2(spark, frame(spark, rows, "vec_id long, embedding array<float>")).collect()) == want
 
 
 # ---- 3
@@ -326,6 +365,16 @@ def test_bpe_equals_the_library(vocabulary, library):
         assert model.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_a_file_with_other_settings_is_an_error(tmp_path, vocabulary):
+    spec = json.load(open(vocabulary))
+    spec["normalizer"] = {"type": "NFKC"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    for made in (bpe.WordBpe, token_files.Library):
+        with pytest.raises(ValueError):
+            made(str(path))
+
+
 def test_unsafe_merges_go_one_at_a_time(tmp_path, vocabulary):
     """A later pair may make a token that an earlier rank merges; both libraries must then agree."""
     from tokenizers import Tokenizer
@@ -529,6 +578,32 @@ def test_jaccard_of_a_chain_and_of_nothing(spark):
     assert jaccard_join.op8(spark, frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_heap_merge_against_counts(seed):
+    rnd = random.Random(seed)
+    for _ in range(60):
+        lists = [sorted(rnd.sample(range(40), rnd.randint(0, 25))) for _ in range(rnd.randint(1, 9))]
+        least = rnd.randint(1, len(lists))
+        count = Counter(v for x in lists for v in x)
+        assert jaccard_join.heap_merge(lists, least) == sorted((v, n) for v, n in count.items() if n >= least)
+
+
+@pytest.mark.parametrize("heap_most", [0, 10**9])
+def test_blocks_join_the_same_by_heap_and_by_array(monkeypatch, heap_most):
+    monkeypatch.setattr(jaccard_join, "HEAP_MOST", heap_most)
+    test_divide_skip_joins_what_all_pairs_join()
+
+
+def test_one_component_of_many_texts_and_one_list_of_many(spark):
+    """A chain of 1,500 texts, and 800 different texts that all hold the same eight words."""
+    chain = [(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(1500)]
+    rnd = random.Random(12)
+    common_words = "all of these hold the very same words"
+    loose = [(5000 + i, common_words + " " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(30))) for i in range(800)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.op8(spark, frame(spark, chain + loose)).collect()}
+    assert got == {i: 0 if i < 1500 else i for i, _ in chain + loose}
+
+
 def test_divide_skip_joins_what_all_pairs_join():
     rnd = np.random.default_rng(5)
     base = rnd.integers(0, 1 << 60, 80).astype(np.uint64)

@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkCache, WordSplitter, rejoin
+from .chunks import ChunkCache, WordSplitter, check_settings, rejoin
 from .common import pieces, small_batches
 
 NEVER = np.iinfo(np.int32).max
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if it is one, else the next from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -36,6 +38,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -15,6 +15,21 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|\n"
 
 
+# The settings that the code here follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def check_settings(spec: dict) -> None:
+    """Raise unless a tokenizer file normalises and splits texts as the code here does; other files need other code."""
+    model = spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].startswith("<|") for t in spec["added_tokens"])
+    if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} or model["type"] != "BPE" or not plain or not added:
+        raise ValueError("this tokenizer file splits or normalises texts in another way")
+
+
 class WordSplitter:
     """The words that such a tokenizer makes of chunks, before it merges letters."""
 

@@ -14,6 +14,7 @@ one whole file.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, WordSplitter, rejoin
+from .chunks import ChunkCache, WordSplitter, check_settings, rejoin
 from .common import new_path, parts_wanted, pieces, range_cuts, range_part, small_batches
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -40,6 +41,7 @@ class Library:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        check_settings(json.loads(self.model.to_str()))
         self.model.no_padding()
         self.model.no_truncation()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
