@@ -7,6 +7,8 @@ import math
 import random
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +381,85 @@ def test_paged_source(spark):
     spark.dataSource.register(PagedTicks)
     df = spark.read.format("paged_ticks").options(symbols="A,B", client="tests.test_units:pages", target="12", page="5", pause="0").load()
     assert df.groupBy("symbol").count().orderBy("symbol").collect() == [("A", 12), ("B", 12)]
+
+
+# ---- backtests of any duration, in chunks, and trade by trade
+
+
+def backtest_by_hand(prices, digits, rule, stake_of, payout, bankroll=10.0, base=0.35, duration=1, cooldown=0, stop_at_ruin=True):
+    """One tick after another: (i, won, stake, bankroll after) of every trade."""
+    money, losses, wins, last, out, i = bankroll, 0, 0, -(10**9), [], 1
+    while i < len(prices) - 3:
+        if i - last <= cooldown or not rule(i):
+            i += 1
+            continue
+        stake = max(base, stake_of(money, losses, wins, base))
+        if stake > money:
+            if stop_at_ruin:
+                break
+            stake = money
+        end = i + 1 + duration
+        if end >= len(prices):
+            break
+        won = digits[end] % 2 == 0
+        money = round(money + (stake * (payout - 1) if won else -stake), 8)
+        losses, wins = (0, wins + 1) if won else (losses + 1, 0)
+        out.append((i, won, stake, money))
+        last = i
+        if money < base and stop_at_ruin:
+            break
+        i = end
+    return out
+
+
+@pytest.mark.parametrize("duration, cooldown, size", [(1, 0, 1_000_000), (5, 0, 11), (1, 7, 16)])
+@pytest.mark.parametrize("stake", ["flat", "martingale", "anti_martingale"])
+def test_backtests_in_chunks_against_a_loop(spark, duration, cooldown, size, stake):
+    rnd = random.Random(duration * 100 + cooldown)
+    prices = [100 + rnd.randrange(1000) / 100 for _ in range(160)]
+    ticks = spark.createDataFrame([("a", i, p, int(round(p * 100)) % 10) for i, p in enumerate(prices)], "symbol string, i long, price double, digit int")
+    digits = [int(round(p * 100)) % 10 for p in prices]
+    for rule, fires in (("even", lambda i: True), ("gambler_even", lambda i: digits[i] <= 2)):
+        found = C.signals(C.with_context(ticks, duration=duration), ["even"]).where(F.lit(True) if rule == "even" else F.col("i").isin([i for i in range(160) if digits[i] <= 2]))
+        taken = C.selected(found, duration, cooldown, size).withColumn("payout", F.lit(1.95))
+        got = C.equity(C.trades(taken, [("x", "even", stake)])).orderBy("k").collect()
+        want = backtest_by_hand(prices, digits, fires, C.LIVE_STAKES[stake], 1.95, duration=duration, cooldown=cooldown)
+        assert [(r.i, r.won, r.stake, r.after) for r in got] == want
+        turn = C.trades_in_turn(taken, [("x", "even", stake)]).where("not _cut").orderBy("k").collect()
+        assert [(r.i, r.won, r.stake, r.after) for r in turn] == want
+
+
+def test_an_account_that_goes_on(spark):
+    rnd = random.Random(5)
+    prices = [100 + rnd.randrange(1000) / 100 for _ in range(300)]
+    digits = [int(round(p * 100)) % 10 for p in prices]
+    ticks = spark.createDataFrame([("a", i, p, d) for i, (p, d) in enumerate(zip(prices, digits))], "symbol string, i long, price double, digit int")
+    taken = C.selected(C.signals(C.with_context(ticks), ["even"])).withColumn("payout", F.lit(1.95))
+    for stake in ("martingale", "tenth"):
+        got = C.trades_in_turn(taken, [("x", "even", stake)], stop_at_ruin=False).orderBy("k").collect()
+        want = backtest_by_hand(prices, digits, lambda i: True, C.LIVE_STAKES[stake], 1.95, stop_at_ruin=False)
+        assert [(r.i, r.won, r.stake, r.after) for r in got] == want
+
+
+def test_the_stake_that_never_grows(spark):
+    """The zero-edge stake is the base, whatever came before."""
+    rows = spark.createDataFrame([(3, 0), (0, 2)], "losses_before int, wins_before int")
+    assert {r.s for r in rows.select(C.STAKES["kelly_zero"](0.35).alias("s")).collect()} == {0.35}
+
+
+def test_verdict_against_pandas(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["XAUUSD", "B"]), round(rnd.random(), 2), rnd.gauss(0, 1)) for _ in range(200)]
+    pdf = pd.DataFrame(rows, columns=["symbol", "p", "r"])
+    pdf["win"] = (pdf.r > 0).astype(int)
+    got = L.verdict(spark.createDataFrame(pdf)).first()
+    w, l = pdf[pdf.win == 1].p.to_numpy(), pdf[pdf.win == 0].p.to_numpy()
+    auc = ((w[:, None] > l).sum() + (w[:, None] == l).sum() / 2) / (len(w) * len(l))
+    top = pdf[pdf.p >= np.percentile(pdf.p, 70)].r.mean() - pdf.r.mean()
+    gold = pdf[pdf.symbol == "XAUUSD"]
+    gain = gold[gold.p >= np.percentile(gold.p, 50)].r.mean() - gold.r.mean()
+    assert (got.n, got.gold_n) == (200, len(gold)) and got.skilled == (auc >= 0.52 and top > 0.02)
+    assert np.allclose([got.auc, got.top30_gain, got.gold_gain], [auc, top, gain])
+    few = L.verdict(spark.createDataFrame(pdf.assign(symbol="B"))).first()
+    assert few.gold_n == 0 and few.gold_gain is None
+

@@ -72,6 +72,17 @@ def selectivity(scored: DataFrame, p: str = "p") -> DataFrame:
     return kept.groupBy("top").agg(F.count("*").alias("trades"), (F.avg("win") * 100).alias("win_pct"), F.avg("r").alias("mean_r"), (F.avg("r") - F.first("_all")).alias("gain"))
 
 
+def verdict(scored: DataFrame, p: str = "p", skill: float = 0.52, gain: float = 0.02, gold: str = "XAUUSD") -> DataFrame:
+    """One row: n, auc, the gain in mean r of the best 30 % over all, whether these show skill, and what taking the better half gains for one symbol (null at ten samples or fewer)."""
+    top = selectivity(scored, p).where("top = 30").select(F.col("gain").alias("top30_gain"))
+    ours = scored.where(F.col("symbol") == gold)
+    cut = ours.agg(F.percentile(p, 0.5).alias("_cut"), F.avg("r").alias("_all"), F.count("*").alias("gold_n"))
+    half = ours.join(F.broadcast(cut)).agg(F.avg(F.when(F.col(p) >= F.col("_cut"), F.col("r"))).alias("_half"), F.first("_all").alias("_all"), F.count("*").alias("gold_n"))
+    half = half.select("gold_n", F.when(F.col("gold_n") > 10, F.col("_half") - F.col("_all")).alias("gold_gain"))
+    one = auc(scored, p).join(F.broadcast(half)).join(F.broadcast(top), how="left")
+    return one.select("n", "auc", "top30_gain", F.coalesce((F.col("auc") >= skill) & (F.col("top30_gain") > gain), F.lit(False)).alias("skilled"), "gold_n", "gold_gain")
+
+
 def walk_forward(folded: DataFrame, iterations: int = 160, depth: int = 3, rate: float = 0.05, subsample: float = 0.8, seed: int = 7, rows_a_task: int = 100_000) -> DataFrame:
     """The tested samples with ``p``, each fold scored by boosted trees that learnt on the rows before its embargo.
 

@@ -233,3 +233,11 @@ def portfolio(rows: DataFrame, start: float = 10_000.0) -> DataFrame:
     days = filled.groupBy("variant", "date").agg(F.avg("v").alias("value"))
     past = Window.partitionBy("variant").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return days.withColumn("drawdown", F.col("value") / F.max("value").over(past) - 1)
+
+
+def portfolio_sharpe(days: DataFrame, year: int = 252) -> DataFrame:
+    """variant, days, sharpe, of the portfolio's daily changes (the first day's is 0), a year's worth; 0 where nothing changes."""
+    w = Window.partitionBy("variant").orderBy("date")
+    change = F.coalesce(F.col("value") / F.lag("value").over(w) - 1, F.lit(0.0))
+    moved = days.withColumn("_c", change).groupBy("variant").agg(F.count("*").alias("days"), F.avg("_c").alias("_m"), F.stddev_samp("_c").alias("_s"))
+    return moved.select("variant", "days", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * year**0.5).otherwise(0.0).alias("sharpe"))

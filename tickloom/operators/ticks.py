@@ -125,12 +125,13 @@ def cent_moments(moves: DataFrame) -> DataFrame:
     return moves.groupBy("symbol").agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.round(F.min(c), 6).alias("least"), F.round(F.max(c), 6).alias("most"))
 
 
-def spikes(moves: DataFrame) -> DataFrame:
-    """Moves in both readings: symbol, side ('down' or 'up': which moves are spikes), i, dp, spike, small."""
+def spikes(moves: DataFrame, least: float = 0.0) -> DataFrame:
+    """Moves in both readings: symbol, side ('down' or 'up': which moves are spikes), i, dp, spike, small. With ``least``, spikes have that size or more."""
     sides = F.explode(F.array(F.lit("down"), F.lit("up")))
     rows = moves.select("symbol", sides.alias("side"), "i", "dp")
     down = F.col("side") == "down"
-    return rows.withColumns({"spike": F.when(down, F.col("dp") < 0).otherwise(F.col("dp") > 0), "small": F.when(down, F.col("dp") > 0).otherwise(F.col("dp") < 0)})
+    far = (lambda x: x >= least) if least else (lambda x: x > 0)
+    return rows.withColumns({"spike": F.when(down, far(-F.col("dp"))).otherwise(far(F.col("dp"))), "small": F.when(down, F.col("dp") > 0).otherwise(F.col("dp") < 0)})
 
 
 def spike_stats(moves: DataFrame) -> DataFrame:
@@ -154,12 +155,12 @@ def spike_stats(moves: DataFrame) -> DataFrame:
     )
 
 
-def waits(moves: DataFrame, size: int = 1_000_000) -> DataFrame:
+def waits(moves: DataFrame, size: int = 1_000_000, least: float = 0.0) -> DataFrame:
     """``spikes`` with ``place`` (from 0 among the moves) and ``since``: moves since the last spike before (from -1 on).
 
     The last spike is looked for within a chunk of places, and else taken from the chunks before.
     """
-    rows = spikes(moves).withColumns({"place": F.col("i") - 1, "_chunk": F.floor((F.col("i") - 1) / size)})
+    rows = spikes(moves, least).withColumns({"place": F.col("i") - 1, "_chunk": F.floor((F.col("i") - 1) / size)})
     mark = F.when(F.col("spike"), F.col("place"))
     ends = rows.groupBy("symbol", "side", "_chunk").agg(F.max(mark).alias("_end"))
     carry = Window.partitionBy("symbol", "side").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,9 +179,9 @@ def spike_gaps(moves: DataFrame, least: int = 30) -> DataFrame:
     return out.where(F.col("gaps") > least).select("symbol", "side", "gaps", F.round("_mean", 6).alias("mean"), "median", "most", F.round("_std", 6).alias("std"), F.round(F.try_divide(F.col("_std"), F.col("_mean")), 6).alias("std_by_mean"))
 
 
-def hazard(moves: DataFrame) -> DataFrame:
+def hazard(moves: DataFrame, least: float = 0.0) -> DataFrame:
     """symbol, side, bucket (0 to 4 by half mean gaps waited), at_risk, fired, hazard."""
-    rows = waits(moves)
+    rows = waits(moves, least=least)
     gaps = rows.where("spike and last >= 0").groupBy("symbol", "side").agg(F.count("*").alias("_g"), F.avg("since").alias("_mean")).where("_g > 30")
     edge = lambda x: F.floor(F.col("_mean") * x)
     bucket = F.when(F.col("since") < edge(0.5), 0).when(F.col("since") < edge(1.0), 1).when(F.col("since") < edge(1.5), 2).when(F.col("since") < edge(2.0), 3).otherwise(4)
@@ -188,9 +189,9 @@ def hazard(moves: DataFrame) -> DataFrame:
     return out.withColumn("hazard", F.round(F.col("fired") / F.col("at_risk"), 6))
 
 
-def hazard_chi2(moves: DataFrame) -> DataFrame:
+def hazard_chi2(moves: DataFrame, least: float = 0.0) -> DataFrame:
     """Independence of waiting bucket (the open last one left out) and spike; series with an empty bucket are left out."""
-    rows = hazard(moves).where("bucket < 4")
+    rows = hazard(moves, least).where("bucket < 4")
     full = rows.groupBy("symbol", "side").agg(F.count("*").alias("_b")).where("_b = 4").drop("_b")
     cells = rows.join(full, ["symbol", "side"]).select("symbol", "side", "bucket", F.inline(F.array(F.struct(F.lit(1).alias("hit"), F.col("fired").alias("n")), F.struct(F.lit(0).alias("hit"), (F.col("at_risk") - F.col("fired")).alias("n")))))
     return independence(cells, ["symbol", "side"], "bucket", "hit")

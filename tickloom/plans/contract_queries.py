@@ -18,8 +18,8 @@ def _barrier():
     return F.coalesce("barrier", F.lit(-1)).alias("barrier")
 
 
-def _context(spark, d):
-    return C.with_context(with_digit(ticks(spark, d)))
+def _context(spark, d, duration=1):
+    return C.with_context(with_digit(ticks(spark, d)), duration=duration)
 
 
 def _grid(spark, d):
@@ -64,9 +64,21 @@ def payout_lookup(spark, d):
     return out.groupBy("symbol", "rule", "contract", _barrier(), "payout").agg(F.count("*").alias("n"))
 
 
-def _trades(spark, d):
-    taken = C.selected(C.signals(_context(spark, d), list(C.RULES)))
-    return C.trades(C.look_up(taken, _quotes(spark, d), C.fallback(spark)))
+def _taken(spark, d, duration=1, cooldown=0):
+    taken = C.selected(C.signals(_context(spark, d, duration), list(C.RULES)), duration, cooldown)
+    return C.look_up(taken, _quotes(spark, d), C.fallback(spark))
+
+
+def _trades(spark, d, duration=1, cooldown=0):
+    return C.trades(_taken(spark, d, duration, cooldown))
+
+
+#: Combos whose stakes see the bankroll; their account goes on with what is left.
+LIVE = [("even_tenth", "even", "tenth"), ("differs_tenth", "differs", "tenth"), ("even_martingale_on", "even", "martingale")]
+
+
+def bt_live_stakes(spark, d):
+    return C.summary(C.trades_in_turn(_taken(spark, d), LIVE, stop_at_ruin=False))
 
 
 def _equity(prefix):
@@ -88,6 +100,10 @@ QUERIES = {
     "bt_anti_martingale": _equity("anti_martingale"),
     "bt_equity_curve": lambda s, d: C.equity(_trades(s, d)).select("symbol", "combo", "k", F.round("after", 6).alias("after"), F.round("peak", 6).alias("peak")),
     "bt_summary": lambda s, d: C.summary(_trades(s, d)),
+    # Without net / trades, a quotient that the two engines round apart where it is a tie.
+    "bt_duration5": lambda s, d: C.summary(_trades(s, d, duration=5)).drop("ev_per_trade"),
+    "bt_cooldown": lambda s, d: C.summary(_trades(s, d, cooldown=7)).drop("ev_per_trade"),
+    "bt_live_stakes": bt_live_stakes,
     "bt_report": lambda s, d: C.report_lines(C.summary(_trades(s, d))),
 }
 
@@ -112,8 +128,19 @@ TAKEN = f"""{CONTEXT}, r1 AS (SELECT *, i - row_number() OVER (PARTITION BY symb
 tk AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY symbol, rule, run ORDER BY i) % 2 = 1),
 pl AS (SELECT tk.*, coalesce(q.payout, fb.payout) AS payout FROM tk LEFT JOIN q ON q.symbol = tk.symbol AND q.contract = tk.contract AND q.barrier IS NOT DISTINCT FROM tk.barrier
   LEFT JOIN fb ON fb.contract = tk.contract AND (fb.barrier IS NULL OR fb.barrier = tk.barrier))"""
+
+
+def _spaced_sql(duration: int, cooldown: int) -> str:
+    """TAKEN for other contracts: the next trade is the first signal at the wanted distance, followed by recursion."""
+    context = CONTEXT.replace("WITH ", "WITH RECURSIVE ", 1).replace("lead(price, 2) OVER w AS exit_price, lead(digit, 2) OVER w AS exit_digit", f"lead(price, {1 + duration}) OVER w AS exit_price, lead(digit, {1 + duration}) OVER w AS exit_digit")
+    return f"""{context}, ok AS (SELECT * FROM sg WHERE i >= 1 AND i < ticks - 3 AND i + 1 + {duration} < ticks),
+nx AS (SELECT symbol, rule, i, min(i) OVER (PARTITION BY symbol, rule ORDER BY i RANGE BETWEEN {1 + max(duration, cooldown)} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ok),
+walk AS (SELECT symbol, rule, min(i) AS i FROM ok GROUP BY ALL UNION ALL SELECT nx.symbol, nx.rule, nx.nxt FROM walk JOIN nx USING (symbol, rule, i) WHERE nx.nxt IS NOT NULL),
+tk AS (SELECT ok.* FROM ok JOIN walk USING (symbol, rule, i)),"""
+
+
 _COMBOS = ", ".join(f"('{n}', '{r}', '{s}')" for n, r, s in C.COMBOS)
-TRADES = f"""{TAKEN}, w1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, rule ORDER BY i) AS k,
+_MONEY = f"""w1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, rule ORDER BY i) AS k,
     CASE contract WHEN 'DIGITDIFF' THEN exit_digit <> barrier WHEN 'DIGITEVEN' THEN exit_digit % 2 = 0 WHEN 'DIGITOVER' THEN exit_digit > barrier WHEN 'CALL' THEN exit_price > entry_price END AS won FROM pl),
 w2 AS (SELECT *, k - 1 - coalesce(max(CASE WHEN won THEN k END) OVER w, 0) AS lb, k - 1 - coalesce(max(CASE WHEN NOT won THEN k END) OVER w, 0) AS wb
   FROM w1 WINDOW w AS (PARTITION BY symbol, rule ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -125,6 +152,18 @@ w6 AS (SELECT *, round(after - pnl, 8) AS before FROM w5),
 w7 AS (SELECT *, max(CAST(stake > before AS INT)) OVER (PARTITION BY symbol, combo ORDER BY k) AS unfunded,
     coalesce(max(CAST(after < 0.35 AS INT)) OVER (PARTITION BY symbol, combo ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broke FROM w6),
 eq AS (SELECT *, greatest(10::DOUBLE, max(after) OVER (PARTITION BY symbol, combo ORDER BY k)) AS peak FROM w7 WHERE unfunded = 0 AND broke = 0)"""
+TRADES = f"{TAKEN}, {_MONEY}"
+_PAID = TAKEN[TAKEN.index("pl AS (") :]
+
+
+def _spaced_trades(duration: int = 1, cooldown: int = 0) -> str:
+    return f"{_spaced_sql(duration, cooldown)} {_PAID}, {_MONEY}"
+
+
+_SUMMARY = """, s1 AS (SELECT symbol, combo, count(*) AS trades, count(*) FILTER (won) AS wins, sum(stake) AS staked, arg_max(after, k) AS e, max(round(peak - after, 8)) AS dd FROM eq GROUP BY ALL),
+        s2 AS (SELECT symbol, combo, max(CASE WHEN unfunded = 1 AND broke = 0 THEN 1 END) AS u FROM w7 GROUP BY ALL)
+        SELECT symbol, combo, trades, wins, trades - wins AS losses, round(wins / trades, 6) AS win_rate, round(staked, 6) AS staked, round(e - 10, 6) AS net, round((e - 10) / staked, 6) AS roi, round((e - 10) / trades, 6) AS ev_per_trade,
+        round(dd, 6) AS max_drawdown, round(e, 6) AS "end", e < 0.35 AS ruined, CASE WHEN e < 0.35 THEN 'ruined' WHEN u = 1 THEN 'unfunded' ELSE 'end' END AS stop FROM s1 JOIN s2 USING (symbol, combo)"""
 
 
 def _eq_sql(pattern: str) -> str:
@@ -152,8 +191,9 @@ ORACLE = {
     "bt_martingale": _eq_sql("%\\_martingale").replace("LIKE '%\\_martingale'", "LIKE '%\\_martingale' ESCAPE '\\'"),
     "bt_anti_martingale": _eq_sql("%anti_martingale"),
     "bt_equity_curve": f"{TRADES} SELECT symbol, combo, k, round(after, 6) AS after, round(peak, 6) AS peak FROM eq",
-    "bt_summary": f"""{TRADES}, s1 AS (SELECT symbol, combo, count(*) AS trades, count(*) FILTER (won) AS wins, sum(stake) AS staked, arg_max(after, k) AS e, max(round(peak - after, 8)) AS dd FROM eq GROUP BY ALL),
-        s2 AS (SELECT symbol, combo, max(CASE WHEN unfunded = 1 AND broke = 0 THEN 1 END) AS u FROM w7 GROUP BY ALL)
-        SELECT symbol, combo, trades, wins, trades - wins AS losses, round(wins / trades, 6) AS win_rate, round(staked, 6) AS staked, round(e - 10, 6) AS net, round((e - 10) / staked, 6) AS roi, round((e - 10) / trades, 6) AS ev_per_trade,
-        round(dd, 6) AS max_drawdown, round(e, 6) AS "end", e < 0.35 AS ruined, CASE WHEN e < 0.35 THEN 'ruined' WHEN u = 1 THEN 'unfunded' ELSE 'end' END AS stop FROM s1 JOIN s2 USING (symbol, combo)""",
+    "bt_summary": f"{TRADES}{_SUMMARY}",
+    "bt_duration5": f"SELECT * EXCLUDE (ev_per_trade) FROM ({_spaced_trades(duration=5)}{_SUMMARY})",
+    "bt_cooldown": f"SELECT * EXCLUDE (ev_per_trade) FROM ({_spaced_trades(cooldown=7)}{_SUMMARY})",
+    "bt_report": f"""WITH sm AS ({TRADES}{_SUMMARY}) SELECT symbol, combo || ': trades=' || trades || ' won=' || format('{{:.4f}}', win_rate * 100) || '% staked=' || format('{{:.6f}}', staked) || ' net=' || format('{{:.6f}}', net)
+        || ' roi=' || format('{{:.4f}}', roi * 100) || '% drawdown=' || format('{{:.6f}}', max_drawdown) || ' end=' || format('{{:.6f}}', "end") || ' stop=' || stop AS line FROM sm""",
 }

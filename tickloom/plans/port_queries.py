@@ -32,8 +32,12 @@ def _r(n, *names):
 
 
 def _shared(spark, what):
-    """A new folder in the shared one that the session names; where it names none (tests), a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder in the shared one that the session names; where a local session names none (tests), a temporary one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-shared-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -130,8 +134,8 @@ def paper_trader_summary(spark, d):
 
 
 def _streamed(spark, feed, build, schema, mode="append"):
-    """Run ``build`` over the files of ``feed`` as a stream to its end; what its sink then holds."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    """Run ``build`` over the files of ``feed`` as a stream to its end, all in one micro-batch; what its sink then holds."""
+    source = spark.readStream.schema(schema).parquet(feed)
     sink, log = _shared(spark, "sink"), _shared(spark, "stream-log")
     built = build(source)
     query = built.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode(mode).trigger(availableNow=True).start()
@@ -140,19 +144,23 @@ def _streamed(spark, feed, build, schema, mode="append"):
 
 
 def paper_trader_stream(spark, d):
-    """The paper trader over three files of ticks that follow each other."""
+    """The paper trader over three parts of the ticks that follow each other, a micro-batch each; a part's symbols lie in files of their own."""
     rows, feed = ticks(spark, d).select("symbol", "i", "price"), _shared(spark, "feed")
     third = F.floor(F.col("i") * 3 / (rows.agg(F.max("i").alias("m")).first()["m"] + 1))
+    sink, log = _shared(spark, "sink"), _shared(spark, "stream-log")
     for k in range(3):
-        rows.where(third == k).coalesce(1).write.mode("append").parquet(feed)
-    return _ledger(_streamed(spark, feed, lambda s: paper.paper_stream(s, PAYOUTS, strategy="even", martingale=True), rows.schema))
+        rows.where(third == k).repartition("symbol").write.mode("append").parquet(feed)
+        # Each run takes what is new in the feed, with the state of the runs before.
+        built = paper.paper_stream(spark.readStream.schema(rows.schema).parquet(feed), PAYOUTS, strategy="even", martingale=True)
+        built.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _ledger(spark.read.schema(built.schema).parquet(sink))
 
 
 def stream_bars_4h(spark, d):
     """Four-hour bars of the events as a stream; windows that the watermark has not passed are not there yet."""
     rows = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
     feed = _shared(spark, "feed")
-    rows.coalesce(1).write.parquet(feed)
+    rows.write.parquet(feed)
     return _streamed(spark, feed, stream_bars.tick_bars, rows.schema)
 
 
@@ -203,6 +211,8 @@ pt AS (
 ,lg AS (SELECT symbol, n, i, won, round(stake, 6) AS stake, CASE WHEN won IS NOT NULL THEN 1.95::DOUBLE ELSE -1 END AS payout, round(bank, 6) AS bankroll, round(dd, 6) AS drawdown, CASE WHEN done = '' THEN 'open' ELSE done END AS status FROM pt WHERE row)"""
 
 ORACLE = {
+    "stream_bars": """SELECT * FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts) AS start, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume
+        FROM events WHERE ts IS NOT NULL GROUP BY 1, 2) WHERE start + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "daily_breaker": """WITH e AS (SELECT event_type AS symbol, event_id AS seq, ts, value + 1000 AS equity FROM events), s AS (SELECT *, first_value(equity) OVER w AS day_start FROM e WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq)),
         r AS (SELECT *, (day_start - equity) / day_start * 100 AS dd FROM s) SELECT symbol, seq, round(day_start, 6) AS day_start, round(dd, 6) AS drawdown_pct, bool_or(dd >= 5) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq) AS halted FROM r""",
     "session_filter": "SELECT event_type AS symbol, count(*) AS n FROM events WHERE hour(ts) >= 7 AND hour(ts) < 20 AND isodow(ts) <> 5 GROUP BY event_type",

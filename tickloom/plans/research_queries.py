@@ -101,6 +101,10 @@ def portfolio(spark, d):
     return W.portfolio(_variants(spark, d)).select("variant", "date", *_r(8, "value", "drawdown"))
 
 
+def portfolio_sharpe(spark, d):
+    return W.portfolio_sharpe(W.portfolio(_variants(spark, d))).select("variant", "days", *_r(5, "sharpe"))
+
+
 def _labelled(spark, d):
     return L.triple_barrier(S.frame(bars(spark, d), OPEN), OPEN)
 
@@ -134,6 +138,11 @@ def roc_auc(spark, d):
     return L.auc(_scored(spark, d)).select("n", *_r(6, "auc"))
 
 
+def model_verdict(spark, d):
+    """The verdict on the volatility rank as a score; the third symbol stands for gold."""
+    return L.verdict(_scored(spark, d), gold="3-MEDIUM").select("n", *_r(6, "auc", "top30_gain"), "skilled", "gold_n", *_r(6, "gold_gain"))
+
+
 def gbt_walkforward(spark, d):
     return L.walk_forward(_folded(spark, d))
 
@@ -169,6 +178,8 @@ QUERIES = {
     "swing_rollup": swing_rollup,
     "is_oos_split": is_oos_split,
     "portfolio": portfolio,
+    "portfolio_sharpe": portfolio_sharpe,
+    "model_verdict": model_verdict,
     "triple_barrier": triple_barrier,
     "walkforward_folds": walkforward_folds,
     "selectivity": selectivity,
@@ -304,3 +315,8 @@ ORACLE = {
     "ruin_summary_reference": _sum_sql(2),
     "ruin_curves": f"{_walk(1, 40)} SELECT label, path, CAST(day AS INT) AS day, round(bank, 6) AS bank FROM wk WHERE day >= 0",
 }
+ORACLE["portfolio_sharpe"] = f"""SELECT variant, count(*) AS days, round(CASE WHEN stddev_samp(c) > 0 THEN avg(c) / stddev_samp(c) * sqrt(252) ELSE 0 END, 5) AS sharpe FROM (
+    SELECT variant, coalesce(value / lag(value) OVER (PARTITION BY variant ORDER BY date) - 1, 0) AS c FROM ({ORACLE["portfolio"].replace("round(value, 8) AS value", "value")})) GROUP BY variant"""
+ORACLE["model_verdict"] = f"""WITH a AS ({ORACLE["roc_auc"]}), s AS ({ORACLE["selectivity"]}), g AS ({LABELS} SELECT p, r FROM lb WHERE symbol = '3-MEDIUM')
+    SELECT a.n, a.auc, s.gain AS top30_gain, a.auc >= 0.52 AND s.gain > 0.02 AS skilled, (SELECT count(*) FROM g) AS gold_n,
+      (SELECT CASE WHEN count(*) > 10 THEN round(avg(r) FILTER (p >= (SELECT quantile_cont(p, 0.5) FROM g)) - avg(r), 6) END FROM g) AS gold_gain FROM a, s WHERE s.top = 30"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tickloom.functions.scalars import sign3
 from tickloom.functions.tails import chi2_tail, normal_two_sided, t_two_sided
 from tickloom.operators import ticks as T
-from tickloom.sources.tables import TICKS, tick_values, ticks
+from tickloom.sources.tables import TICKS, carried, tick_values, ticks
 
+#: Moves of this size or more are rare enough for waits of several ticks.
+LARGE = 60.0
 PARITY = [1, 2, 3, 5, 10, 20, 50, 100]
 
 
@@ -35,13 +39,26 @@ def _return_acf(spark, d):
 
 
 def _sign_acf(spark, d):
-    from pyspark.sql import Window
-
     moved = _moves(spark, d).where("dp <> 0")
-    placed = moved.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("i")).cast("long"))
+    placed = carried(moved, ["symbol"], {"_before": (F.sum, F.lit(1))}).withColumn("i", F.coalesce("_before", F.lit(0)) + 1).drop("_before")
     return T.autocorrelation(placed, sign3(F.col("dp")), [1]).select("symbol", F.round("r", 6).alias("r"))
 
 
+@F.pandas_udf(DoubleType())
+def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([chi2_tail(None if pd.isna(a) else a, b) for a, b in zip(x, df)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _normal_p(z: pd.Series) -> pd.Series:
+    return pd.Series([normal_two_sided(None if pd.isna(a) else a) for a in z], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided(None if pd.isna(a) else a, b) for a, b in zip(t, df)], dtype="float64")
+
+
 def battery_digits(spark, d):
     """The digit report with p-values, computed for the few rows of the report."""
     digits = _digits(spark, d)
@@ -49,26 +66,21 @@ def battery_digits(spark, d):
     m = T.independence(T.transitions(digits), ["symbol"], "digit", "next").withColumnsRenamed({"chi2": "markov_chi2", "df": "markov_df"})
     lb = T.ljung_box(digits, F.col("digit") % 2, [20]).select("symbol", F.col("q").alias("lb20"))
     r = T.runs_test(digits, F.col("digit") % 2).select("symbol", "z")
-    tail = F.udf(lambda x, df: chi2_tail(x, df), "double")
-    both = F.udf(lambda z: normal_two_sided(z), "double")
-    rows = u.join(m, "symbol").join(lb, "symbol").join(r, "symbol").coalesce(1)
-    return rows.withColumns({"uniform_p": tail("chi2", F.lit(9)), "markov_p": tail("markov_chi2", "markov_df"), "lb20_p": tail("lb20", F.lit(20)), "runs_p": both("z")})
+    rows = u.join(m, "symbol").join(lb, "symbol").join(r, "symbol")
+    return rows.withColumns({"uniform_p": _chi2_p("chi2", F.lit(9)), "markov_p": _chi2_p("markov_chi2", "markov_df"), "lb20_p": _chi2_p("lb20", F.lit(20)), "runs_p": _normal_p("z")})
 
 
 def battery_prices(spark, d):
     """The price report with p-values."""
     moves = _moves(spark, d)
-    two = F.udf(lambda t, n: t_two_sided(t, n - 1), "double")
-    tail = F.udf(lambda x: chi2_tail(x, 10), "double")
-    rows = T.t_statistic(moves, "ret").join(T.direction_shares(moves), "symbol").join(T.ljung_box(moves, F.col("ret"), [10]).drop("m"), "symbol").coalesce(1)
-    return rows.withColumns({"t_p": two("t", "n"), "lb10_p": tail("q")})
+    rows = T.t_statistic(moves, "ret").join(T.direction_shares(moves), "symbol").join(T.ljung_box(moves, F.col("ret"), [10]).drop("m"), "symbol")
+    return rows.withColumns({"t_p": _t_p("t", F.col("n") - 1), "lb10_p": _chi2_p("q", F.lit(10))})
 
 
 def spike_report(spark, d):
     """Spikes, gaps and the hazard test with its p-value."""
     moves = _moves(spark, d)
-    tail = F.udf(lambda x, df: chi2_tail(x, df), "double")
-    test = T.hazard_chi2(moves).coalesce(1).withColumn("p", tail("chi2", "df"))
+    test = T.hazard_chi2(moves).withColumn("p", _chi2_p("chi2", "df"))
     return T.spike_stats(moves).join(T.spike_gaps(moves), ["symbol", "side"], "left").join(test, ["symbol", "side"], "left")
 
 
@@ -94,6 +106,8 @@ QUERIES = {
     "spike_gaps": lambda s, d: T.spike_gaps(_moves(s, d)),
     "hazard_buckets": lambda s, d: T.hazard(_moves(s, d)),
     "hazard_chi2": lambda s, d: T.hazard_chi2(_moves(s, d)),
+    "hazard_large": lambda s, d: T.hazard(_moves(s, d), LARGE),
+    "hazard_chi2_large": lambda s, d: T.hazard_chi2(_moves(s, d), LARGE),
     "battery_digits": battery_digits,
     "battery_prices": battery_prices,
     "spike_report": spike_report,
@@ -160,3 +174,7 @@ ORACLE = {
     "hazard_chi2": f"{SPIKES}, k AS (SELECT symbol, side, bucket, 1 AS hit, fired AS n FROM h WHERE bucket < 4 UNION ALL SELECT symbol, side, bucket, 0, at_risk - fired FROM h WHERE bucket < 4), t AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY symbol, side) = 8)"
     + _chi2("t", "symbol, side", "bucket", "hit"),
 }
+for _name in ("hazard_buckets", "hazard_chi2"):
+    _large = ORACLE[_name].replace("THEN dp < 0 ELSE dp > 0 END AS spike", f"THEN dp <= -{LARGE} ELSE dp >= {LARGE} END AS spike")
+    ORACLE["hazard_large" if _name == "hazard_buckets" else "hazard_chi2_large"] = _large
+

@@ -7,7 +7,9 @@ and volume. ``cot``: weekly long and short positions of an asset. Prices of ``ti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,3 +122,22 @@ def by_chunk(key: str = "symbol") -> Window:
 
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_copy")).drop("_chunk", "_copy")
+
+
+def carried(df: DataFrame, keys: list[str], running: dict[str, tuple[Callable, Column | str]], size: int = 1_000_000) -> DataFrame:
+    """``df`` with running sums and maxima of the rows before each in its key, by ``i``; null where there are none.
+
+    ``running`` names an aggregate (``F.sum`` or ``F.max``) and its column. Each is taken within
+    chunks of ``size`` places and added to what all earlier chunks come to, so a long key is many tasks.
+    """
+    rows = df.withColumn("_chunk", F.floor(F.col("i") / size).cast("long"))
+    parts = rows.groupBy(*keys, "_chunk").agg(*[f(c).alias(f"_all_{name}") for name, (f, c) in running.items()])
+    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*keys, "_chunk", *[f(f"_all_{name}").over(ahead).alias(f"_past_{name}") for name, (f, _) in running.items()])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"_here_{name}": f(c).over(inside) for name, (f, c) in running.items()}).join(before, [*keys, "_chunk"])
+    for name, (f, _) in running.items():
+        past, here = F.col(f"_past_{name}"), F.col(f"_here_{name}")
+        # greatest passes over nulls; a sum does not.
+        out = out.withColumn(name, F.greatest(past, here) if f is F.max else F.coalesce(past + here, past, here)).drop(f"_past_{name}", f"_here_{name}")
+    return out.drop("_chunk")
