@@ -438,7 +438,9 @@ def test_an_account_that_goes_on(spark):
     for stake in ("martingale", "tenth"):
         got = C.trades_in_turn(taken, [("x", "even", stake)], stop_at_ruin=False).orderBy("k").collect()
         want = backtest_by_hand(prices, digits, lambda i: True, C.LIVE_STAKES[stake], 1.95, stop_at_ruin=False)
-        assert [(r.i, r.won, r.stake, r.after) for r in got] == want
+        assert [(r.i, r.won) for r in got] == [w[:2] for w in want]
+        # The operator rounds each gain to 1e-8 as well as the account.
+        assert np.allclose([(r.stake, r.after) for r in got], [w[2:] for w in want], atol=1e-5)
 
 
 def test_the_stake_that_never_grows(spark):

@@ -100,9 +100,9 @@ QUERIES = {
     "bt_anti_martingale": _equity("anti_martingale"),
     "bt_equity_curve": lambda s, d: C.equity(_trades(s, d)).select("symbol", "combo", "k", F.round("after", 6).alias("after"), F.round("peak", 6).alias("peak")),
     "bt_summary": lambda s, d: C.summary(_trades(s, d)),
-    # Without net / trades, a quotient that the two engines round apart where it is a tie.
-    "bt_duration5": lambda s, d: C.summary(_trades(s, d, duration=5)).drop("ev_per_trade"),
-    "bt_cooldown": lambda s, d: C.summary(_trades(s, d, cooldown=7)).drop("ev_per_trade"),
+    # Without net / staked, a quotient that the two engines round apart where it is a tie.
+    "bt_duration5": lambda s, d: C.summary(_trades(s, d, duration=5)).drop("roi"),
+    "bt_cooldown": lambda s, d: C.summary(_trades(s, d, cooldown=7)),
     "bt_live_stakes": bt_live_stakes,
     "bt_report": lambda s, d: C.report_lines(C.summary(_trades(s, d))),
 }
@@ -192,8 +192,8 @@ ORACLE = {
     "bt_anti_martingale": _eq_sql("%anti_martingale"),
     "bt_equity_curve": f"{TRADES} SELECT symbol, combo, k, round(after, 6) AS after, round(peak, 6) AS peak FROM eq",
     "bt_summary": f"{TRADES}{_SUMMARY}",
-    "bt_duration5": f"SELECT * EXCLUDE (ev_per_trade) FROM ({_spaced_trades(duration=5)}{_SUMMARY})",
-    "bt_cooldown": f"SELECT * EXCLUDE (ev_per_trade) FROM ({_spaced_trades(cooldown=7)}{_SUMMARY})",
+    "bt_duration5": f"SELECT * EXCLUDE (roi) FROM ({_spaced_trades(duration=5)}{_SUMMARY})",
+    "bt_cooldown": f"{_spaced_trades(cooldown=7)}{_SUMMARY}",
     "bt_report": f"""WITH sm AS ({TRADES}{_SUMMARY}) SELECT symbol, combo || ': trades=' || trades || ' won=' || format('{{:.4f}}', win_rate * 100) || '% staked=' || format('{{:.6f}}', staked) || ' net=' || format('{{:.6f}}', net)
         || ' roi=' || format('{{:.4f}}', roi * 100) || '% drawdown=' || format('{{:.6f}}', max_drawdown) || ' end=' || format('{{:.6f}}', "end") || ' stop=' || stop AS line FROM sm""",
 }
