@@ -63,33 +63,50 @@ def rejoin(words: list[str], ids: dict[str, bytes]) -> list[bytes]:
 
 
 class ChunkCache:
-    """Two generations of about ``most`` entries: what was met lately stays, and memory is bounded."""
+    """What chunks are encoded to: two generations of about ``most`` bytes, so what was met lately stays.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000, block: int = 50_000):
+    Chunks of more than KEEP letters hardly come again; they are let go at the next call.
+    """
+
+    KEEP = 64
+    #: Bytes that an entry takes besides its key and value.
+    ENTRY = 170
+
+    def __init__(self, encode: Callable[[list], list[bytes]], most: int = 48 << 20, block: int = 50_000, split: Callable[[str], list] | None = None):
         self.encode, self.most, self.block = encode, most, block
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.split = split or self.by_blanks
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held, self.passing = 0, []
 
     @staticmethod
-    def split(text: str) -> list[bytes]:
+    def by_blanks(text: str) -> list[bytes]:
         raw = text.encode()
         # A special token is matched before lower-casing, so such a text keeps its case.
         return (raw if b"<|" in raw else raw.lower()).split()
 
     def look_up(self, wanted: Iterable) -> dict:
         """A mapping that has all of ``wanted``, good until the next call."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        for c in self.passing:
+            del self.young[c]
+        self.passing = []
+        if self.held > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
         young, new = self.young, []
         for c in wanted:
             if c not in young:
                 if c in self.old:
                     young[c] = self.old[c]
+                    self.held += len(c) + len(young[c]) + self.ENTRY
                 else:
                     new.append(c)
         for k in range(0, len(new), self.block):
-            part = new[k : k + self.block]
-            young.update(zip(part, self.encode(part)))
+            for c, v in zip(part := new[k : k + self.block], self.encode(part)):
+                young[c] = v
+                if len(c) > self.KEEP:
+                    self.passing.append(c)
+                else:
+                    self.held += len(c) + len(v) + self.ENTRY
         return young
 
     def ids(self, texts: list[str]) -> list[bytes]:

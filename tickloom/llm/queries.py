@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, token_files, topk, toxicity
+from . import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, piece_bpe, prefix_trie, token_files, topk, toxicity
 from .common import read_table
 
 
@@ -15,11 +15,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op1(spark, read_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
-    """The public tokenizer file that the contracts name."""
+def _vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The public tokenizer file that a contract names."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9(spark, read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op11(spark, read_table(spark, sf_dir, "conversations"))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.op13(spark, read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -70,9 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op13_piece_bpe": op13_piece_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_topk": topk.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_topk": topk.SQL, "op11_prefix_trie": prefix_trie.SQL}
