@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, piece_bpe, prefix_trie, token_files, topk, toxicity
+from . import bpe, collocations, fingerprint, html_text, jaccard_join, line_dedup, lm_score, packing, piece_bpe, prefix_trie, token_files, topk, toxicity
 from .common import read_table
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op11(spark, read_table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op12(spark, read_table(spark, sf_dir, "documents", "lang", "text"))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op13(spark, read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -79,10 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_lm_score": op10_lm_score,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_collocations": op12_collocations,
         "op13_piece_bpe": op13_piece_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_topk": topk.SQL, "op11_prefix_trie": prefix_trie.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_topk": topk.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_collocations": collocations.SQL}
