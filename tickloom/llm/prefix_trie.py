@@ -115,10 +115,13 @@ def with_keys(rows: DataFrame, longest: int) -> DataFrame:
         return chained.select("conv_id", "pos", "bytes", F.col("chain").alias("key"), F.coalesce("before", F.lit(ROOT)).alias("parent"))
     chained = stash(chained, "trie-blocks")
     full = chained.where(F.col("pos") % BLOCK == BLOCK - 1).select("conv_id", F.col("block").alias("pos"), F.col("chain").alias("digest"), "bytes")
-    past = with_keys(full, longest // BLOCK).select("conv_id", (F.col("pos") + 1).alias("block"), F.col("key").alias("_past"))
-    joined = chained.join(past, ["conv_id", "block"], "left")
+    whole = stash(with_keys(full, longest // BLOCK).select("conv_id", F.col("pos").alias("block"), F.col("key").alias("_whole")), "trie-whole")
+    past = whole.select("conv_id", (F.col("block") + 1).alias("block"), F.col("_whole").alias("_past"))
+    joined = chained.join(past, ["conv_id", "block"], "left").join(whole, ["conv_id", "block"], "left")
     on = lambda c: F.when(F.col("_past").isNull(), F.col(c)).when(F.col(c).isNull(), F.col("_past")).otherwise(F.substring(F.unhex(F.sha2(F.concat("_past", c), 256)), 1, WIDTH))
-    return joined.select("conv_id", "pos", "bytes", on("chain").alias("key"), F.coalesce(on("before"), F.lit(ROOT)).alias("parent"))
+    # What ends with a whole block has the key that the next block builds on.
+    key = F.when(F.col("pos") % BLOCK == BLOCK - 1, F.col("_whole")).otherwise(on("chain"))
+    return joined.select("conv_id", "pos", "bytes", key.alias("key"), F.coalesce(on("before"), F.lit(ROOT)).alias("parent"))
 
 
 def subtree_sums(nodes: DataFrame, deepest: int, values: list[str]) -> DataFrame:
