@@ -15,8 +15,8 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,15 +100,15 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096,
     shards = max(1, -(-total // shard_rows))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster") + F.col("copy"), F.lit(shards)))
 
-    def of_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pa.Table.from_pandas(pdf[["doc_id", "length", "source", "cluster"]], preserve_index=False)
-        found = pack_shard(list(zip(*(c.to_pylist() for c in table.columns))), capacity)
-        out = pd.DataFrame(found, columns=["doc_id", "piece", "start", "length", "bin_id", "offset"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out["bin_id"] += int(key[0]) << BIN_BITS
-        return out
+    def of_shard(key: tuple, table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("doc_id", "length", "source", "cluster")]
+        found = list(zip(*pack_shard(list(zip(*columns)), capacity)))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        out = [pa.array(c, kind) for c, kind in zip(found or [()] * len(kinds), kinds)]
+        out[4] = pc.add(out[4], pa.scalar(key[0].as_py() << BIN_BITS, pa.int64()))
+        return pa.Table.from_arrays(out, ["doc_id", "piece", "start", "length", "bin_id", "offset"])
 
-    return each.groupBy("shard").applyInPandas(of_shard, "doc_id long, piece int, start long, length long, bin_id long, offset long")
+    return each.groupBy("shard").applyInArrow(of_shard, "doc_id long, piece int, start long, length long, bin_id long, offset long")
 
 
 def with_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
