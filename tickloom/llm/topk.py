@@ -27,6 +27,10 @@ HEAD, HEADS = 16, 4
 LEAST = np.iinfo(np.int64).min
 
 
+#: A component of this size cannot be part of a 64-bit inner product: the cast to whole numbers would wrap.
+LARGEST = 2.0**53
+
+
 def quantised(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, int64 matrix) of the batch's usable vectors, one pair a dimension."""
     lists = batch.column(1)
@@ -40,6 +44,8 @@ def quantised(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero((lengths == d) & named)
         x = values[starts[rows][:, None] + np.arange(d)]
         fine = np.isfinite(x).all(axis=1)
+        if (np.abs(x[fine]) >= LARGEST).any():
+            raise ValueError("components are too large for a 64-bit inner product")
         if fine.any():
             yield batch.column(0).take(pa.array(rows[fine])).to_numpy(), np.floor(256 * x[fine]).astype(np.int64)
 
