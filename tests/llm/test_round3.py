@@ -218,3 +218,33 @@ def test_a_cache_holds_no_more_than_its_bytes():
         held = sum(len(a) + len(b) for d in (cache.young, cache.old) for a, b in d.items() if len(a) <= cache.KEEP)
         assert held <= 2 * (20_000 + 40 * 400) and len(cache.passing) == 1
     assert made.count(b"again") == 1
+
+
+# ---- rows that were once lost or changed
+
+
+def test_rows_without_an_id_link(spark):
+    from tickloom.llm import jaccard_join
+
+    rnd = random.Random(2)
+    a, b = ([f"w{rnd.randrange(500)}" for _ in range(200)] for _ in range(2))
+    near = lambda words, k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(7, " ".join(a)), (None, near(a, 199)), (None, " ".join(b)), (None, near(b, 199)), (3, near(b, 0))]
+    got = jaccard_join.op8(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 3), (False, 7), (True, 3), (True, 3), (True, 7)]
+
+
+def test_packed_ids_stay_whole_beside_a_null(spark):
+    from tickloom.llm import packing
+
+    rows = [(2**60 + k, 10, "s", k) for k in (1, 3, 5, 7)] + [(None, 10, "s", None)]
+    got = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, length long, source string, cluster long")).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and len({r.bin_id for r in got}) == 5
+
+
+def test_huge_components_are_an_error(spark):
+    from tickloom.llm import topk
+
+    rows = [(0, [1.0, 2.0]), (1, [1e300, 0.5]), (2, [0.5, 0.5])]
+    with pytest.raises(Exception, match="too large"):
+        topk.op2(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

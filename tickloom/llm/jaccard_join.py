@@ -323,6 +323,15 @@ def _against(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
     yield from search()
 
 
+def _nodes_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The node and text of rows (id, text) that have a shingle."""
+    shingler = Shingler(words)
+    for batch in pieces(batches, 1):
+        texts = batch.column(1).to_pylist()
+        kept = [(set_id(s), t) for s, t in zip(shingler.sets(texts), texts) if len(s)]
+        yield pa.record_batch({"node": pa.array([n for n, _ in kept], pa.int64()), "text": pa.array([t for _, t in kept], pa.string())})
+
+
 def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, label) after the edges between labels; nodes without a row are labelled by themselves."""
     roots = components(edges)
@@ -372,7 +381,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = stash(met, "met-nodes")
     lists = stash(lists.join(met, "node", "left_semi"), "met-lists")
     holders = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(met, "node")
-    some = stash(texts.join(holders, "doc_id").select("node", "n", "text"), "candidate-texts")
+    # Where all rows of a node have a null id, its text is found by the node itself.
+    nameless = texts.where("doc_id is null").mapInArrow(lambda b: _nodes_of(b, words), "node long, text string")
+    nameless = nameless.join(holders.where("doc_id is null"), "node").dropDuplicates(["node"])
+    some = stash(texts.join(holders, "doc_id").select("node", "n", "text").unionByName(nameless.select("node", "n", "text")), "candidate-texts")
 
     labels: DataFrame | None = None
     for r in range(rounds):
