@@ -116,7 +116,8 @@ def prose(seed=5, n=60):
 
 @pytest.mark.parametrize("sent, places", [(1 << 20, 1 << 21), (40, 50), (1, 50)])
 def test_phrases(spark, monkeypatch, sent, places):
-    monkeypatch.setattr(collocations, "SENT", sent)
+    monkeypatch.setattr(collocations, "SENT_WORDS", sent)
+    monkeypatch.setattr(collocations, "SENT_PAIRS", sent)
     monkeypatch.setattr(collocations, "HELD_PLACES", places)
     monkeypatch.setattr(collocations, "HELD_WORDS", places)
     rows = prose()
