@@ -1,7 +1,6 @@
 """Operators on small hand-made rows."""
 
 import gzip
-import inspect
 import json
 import math
 import random
@@ -18,6 +17,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import contracts as C
 from tickloom.operators import cot as K
 from tickloom.operators import labels as L
+from tickloom.operators import recursive as RC
 from tickloom.operators import ruin as R
 from tickloom.operators import signals as S
 from tickloom.operators import swing as W
@@ -157,7 +157,7 @@ def test_the_last_quote_counts_and_duration_can_be_a_key(spark):
 
 
 def test_mean_with_gaps():
-    m = B.Ewm(1 / 14)
+    m = RC.Ewm(1 / 14)
     got = [m.step(x) for x in (None, 1.0, None, None, 4.0, 2.0)]
     assert got[:4] == [None, 1.0, 1.0, 1.0] and got[4:] == pytest.approx([1.2457166736, 1.2995940541])
 
@@ -168,14 +168,44 @@ def bars_of(spark, rows):
 
 
 def test_constant_series(spark):
-    r = B.recursive(bars_of(spark, [(5.0, 5.0, 5.0, 5.0)] * 10)).orderBy("i").collect()
+    r = RC.recursive(bars_of(spark, [(5.0, 5.0, 5.0, 5.0)] * 10)).orderBy("i").collect()
     assert {x.rsi for x in r} == {50.0} and {x.adx for x in r} == {0.0}
     # Bands that meet count as the lower one.
     assert [x.st_dir for x in r] == [-1] + [1] * 9
 
 
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_chunks_hand_on_what_one_pass_has(spark, size):
+    rnd, rows = random.Random(size), []
+    for s in ("a", "b"):
+        close, flat = 100.0, 0
+        for i in range(200 if s == "a" else 64):
+            flat = flat - 1 if flat else rnd.choice([0] * 30 + [5])
+            close = close if flat else round(close + rnd.choice([-3, -1, 0, 0.5, 1, 4]), 1)
+            high, low = (close, close) if flat else (close + rnd.randint(0, 2), close - rnd.randint(0, 2))
+            rows.append((s, f"2024-01-01 00:00:{i % 60:02d}", close, high, low, close, 1.0, i))
+    df = spark.createDataFrame(rows, "symbol string, date string, open double, high double, low double, close double, volume double, i long").withColumn("date", F.to_timestamp("date"))
+    whole, parts = (RC.recursive(df, size=n).orderBy("symbol", "i").toPandas() for n in (1000, size))
+    pd.testing.assert_frame_equal(whole, parts, rtol=1e-9)
+    assert set(whole.st_dir) == {-1, 1} and len(whole) == 264
+
+
+def test_a_band_is_kept_or_replaced_as_step_by_step():
+    rnd = random.Random(1)
+    for _ in range(300):
+        bars = [(rnd.randint(0, 9) / 2, rnd.randint(0, 9) / 2 - 2) for _ in range(rnd.randint(1, 8))]
+        m = RC.BandMap()
+        for band, close in bars:
+            m.step(band, close)
+        for start in [x / 4 for x in range(-12, 24)] + [math.inf]:
+            now = start
+            for band, close in bars:
+                now = band if now > band or now < close else now
+            assert RC.after_band(m.numbers(), start) == now, (bars, start)
+
+
 def test_supertrend_flips_up():
-    s = B.SuperTrend(1.0)
+    s = RC.SuperTrend(1.0)
     got = [s.step(c + 1, c - 1, c, 2.0)[1] for c in (10.0, 10.0, 20.0, 21.0, 5.0)]
     assert got == [-1, -1, 1, 1, -1]
 
@@ -284,17 +314,6 @@ def test_auc_counts_ties_half(spark):
     assert L.auc(rows).first()["auc"] == pytest.approx(3.5 / 4)
 
 
-def test_the_registered_walk_forward_boosts_as_often_as_the_reference(monkeypatch):
-    from tickloom.plans import research_queries as Q
-
-    own, met = inspect.signature(L.walk_forward), []
-    monkeypatch.setattr(Q, "_folded", lambda spark, d: None)
-    monkeypatch.setattr(Q.L, "walk_forward", lambda *a, **k: met.append(own.bind(*a, **k)))
-    Q.QUERIES["gbt_walkforward"](None, "")
-    met[0].apply_defaults()
-    assert met[0].arguments["iterations"] == 160
-
-
 # ---- ruin
 
 

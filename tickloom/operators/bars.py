@@ -1,14 +1,11 @@
 """Daily bars: cleaning, window indicators, and the indicators that each bar hands on to the next.
 
-Window indicators are column windows over chunks of a symbol's bars. The recursive ones (means with
-exponential weights, RSI, ADX, SuperTrend) take one pass over a symbol's bars in a grouped map.
+All are column windows over chunks of a symbol's bars; ``recursive`` has those that each bar hands on
+to the next.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,98 +93,3 @@ def rolling_rank(df: DataFrame, x: str, n: int, out: str, partial: float | None
     share = F.size(F.filter(values, lambda v: v <= F.col(x))) / F.size(values)
     rank = F.when(F.col(x).isNotNull(), share) if partial is not None else F.when(F.count(x).over(w) >= n, share)
     return own_rows(near(df, n).withColumn(out, F.coalesce(rank, F.lit(partial)) if partial is not None else rank))
-
-
-class Ewm:
-    """An exponentially weighted mean, value by value. The first value seeds it; a gap repeats it and fades its weight."""
-
-    def __init__(self, alpha: float):
-        self.alpha, self.keep, self.value, self.gap = alpha, 1 - alpha, None, 0
-
-    def step(self, x: float | None) -> float | None:
-        if x is None:
-            self.gap += self.value is not None
-        elif self.value is None:
-            self.value = x
-        elif not self.gap:
-            self.value = self.value + self.alpha * (x - self.value)
-        else:
-            old = self.keep ** (self.gap + 1)
-            self.value, self.gap = (old * self.value + self.alpha * x) / (old + self.alpha), 0
-        return self.value
-
-
-class SuperTrend:
-    """Bands that only tighten while price stays within; the line is the upper band in a fall, the lower in a rise."""
-
-    def __init__(self, mult: float):
-        self.mult, self.top, self.floor, self.below, self.close = mult, None, None, True, None
-
-    def step(self, high: float, low: float, close: float, atr: float) -> tuple[float, int]:
-        middle, reach = (high + low) / 2.0, self.mult * atr
-        top, floor = middle + reach, middle - reach
-        if self.top is None:
-            self.top, self.floor, self.close = top, floor, close
-            return top, -1
-        # Where both bands met, the line counts as the upper one.
-        was_below = self.below or self.top == self.floor
-        if not (top < self.top or self.close > self.top):
-            top = self.top
-        if not (floor > self.floor or self.close < self.floor):
-            floor = self.floor
-        self.below = close <= top if was_below else close < floor
-        self.top, self.floor, self.close = top, floor, close
-        line = top if self.below else floor
-        return line, 1 if line == floor else -1
-
-
-@dataclass(frozen=True)
-class Periods:
-    """Spans and multiples of the recursive indicators."""
-
-    ema_trend: int = 50
-    ema_pullback: int = 20
-    atr: int = 14
-    rsi: int = 14
-    adx: int = 14
-    st_atr: int = 10
-    st_mult: float = 3.0
-
-
-RECURSIVE = ["ema_trend", "ema_pullback", "atr", "rsi", "adx", "st_line", "st_dir"]
-
-
-def _recursive(pdf: pd.DataFrame, p: Periods) -> pd.DataFrame:
-    pdf = pdf.sort_values("i", ignore_index=True)
-    ema = {n: Ewm(2 / (n + 1)) for n in (p.ema_trend, p.ema_pullback)}
-    atr, st_atr, trend = Ewm(1 / p.atr), Ewm(1 / p.st_atr), SuperTrend(p.st_mult)
-    gain, loss = Ewm(1 / p.rsi), Ewm(1 / p.rsi)
-    range_, plus, minus, dx = (Ewm(1 / p.adx) for _ in range(4))
-    rows, before = [], None
-    for high, low, close in zip(*(pdf[c].tolist() for c in ("high", "low", "close"))):
-        tr, up, down = high - low, 0.0, 0.0
-        if before is not None:
-            h0, l0, c0 = before
-            tr = max(tr, abs(high - c0), abs(low - c0))
-            rise, fall = high - h0, l0 - low
-            up, down = (rise if rise > fall and rise > 0 else 0.0), (fall if fall > rise and fall > 0 else 0.0)
-            won, lost = gain.step(max(close - c0, 0.0)), loss.step(max(c0 - close, 0.0))
-            rsi = 50.0 if lost == 0 else 100.0 - 100.0 / (1.0 + won / lost)
-        else:
-            rsi = 50.0
-        r, u, d = range_.step(tr), plus.step(up), minus.step(down)
-        plus_di, minus_di = (100.0 * u / r, 100.0 * d / r) if r else (None, None)
-        both = plus_di + minus_di if r else 0.0
-        strength = dx.step(100.0 * abs(plus_di - minus_di) / both if both else None)
-        line, side = trend.step(high, low, close, st_atr.step(tr))
-        rows.append((ema[p.ema_trend].step(close), ema[p.ema_pullback].step(close), atr.step(tr), rsi, 0.0 if strength is None else strength, line, side))
-        before = high, low, close
-    return pd.concat([pdf, pd.DataFrame(rows, columns=RECURSIVE)], axis=1)
-
-
-def recursive(bars: DataFrame, periods: Periods = Periods()) -> DataFrame:
-    """``bars`` with ema_trend, ema_pullback, atr, rsi, adx, st_line and st_dir."""
-    extra = ", ".join(f"{c} {'int' if c == 'st_dir' else 'double'}" for c in RECURSIVE)
-    keep = ["symbol", "date", "open", "high", "low", "close", "volume", "i"]
-    schema = "symbol string, date date, open double, high double, low double, close double, volume double, i long, " + extra
-    return bars.select(*keep).groupBy("symbol").applyInPandas(lambda pdf: _recursive(pdf, periods), schema)

@@ -12,25 +12,35 @@ LAG_DAYS = 3
 WINDOW, HIGH, LOW = 26, 0.65, 0.35
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
-    """``left`` with the ``value`` of the latest ``right`` row of its key at or before its time.
+def as_of_each(left: DataFrame, key: str, left_time: str, sides: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """``left`` with a column for each of ``sides`` (right, right_time, value, out): the ``value`` of the latest right
+    row of its key at or before its time.
 
-    A right row matches by its time alone: its value counts even if it is null. Both sides are put
-    in one table and the last right row is carried on, within a year of a key and then from the
-    years before, so one shuffle does and no pairs are made. ``out`` is null where nothing matches.
+    A right row matches by its time alone: its value counts even if it is null. All are put in one table
+    and the last right rows are carried on, within a year of a key and then from the years before, so one
+    shuffle does for all sides and no pairs are made. ``out`` is null where nothing matches.
     """
     columns = [c for c in left.columns if c not in (key, left_time)]
-    l = left.select(F.col(key).alias("_k"), F.col(left_time).cast("date").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(f"struct<v:{dict(right.dtypes)[value]}>").alias("_v"), F.struct(*columns).alias("_l") if columns else F.lit(None).alias("_l"))
-    r = right.select(F.col(key).alias("_k"), F.col(right_time).cast("date").alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"))
-    both = l.unionByName(r).withColumn("_y", F.year("_t"))
-    ends = both.where("_side = 0").groupBy("_k", "_y").agg(F.max_by("_v", "_t").alias("_end"))
-    years = both.select("_k", "_y").distinct().join(ends, ["_k", "_y"], "left")
+    kinds = {f"_v{n}": f"struct<v:{dict(right.dtypes)[value]}>" for n, (right, _, value, _) in enumerate(sides)}
+    none = {v: F.lit(None).cast(kind) for v, kind in kinds.items()}
+    both = left.select(F.col(key).alias("_k"), F.col(left_time).cast("date").alias("_t"), F.lit(1).alias("_side"), *[c.alias(v) for v, c in none.items()], (F.struct(*columns) if columns else F.lit(None)).alias("_l"))
+    empty = F.lit(None).cast(both.schema["_l"].dataType).alias("_l")
+    for n, (right, time, value, _) in enumerate(sides):
+        mine = none | {f"_v{n}": F.struct(F.col(value).alias("v")).cast(kinds[f"_v{n}"])}
+        both = both.unionByName(right.select(F.col(key).alias("_k"), F.col(time).cast("date").alias("_t"), F.lit(0).alias("_side"), *[c.alias(v) for v, c in mine.items()], empty))
+    both = both.withColumn("_y", F.year("_t"))
+    ends = both.groupBy("_k", "_y").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_t"))).alias(f"_end{v}") for v in kinds])
     past = Window.partitionBy("_k").orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
-    carried = years.select("_k", "_y", F.last("_end", ignorenulls=True).over(past).alias("_carry"))
+    carried = ends.select("_k", "_y", *[F.last(f"_end{v}", ignorenulls=True).over(past).alias(f"_carry{v}") for v in kinds])
     inside = Window.partitionBy("_k", "_y").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1").join(carried, ["_k", "_y"])
+    found = both.withColumns({f"_hit{v}": F.last(v, ignorenulls=True).over(inside) for v in kinds}).where("_side = 1").join(carried, ["_k", "_y"])
     keep = [F.col(f"_l.{c}").alias(c) for c in columns]
-    return found.select(F.col("_k").alias(key), F.col("_t").alias(left_time), *keep, F.coalesce("_hit", "_carry")["v"].alias(out))
+    return found.select(F.col("_k").alias(key), F.col("_t").alias(left_time), *keep, *[F.coalesce(f"_hit_v{n}", f"_carry_v{n}")["v"].alias(out) for n, (*_, out) in enumerate(sides)])
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, out: str) -> DataFrame:
+    """``as_of_each`` of one right side."""
+    return as_of_each(left, key, left_time, [(right, right_time, value, out)])
 
 
 def index(s: str, w: Window, n: int = WINDOW) -> Column:
@@ -70,17 +80,19 @@ def bias_index(series: DataFrame, n: int = WINDOW, high: float = HIGH, low: floa
     return series.select("pair", "date", level("base").alias("_b"), level("quote").alias("_q")).select("pair", "date", _against(F.col("_b"), F.col("_q")).alias("bias"))
 
 
+def aligned_each(daily: DataFrame, weekly: list[tuple[DataFrame, str, str]], lag_days: int = LAG_DAYS, missing: float | None = 0.0) -> DataFrame:
+    """``daily`` (pair, date) with the values of several weekly series (series, value, out) published by then; null or none becomes ``missing``."""
+    sides = [(series.select("pair", F.date_add("date", lag_days).alias("_pub"), value), "_pub", value, out) for series, value, out in weekly]
+    found = as_of_each(daily, "pair", "date", sides)
+    return found if missing is None else found.withColumns({out: F.coalesce(F.col(out).cast("double"), F.lit(missing)) for _, _, out in weekly})
+
+
 def aligned(daily: DataFrame, weekly: DataFrame, value: str, out: str, lag_days: int = LAG_DAYS, missing: float | None = 0.0) -> DataFrame:
-    """``daily`` (pair, date) with the weekly value published by then; null or none becomes ``missing``."""
-    published = weekly.select("pair", F.date_add("date", lag_days).alias("_pub"), value)
-    found = as_of(daily, published, "pair", "date", "_pub", value, out)
-    return found if missing is None else found.withColumn(out, F.coalesce(F.col(out).cast("double"), F.lit(missing)))
+    return aligned_each(daily, [(weekly, value, out)], lag_days, missing)
 
 
 def features(daily: DataFrame, cot: DataFrame, pairs: DataFrame, missing: float | None = 0.0) -> DataFrame:
     """pair, date, cot_base_idx, cot_quote_idx, cot_bias as known each day. ``missing=None`` leaves unknown ones null."""
     idx = asset_index(cot)
     leg = lambda side: pairs.select("pair", F.col(side).alias("asset")).join(idx, "asset").select("pair", "date", "idx")
-    out = aligned(daily, leg("base"), "idx", "cot_base_idx", missing=missing)
-    out = aligned(out, leg("quote"), "idx", "cot_quote_idx", missing=missing)
-    return aligned(out, bias_index(pair_series(cot, pairs)), "bias", "cot_bias", missing=missing)
+    return aligned_each(daily, [(leg("base"), "idx", "cot_base_idx"), (leg("quote"), "idx", "cot_quote_idx"), (bias_index(pair_series(cot, pairs)), "bias", "cot_bias")], missing=missing)

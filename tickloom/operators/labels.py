@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.boosting import Boosting, fit_folds, score_folds
 from tickloom.operators.signals import SwingRules, wanted
 from tickloom.sources.tables import by_chunk, chunked, numbered, own_rows
 
@@ -12,7 +13,7 @@ FEATURES = ["direction", "adx", "atr_pct", "rsi", "trend_ext", "pull_ext", "ret5
 
 
 def triple_barrier(frame: DataFrame, rules: SwingRules = SwingRules(), first: int = 60) -> DataFrame:
-    """One row a signal: symbol, date (of the entry bar), i, direction, r and win, with features of the signal bar.
+    """One row a signal: symbol, date (of the entry bar), signal_date, i, direction, r and win, with features of the signal bar.
 
     Of the next ``time_bars`` bars the first to touch the stop (-1) or the target (+take_r) decides,
     the stop first within a bar; else the close of the last of them, in units of risk.
@@ -31,7 +32,7 @@ def triple_barrier(frame: DataFrame, rules: SwingRules = SwingRules(), first: in
     rows = rows.withColumns({"_s": when(hit_stop), "_t": when(hit_take), "_out": F.element_at("_ahead", -1)["close"]})
     r = F.when((F.col("_s") <= F.col("_t")) & (F.col("_s") < 1 << 60), -1.0).when(F.col("_t") < 1 << 60, rules.take_r).otherwise(side * (F.col("_out") - F.col("_next")) / F.col("_risk"))
     return rows.select(
-        "symbol", F.col("_on").alias("date"), "i", "direction", "adx", "atr_pct", "rsi", ((F.col("close") - F.col("ema_trend")) / F.col("atr")).alias("trend_ext"), ((F.col("close") - F.col("ema_pullback")) / F.col("atr")).alias("pull_ext"),
+        "symbol", F.col("_on").alias("date"), F.col("date").alias("signal_date"), "i", "direction", "adx", "atr_pct", "rsi", ((F.col("close") - F.col("ema_trend")) / F.col("atr")).alias("trend_ext"), ((F.col("close") - F.col("ema_pullback")) / F.col("atr")).alias("pull_ext"),
         (F.col("close") / F.col("_c5") - 1).alias("ret5"), (F.col("close") / F.col("_c20") - 1).alias("ret20"), F.weekday("_on").alias("dow"), F.col("symbol").isin("XAUUSD", "XAGUSD").cast("int").alias("is_metal"), r.alias("r"), (r > 0).cast("int").alias("win"),
     )
 
@@ -83,29 +84,15 @@ def verdict(scored: DataFrame, p: str = "p", skill: float = 0.52, gain: float =
     return one.select("n", "auc", "top30_gain", F.coalesce((F.col("auc") >= skill) & (F.col("top30_gain") > gain), F.lit(False)).alias("skilled"), "gold_n", "gold_gain")
 
 
-def walk_forward(folded: DataFrame, iterations: int = 160, depth: int = 3, rate: float = 0.05, subsample: float = 0.8, seed: int = 7, rows_a_task: int = 100_000) -> DataFrame:
-    """The tested samples with ``p``, each fold scored by boosted trees that learnt on the rows before its embargo.
+def walk_forward(folded: DataFrame, how: Boosting = Boosting()) -> DataFrame:
+    """The tested samples (symbol, date, fold, p, r, win), each fold scored by boosted trees that learnt on the rows before its embargo.
 
-    Folds without both classes to learn from, or under five rows, are left out.
+    Folds without both classes to learn from, or under five rows, are left out. ``folded`` is read three times.
     """
-    from functools import reduce
-
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(folded.dropna(subset=FEATURES).withColumn("label", F.col("win").cast("double"))).persist()
-    # Every tree is several jobs over the training rows, so these lie in no more parts than their number asks for.
-    tasks = max(1, -(-rows.count() // rows_a_task))
-    plan = rows.where("train_end is not null").groupBy("fold").agg(F.min("train_end").alias("end"), F.count("*").alias("n")).orderBy("fold").collect()
-    out = []
-    for fold in plan:
-        train = rows.where(F.col("place") < fold["end"]).coalesce(tasks).persist()
-        if fold["n"] < 5 or train.agg(F.countDistinct("label").alias("n")).first()["n"] < 2:
-            continue
-        model = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(train)
-        train.unpersist()
-        out.append(model.transform(rows.where(F.col("fold") == fold["fold"])).withColumn("p", vector_to_array("probability")[1]))
-    empty = rows.where("false").withColumn("p", F.lit(0.0))
+    rows = folded.dropna(subset=FEATURES)
+    plan = rows.where("train_end is not null").groupBy("fold").agg(F.min("train_end").alias("end"), F.count("*").alias("n")).where("n >= 5").collect()
+    models = fit_folds(rows, {r["fold"]: r["end"] for r in plan}, FEATURES, "win", how) if plan else None
     keep = ["symbol", "date", "fold", "p", "r", "win"]
-    return reduce(DataFrame.unionByName, [o.select(*keep) for o in out] or [empty.select(*keep)])
+    if models is None:
+        return rows.where("false").withColumn("p", F.lit(0.0)).select(*keep)
+    return score_folds(rows.where("train_end is not null"), models, FEATURES, how.depth).select(*keep)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.bars import recursive, rolling_rank
+from tickloom.operators.bars import rolling_rank
+from tickloom.operators.recursive import recursive
 from tickloom.operators.signals import gate, no
 from tickloom.sources.tables import by_chunk, chunked, own_rows
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.bars import Periods, donchian, near, recursive, rolling_rank
+from tickloom.operators.bars import donchian, near, rolling_rank
+from tickloom.operators.recursive import Periods, recursive
 from tickloom.sources.tables import by_chunk, own_rows
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
 from tickloom.operators import signals as S
+from tickloom.operators.recursive import recursive
 from tickloom.sources.tables import BARS, bars, bars_raw
 
 
@@ -45,7 +46,7 @@ def confirmed_level(spark, d):
 
 
 def _some(*names):
-    return lambda s, d: B.recursive(bars(s, d)).select("symbol", "date", *_r(*names))
+    return lambda s, d: recursive(bars(s, d)).select("symbol", "date", *_r(*names))
 
 
 def signal_frame(spark, d):
@@ -66,7 +67,7 @@ QUERIES = {
     "atr": _some("atr"),
     "rsi": _some("rsi"),
     "adx": _some("adx"),
-    "supertrend": lambda s, d: B.recursive(bars(s, d)).select("symbol", "date", *_r("st_line"), "st_dir"),
+    "supertrend": lambda s, d: recursive(bars(s, d)).select("symbol", "date", *_r("st_line"), "st_dir"),
     "rolling_percentile": lambda s, d: B.rolling_rank(bars(s, d), "close", 100, "rank").where("rank is not null").select("symbol", "date", *_r("rank")),
     "rolling_percentile_partial": lambda s, d: B.rolling_rank(bars(s, d), "close", 100, "rank", partial=0.5).select("symbol", "date", *_r("rank")),
     "regime": lambda s, d: _frame(s, d).select("symbol", "date", "regime"),

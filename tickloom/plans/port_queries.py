@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from tickloom.operators import signals as S
 from tickloom.plans.bar_queries import FRAME, RECURSION
 from tickloom.plans.research_queries import WEEKS, _bias
 from tickloom.sources import files
+from tickloom.sources.shared import new_path
 from tickloom.sources.tables import BARS, TICKS, bars, table, ticks
 from tickloom.streaming import bars as stream_bars
 from tickloom.streaming import paper
@@ -31,16 +30,6 @@ def _r(n, *names):
     return [F.round(c, n).alias(c) for c in names]
 
 
-def _shared(spark, what):
-    """A new folder in the shared one that the session names; where a local session names none (tests), a temporary one."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _frame(spark, d):
     return S.frame(bars(spark, d))
 
@@ -136,7 +125,7 @@ def paper_trader_summary(spark, d):
 def _streamed(spark, feed, build, schema, mode="append"):
     """Run ``build`` over the files of ``feed`` as a stream to its end, all in one micro-batch; what its sink then holds."""
     source = spark.readStream.schema(schema).parquet(feed)
-    sink, log = _shared(spark, "sink"), _shared(spark, "stream-log")
+    sink, log = new_path(spark, "sink"), new_path(spark, "stream-log")
     built = build(source)
     query = built.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -145,9 +134,9 @@ def _streamed(spark, feed, build, schema, mode="append"):
 
 def paper_trader_stream(spark, d):
     """The paper trader over three parts of the ticks that follow each other, a micro-batch each; a part's symbols lie in files of their own."""
-    rows, feed = ticks(spark, d).select("symbol", "i", "price"), _shared(spark, "feed")
+    rows, feed = ticks(spark, d).select("symbol", "i", "price"), new_path(spark, "feed")
     third = F.floor(F.col("i") * 3 / (rows.agg(F.max("i").alias("m")).first()["m"] + 1))
-    sink, log = _shared(spark, "sink"), _shared(spark, "stream-log")
+    sink, log = new_path(spark, "sink"), new_path(spark, "stream-log")
     for k in range(3):
         rows.where(third == k).repartition("symbol").write.mode("append").parquet(feed)
         # Each run takes what is new in the feed, with the state of the runs before.
@@ -159,7 +148,7 @@ def paper_trader_stream(spark, d):
 def stream_bars_4h(spark, d):
     """Four-hour bars of the events as a stream; windows that the watermark has not passed are not there yet."""
     rows = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
-    feed = _shared(spark, "feed")
+    feed = new_path(spark, "feed")
     rows.write.parquet(feed)
     return _streamed(spark, feed, stream_bars.tick_bars, rows.schema)
 

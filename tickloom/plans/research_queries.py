@@ -10,7 +10,8 @@ from tickloom.operators import ruin as R
 from tickloom.operators import signals as S
 from tickloom.operators import swing as W
 from tickloom.plans.bar_queries import FRAME
-from tickloom.sources.tables import BARS, COT, PAIRS, bars, cot, pairs
+from tickloom.sources.shared import stash
+from tickloom.sources.tables import BARS, COT, PAIRS, bar_days, bars, cot, pairs
 
 #: Wide gates: noise rarely passes the usual ones, and labels need signals.
 OPEN = S.SwingRules(adx_min=5.0, rank_min=0.0, rank_max=1.0)
@@ -33,7 +34,7 @@ def _series(spark, d):
 
 
 def _daily(spark, d):
-    return bars(spark, d).select(F.col("symbol").alias("pair"), "date")
+    return bar_days(spark, d).withColumnRenamed("symbol", "pair")
 
 
 def asof_align(spark, d):
@@ -114,11 +115,10 @@ def triple_barrier(spark, d):
 
 
 def _folded(spark, d):
-    rows = _labelled(spark, d)
-    known = K.features(_daily(spark, d), cot(spark, d), pairs(spark)).withColumnRenamed("pair", "symbol")
-    on = rows.join(bars(spark, d).select("symbol", F.col("date").alias("_sig"), "i"), ["symbol", "i"])
-    joined = on.join(known.withColumnRenamed("date", "_sig"), ["symbol", "_sig"]).drop("_sig")
-    return L.folds(joined.dropna(subset=L.FEATURES))
+    """The samples with all features in their folds; written once, as folds and learners read them several times."""
+    known = K.features(_daily(spark, d), cot(spark, d), pairs(spark)).withColumnsRenamed({"pair": "symbol", "date": "signal_date"})
+    joined = stash(_labelled(spark, d).join(known, ["symbol", "signal_date"]).dropna(subset=L.FEATURES), "samples")
+    return L.folds(joined)
 
 
 def walkforward_folds(spark, d):
@@ -143,8 +143,22 @@ def model_verdict(spark, d):
     return L.verdict(_scored(spark, d), gold="3-MEDIUM").select("n", *_r(6, "auc", "top30_gain"), "skilled", "gold_n", *_r(6, "gold_gain"))
 
 
+def _learnt(spark, d):
+    """The tested samples with the learned filter's p; written once, as reports read them several times."""
+    return stash(L.walk_forward(stash(_folded(spark, d), "folds")), "learnt")
+
+
 def gbt_walkforward(spark, d):
-    return L.walk_forward(_folded(spark, d))
+    return _learnt(spark, d)
+
+
+def gbt_selectivity(spark, d):
+    return L.selectivity(_learnt(spark, d)).select("top", "trades", *_r(6, "win_pct", "mean_r", "gain"))
+
+
+def gbt_verdict(spark, d):
+    """The verdict on the learned filter; the third symbol stands for gold."""
+    return L.verdict(_learnt(spark, d), gold="3-MEDIUM").select("n", *_r(6, "auc", "top30_gain"), "skilled", "gold_n", *_r(6, "gold_gain"))
 
 
 def ruin_day_prob(spark, d):
@@ -185,6 +199,8 @@ QUERIES = {
     "selectivity": selectivity,
     "roc_auc": roc_auc,
     "gbt_walkforward": gbt_walkforward,
+    "gbt_selectivity": gbt_selectivity,
+    "gbt_verdict": gbt_verdict,
     "ruin_day_prob": ruin_day_prob,
     "ruin_paths": _paths("correct"),
     "ruin_paths_reference": _paths("reference"),

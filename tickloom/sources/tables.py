@@ -62,6 +62,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(days.withColumn("_year", F.year("date")), "symbol", ["date"], "_year").drop("_year")
 
 
+def bar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date of every bar."""
+    return bars_raw(spark, sf_dir).select("symbol", "date").dropna().distinct()
+
+
 BARS = """bars_raw AS (
   SELECT o_orderpriority AS symbol, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DOUBLE) AS price FROM orders),
 bars AS (
