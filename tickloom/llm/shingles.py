@@ -35,7 +35,9 @@ class WordHasher:
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Every word's hash in turn, and how many words each text has."""
-        raw = [(t or "").encode() for t in texts]
+        return self.of_bytes([(t or "").encode() for t in texts])
+
+    def of_bytes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x = SMALL[np.frombuffer(b" ".join(raw) + b" " * 9, np.uint8)]
         blank = BLANK[x]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
