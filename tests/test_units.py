@@ -431,7 +431,7 @@ def backtest_by_hand(prices, digits, rule, stake_of, payout, bankroll=10.0, base
     return out
 
 
-@pytest.mark.parametrize("duration, cooldown, size", [(1, 0, 1_000_000), (5, 0, 11), (1, 7, 16)])
+@pytest.mark.parametrize("duration, cooldown, size", [(1, 0, 1_000_000), (1, 0, 13), (5, 0, 11), (1, 7, 16)])
 @pytest.mark.parametrize("stake", ["flat", "martingale", "anti_martingale"])
 def test_backtests_in_chunks_against_a_loop(spark, duration, cooldown, size, stake):
     rnd = random.Random(duration * 100 + cooldown)
@@ -441,9 +441,10 @@ def test_backtests_in_chunks_against_a_loop(spark, duration, cooldown, size, sta
     for rule, fires in (("even", lambda i: True), ("gambler_even", lambda i: digits[i] <= 2)):
         found = C.signals(C.with_context(ticks, duration=duration), ["even"]).where(F.lit(True) if rule == "even" else F.col("i").isin([i for i in range(160) if digits[i] <= 2]))
         taken = C.selected(found, duration, cooldown, size).withColumn("payout", F.lit(1.95))
-        got = C.equity(C.trades(taken, [("x", "even", stake)])).orderBy("k").collect()
+        got = C.equity(C.trades(taken, [("x", "even", stake)], size=size)).orderBy("k").collect()
         want = backtest_by_hand(prices, digits, fires, C.LIVE_STAKES[stake], 1.95, duration=duration, cooldown=cooldown)
         assert [(r.i, r.won, r.stake, r.after) for r in got] == want
+        assert [r.peak for r in got] == np.maximum.accumulate([10.0, *(w[3] for w in want)])[1:].tolist()
         turn = C.trades_in_turn(taken, [("x", "even", stake)]).where("not _cut").orderBy("k").collect()
         assert [(r.i, r.won, r.stake, r.after) for r in turn] == want
 

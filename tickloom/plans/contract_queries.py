@@ -100,8 +100,7 @@ QUERIES = {
     "bt_anti_martingale": _equity("anti_martingale"),
     "bt_equity_curve": lambda s, d: C.equity(_trades(s, d)).select("symbol", "combo", "k", F.round("after", 6).alias("after"), F.round("peak", 6).alias("peak")),
     "bt_summary": lambda s, d: C.summary(_trades(s, d)),
-    # Without net / staked, a quotient that the two engines round apart where it is a tie.
-    "bt_duration5": lambda s, d: C.summary(_trades(s, d, duration=5)).drop("roi"),
+    "bt_duration5": lambda s, d: C.summary(_trades(s, d, duration=5)),
     "bt_cooldown": lambda s, d: C.summary(_trades(s, d, cooldown=7)),
     "bt_live_stakes": bt_live_stakes,
     "bt_report": lambda s, d: C.report_lines(C.summary(_trades(s, d))),
@@ -160,10 +159,27 @@ def _spaced_trades(duration: int = 1, cooldown: int = 0) -> str:
     return f"{_spaced_sql(duration, cooldown)} {_PAID}, {_MONEY}"
 
 
-_SUMMARY = """, s1 AS (SELECT symbol, combo, count(*) AS trades, count(*) FILTER (won) AS wins, sum(stake) AS staked, arg_max(after, k) AS e, max(round(peak - after, 8)) AS dd FROM eq GROUP BY ALL),
+def _hair(x: str, digits: int = 6) -> str:
+    """Rounded with a hair more than half, as the operator does."""
+    return f"floor(({x}) * 1e{digits}::DOUBLE + 0.500001::DOUBLE) / 1e{digits}::DOUBLE"
+
+
+_SUMMARY = f""", s1 AS (SELECT symbol, combo, count(*) AS trades, count(*) FILTER (won) AS wins, sum(stake) AS staked, arg_max(after, k) AS e, max(round(peak - after, 8)) AS dd FROM eq GROUP BY ALL),
         s2 AS (SELECT symbol, combo, max(CASE WHEN unfunded = 1 AND broke = 0 THEN 1 END) AS u FROM w7 GROUP BY ALL)
-        SELECT symbol, combo, trades, wins, trades - wins AS losses, round(wins / trades, 6) AS win_rate, round(staked, 6) AS staked, round(e - 10, 6) AS net, round((e - 10) / staked, 6) AS roi, round((e - 10) / trades, 6) AS ev_per_trade,
-        round(dd, 6) AS max_drawdown, round(e, 6) AS "end", e < 0.35 AS ruined, CASE WHEN e < 0.35 THEN 'ruined' WHEN u = 1 THEN 'unfunded' ELSE 'end' END AS stop FROM s1 JOIN s2 USING (symbol, combo)"""
+        SELECT symbol, combo, trades, wins, trades - wins AS losses, {_hair("wins / trades")} AS win_rate, {_hair("staked")} AS staked, {_hair("e - 10")} AS net, {_hair("(e - 10) / staked")} AS roi, {_hair("(e - 10) / trades")} AS ev_per_trade,
+        {_hair("dd")} AS max_drawdown, {_hair("e")} AS "end", e < 0.35 AS ruined, CASE WHEN e < 0.35 THEN 'ruined' WHEN u = 1 THEN 'unfunded' ELSE 'end' END AS stop FROM s1 JOIN s2 USING (symbol, combo)"""
+
+
+_LIVE_COMBOS = ", ".join(f"('{n}', '{r}', '{s}')" for n, r, s in LIVE)
+#: Stakes that see the bankroll, trade by trade: what is wanted beyond the bankroll is cut to it.
+_LIVE = f"""{TAKEN.replace("WITH ", "WITH RECURSIVE ", 1)}, {_MONEY[: _MONEY.index("w2 AS (")]}
+lv AS (SELECT symbol, combo, kind, k, won, payout FROM w1 JOIN (VALUES {_LIVE_COMBOS}) c(combo, rule, kind) USING (rule)),
+tr AS (SELECT DISTINCT symbol, combo, kind, 0::BIGINT AS k, false AS won, 0::DOUBLE AS stake, 10::DOUBLE AS after, 0 AS lost FROM lv
+  UNION ALL SELECT symbol, combo, kind, k, won, stake, {_hair("money + " + _hair("CASE WHEN won THEN stake * (payout - 1) ELSE -stake END", 8), 8)}, CASE WHEN won THEN 0 ELSE lost + 1 END
+  FROM (SELECT lv.*, tr.after AS money, tr.lost, least(tr.after, greatest(0.35::DOUBLE, CASE lv.kind WHEN 'tenth' THEN tr.after / 10 ELSE 0.35::DOUBLE * pow(2.0, least(tr.lost, 60)) END)) AS stake
+    FROM tr JOIN lv ON lv.symbol = tr.symbol AND lv.combo = tr.combo AND lv.k = tr.k + 1)),
+w7 AS (SELECT *, 0 AS unfunded, 0 AS broke FROM tr WHERE k > 0),
+eq AS (SELECT *, greatest(10::DOUBLE, max(after) OVER (PARTITION BY symbol, combo ORDER BY k)) AS peak FROM w7)"""
 
 
 def _eq_sql(pattern: str) -> str:
@@ -192,8 +208,9 @@ ORACLE = {
     "bt_anti_martingale": _eq_sql("%anti_martingale"),
     "bt_equity_curve": f"{TRADES} SELECT symbol, combo, k, round(after, 6) AS after, round(peak, 6) AS peak FROM eq",
     "bt_summary": f"{TRADES}{_SUMMARY}",
-    "bt_duration5": f"SELECT * EXCLUDE (roi) FROM ({_spaced_trades(duration=5)}{_SUMMARY})",
+    "bt_duration5": f"{_spaced_trades(duration=5)}{_SUMMARY}",
     "bt_cooldown": f"{_spaced_trades(cooldown=7)}{_SUMMARY}",
+    "bt_live_stakes": f"{_LIVE}{_SUMMARY}",
     "bt_report": f"""WITH sm AS ({TRADES}{_SUMMARY}) SELECT symbol, combo || ': trades=' || trades || ' won=' || format('{{:.4f}}', win_rate * 100) || '% staked=' || format('{{:.6f}}', staked) || ' net=' || format('{{:.6f}}', net)
         || ' roi=' || format('{{:.4f}}', roi * 100) || '% drawdown=' || format('{{:.6f}}', max_drawdown) || ' end=' || format('{{:.6f}}', "end") || ' stop=' || stop AS line FROM sm""",
 }
