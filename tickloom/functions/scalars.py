@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DECIMALS = 6
+from tickloom.functions.rules import MAX_DECIMALS, OUTCOMES
+
 
 
 def last_digit(price: Column, decimals: Column | int) -> Column:
@@ -46,20 +47,10 @@ def expected_value(p: Column, payout: Column) -> Column:
 
 def settles(contract: Column, barrier: Column, entry: Column, exit_: Column, digit: Column, unknown: Column | None = None) -> Column:
     """Whether a contract wins at its exit price and digit; ties lose. Unknown contracts raise unless ``unknown`` is given."""
-    rules = {
-        "DIGITDIFF": digit != barrier,
-        "DIGITMATCH": digit == barrier,
-        "DIGITEVEN": digit % 2 == 0,
-        "DIGITODD": digit % 2 == 1,
-        "DIGITOVER": digit > barrier,
-        "DIGITUNDER": digit < barrier,
-        "CALL": exit_ > entry,
-        "PUT": exit_ < entry,
-    }
     last = F.raise_error(F.concat(F.lit("no such contract: "), contract)).cast("boolean") if unknown is None else unknown
-    case = F.when(contract == "DIGITDIFF", rules["DIGITDIFF"])
-    for name in list(rules)[1:]:
-        case = case.when(contract == name, rules[name])
+    case = F
+    for name, wins in OUTCOMES.items():
+        case = case.when(contract == name, wins(digit, barrier, entry, exit_))
     return case.otherwise(last)
 
 
