@@ -46,7 +46,7 @@ class Library:
         self.model.no_truncation()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = WordSplitter(t.content for t in self.model.get_added_tokens_decoder().values())
-        self.met = ChunkCache(self._words, block=2000)
+        self.met = ChunkCache(self._words, 80 << 20, block=2000)
         self.cache = ChunkCache(self._chunks)
 
     def _words(self, words: list[str]) -> list[bytes]:
