@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as X
 from tickloom.operators import contracts as C
+from tickloom.operators import cot as K
 from tickloom.operators import ports as P
 from tickloom.operators import signals as S
 from tickloom.plans.bar_queries import FRAME, RECURSION
-from tickloom.plans.research_queries import WEEKS, _bias
+from tickloom.plans.contract_queries import GRID
+from tickloom.plans.research_queries import WEEKS, _bias, _series
 from tickloom.sources import files
+from tickloom.sources.asked import ask_quotes, quote_records
+from tickloom.sources.live import LiveTicks
+from tickloom.sources.reports import ReportFile
 from tickloom.sources.shared import new_path
-from tickloom.sources.tables import BARS, TICKS, bars, table, ticks
+from tickloom.sources.tables import BARS, PAIR_PLACES, TICKS, bars, table, ticks
 from tickloom.streaming import bars as stream_bars
 from tickloom.streaming import paper
 
-NAMES = ["EURUSD.m", "xauusd", "Gold#", "#SILVER_cash", "USDJPY-pro", "GBP/USD", "BTCUSD1", "a"]
-PAYLOADS = [
-    {"currencies": [{"pair": "EURUSD", "bias": "BUY"}, {"pair": "USDJPY", "bias": "SELL"}], "metals": [{"pair": "XAUUSD", "bias": "UNCERTAIN"}], "as_of": "2024-05-31"},
-    {"currencies": [], "metals": [{"pair": "XAGUSD", "bias": "sell"}], "as_of": "2024-06-07"},
-]
-MODES = [("EURUSD", True, "ALLOW", 1), ("GBPUSD", True, "BLOCK", 1), ("GBPUSD", True, "MANUAL", -1), ("USDJPY", False, "ALLOW", 1), ("XAUUSD", True, "BLOCK", 1)]
+PAIR_NAMES = [p for p, _, _ in PAIR_PLACES]
 
 
 def _r(n, *names):
@@ -45,21 +44,47 @@ def session_filter(spark, d):
 
 
 def symbol_normalize(spark, d):
-    rows = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return rows.select("name", X.symbol_of(F.col("name")).alias("symbol"))
+    """Broker-like names: those of parts and nations, and some with a metal in them."""
+    parts = table(spark, d, "part").select(F.col("p_name").alias("name"))
+    nations = table(spark, d, "nation").select(F.explode(F.array(F.concat("n_name", F.lit(".m")), F.concat(F.lit("xau#"), F.lower("n_name")), F.concat(F.substring("n_name", 1, 2), F.lit("Silver_")))).alias("name"))
+    return parts.unionByName(nations).distinct().select("name", X.symbol_of(F.col("name")).alias("symbol"))
+
+
+def _payloads(spark, d):
+    """Each week's bias of every pair as the service's JSON: the first three pairs as currencies, the others as metals."""
+    rows = K.bias_user(_series(spark, d)).select("date", F.struct("pair", X.bias_label(F.col("bias")).alias("bias")).alias("e"), (F.col("pair") < "4").alias("currency"))
+    of = lambda flag: F.array_sort(F.collect_list(F.when(F.col("currency") == flag, F.col("e"))))
+    weeks = rows.groupBy("date").agg(of(True).alias("currencies"), of(False).alias("metals"))
+    return weeks.select(F.to_json(F.struct("currencies", "metals", F.col("date").cast("string").alias("as_of"))).alias("value"))
 
 
 def bias_json(spark, d):
-    rows = spark.createDataFrame([(json.dumps(p),) for p in PAYLOADS], "value string")
-    return files.biases(rows).select("pair", "bias", "as_of", X.bias_code(F.col("bias")).alias("code"), X.bias_label(X.bias_code(F.col("bias"))).alias("label"))
+    return files.biases(_payloads(spark, d)).select("pair", "bias", "as_of", X.bias_code(F.col("bias")).alias("code"), X.bias_label(X.bias_code(F.col("bias"))).alias("label"))
 
 
 def effective_bias(spark, d):
-    live = bias_json(spark, d).where("as_of = '2024-05-31'").select("pair", "code")
-    asked = spark.createDataFrame(MODES, "pair string, valid boolean, fallback string, manual int")
-    rows = asked.join(live, "pair", "left")
+    """What each customer's settings make of the last week's bias of a pair; every seventh asks for a pair that has none."""
+    live = bias_json(spark, d)
+    last = live.groupBy("pair").agg(F.max_by("code", "as_of").alias("code"))
+    key = F.col("c_custkey")
+    pair = F.when(key % 7 == 0, "NONE").otherwise(F.element_at(F.array(*map(F.lit, PAIR_NAMES)), (key % 5 + 1).cast("int")))
+    asked = table(spark, d, "customer").select("c_custkey", pair.alias("pair"), (key % 3 != 0).alias("valid"), F.element_at(F.array(*map(F.lit, ["ALLOW", "BLOCK", "MANUAL"])), (key % 4 % 3 + 1).cast("int")).alias("fallback"), F.when(F.col("c_acctbal") < 0, -1).otherwise(1).alias("manual"))
     code = X.effective_bias(F.coalesce("code", F.lit(-99)), F.col("valid"), F.col("fallback"), F.col("manual"))
-    return rows.select("pair", "valid", "fallback", code.alias("code"), X.bias_label(code).alias("label"))
+    return asked.join(last, "pair", "left").select("c_custkey", "pair", "valid", "fallback", code.alias("code"), X.bias_label(code).alias("label"))
+
+
+def quoted_by_fallback(symbol, contract, barrier, duration):
+    """A client of ``asked``: the fallback's payout."""
+    return next(p for c, b, p in C.FALLBACK if c == contract and b in (None, barrier))
+
+
+def asked_quotes(spark, d):
+    """The grid of jobs asked of a client, written as one array of quotes, and read again."""
+    spark.dataSource.register(ReportFile)
+    asked = ask_quotes(C.job_grid(ticks(spark, d)), "tickloom.plans.port_queries:quoted_by_fallback")
+    path = new_path(spark, "quotes") + ".json"
+    quote_records(asked).write.format("report_file").mode("overwrite").options(path=path, kind="json").save()
+    return files.read_quotes(spark, path).select("symbol", "contract", F.coalesce("barrier", F.lit(-1)).alias("barrier"), "duration", "payout", *_r(6, "true_p"))
 
 
 def htf_confirm(spark, d):
@@ -145,6 +170,22 @@ def paper_trader_stream(spark, d):
     return _ledger(spark.read.schema(built.schema).parquet(sink))
 
 
+def paper_trader_live(spark, d):
+    """The paper trader on the live source: recorded messages of all ticks, known up to a half at first, then all."""
+    spark.dataSource.register(LiveTicks)
+    feed, sink, log = (new_path(spark, n) for n in ("feed", "sink", "stream-log"))
+    rows = ticks(spark, d).select("symbol", "i", F.to_json(F.struct(F.lit("tick").alias("msg_type"), F.struct(F.col("price").alias("quote"), "epoch").alias("tick"))).alias("value"))
+    # Files follow each other in order of their names; a symbol's file is in its order.
+    rows.repartition("symbol").sortWithinPartitions("symbol", "i").drop("i").write.partitionBy("symbol").text(feed)
+    symbols = [r.symbol for r in table(spark, d, "events").select(F.col("event_type").alias("symbol")).dropna().distinct().collect()]
+    half = rows.groupBy("symbol").count().agg(F.max("count").alias("m")).first()["m"] // 2
+    for upto in (half, 1 << 62):
+        source = spark.readStream.format("live_ticks").options(symbols=",".join(symbols), client="tickloom.sources.live:recorded", feed=feed, upto=str(upto)).load()
+        built = paper.paper_stream(source.select("symbol", "i", "price"), PAYOUTS, strategy="even", martingale=True)
+        built.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _ledger(spark.read.schema(built.schema).parquet(sink))
+
+
 def stream_bars_4h(spark, d):
     """Four-hour bars of the events as a stream; windows that the watermark has not passed are not there yet."""
     rows = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
@@ -172,11 +213,11 @@ QUERIES = {
     "paper_trader_batch": paper_trader_batch,
     "paper_trader_summary": paper_trader_summary,
     "paper_trader_stream": paper_trader_stream,
+    "paper_trader_live": paper_trader_live,
+    "asked_quotes": asked_quotes,
     "stream_bars": stream_bars_4h,
 }
 
-_NAMES = ", ".join(f"('{n}')" for n in NAMES)
-_PAIRS = ", ".join(f"('{e['pair']}', '{e['bias']}', '{p['as_of']}')" for p in PAYLOADS for e in p["currencies"] + p["metals"])
 _CODE = "CASE upper(bias) WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END"
 _LABEL = "CASE code WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' WHEN 9 THEN 'BLOCK' ELSE 'UNCERTAIN' END"
 #: The weekly mean, over the weeks of the bars.
@@ -205,11 +246,15 @@ ORACLE = {
     "daily_breaker": """WITH e AS (SELECT event_type AS symbol, event_id AS seq, ts, value + 1000 AS equity FROM events), s AS (SELECT *, first_value(equity) OVER w AS day_start FROM e WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq)),
         r AS (SELECT *, (day_start - equity) / day_start * 100 AS dd FROM s) SELECT symbol, seq, round(day_start, 6) AS day_start, round(dd, 6) AS drawdown_pct, bool_or(dd >= 5) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq) AS halted FROM r""",
     "session_filter": "SELECT event_type AS symbol, count(*) AS n FROM events WHERE hour(ts) >= 7 AND hour(ts) < 20 AND isodow(ts) <> 5 GROUP BY event_type",
-    "symbol_normalize": f"""WITH n(name) AS (VALUES {_NAMES}), p AS (SELECT name, regexp_replace(upper(name), '[^A-Z]', '', 'g') AS s FROM n)
+    "symbol_normalize": """WITH n AS (SELECT p_name AS name FROM part UNION SELECT n_name || '.m' FROM nation UNION SELECT 'xau#' || lower(n_name) FROM nation UNION SELECT left(n_name, 2) || 'Silver_' FROM nation),
+        p AS (SELECT name, regexp_replace(upper(name), '[^A-Z]', '', 'g') AS s FROM n)
         SELECT name, CASE WHEN s LIKE '%XAU%' OR s LIKE '%GOLD%' THEN 'XAUUSD' WHEN s LIKE '%XAG%' OR s LIKE '%SILVER%' THEN 'XAGUSD' ELSE left(s, 6) END AS symbol FROM p""",
-    "bias_json": f"WITH b(pair, bias, as_of) AS (VALUES {_PAIRS}), c AS (SELECT *, {_CODE} AS code FROM b) SELECT *, {_LABEL} AS label FROM c",
-    "effective_bias": f"""WITH b(pair, bias, as_of) AS (VALUES {_PAIRS}), m(pair, valid, fallback, manual) AS (VALUES {", ".join(f"('{p}', {str(v).lower()}, '{f}', {n})" for p, v, f, n in MODES)}),
-        c AS (SELECT m.pair, valid, fallback, CASE WHEN valid AND bias IS NOT NULL THEN {_CODE} WHEN fallback = 'BLOCK' THEN 9 WHEN fallback = 'MANUAL' THEN manual ELSE 0 END AS code FROM m LEFT JOIN b ON b.pair = m.pair AND as_of = '2024-05-31') SELECT *, {_LABEL} AS label FROM c""",
+    "bias_json": f"WITH {BARS}, {WEEKS}, c AS (SELECT pair, CAST(date AS VARCHAR) AS as_of, bias AS code FROM bu) SELECT pair, {_LABEL} AS bias, as_of, code, {_LABEL} AS label FROM c",
+    "effective_bias": f"""WITH {BARS}, {WEEKS}, l AS (SELECT pair, arg_max(bias, date) AS live FROM bu GROUP BY pair),
+        m AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NONE' ELSE {PAIR_NAMES}[c_custkey % 5 + 1] END AS pair, c_custkey % 3 <> 0 AS valid, ['ALLOW', 'BLOCK', 'MANUAL'][c_custkey % 4 % 3 + 1] AS fallback, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS manual FROM customer),
+        c AS (SELECT m.*, CASE WHEN valid AND live IS NOT NULL THEN live WHEN fallback = 'BLOCK' THEN 9 WHEN fallback = 'MANUAL' THEN manual ELSE 0 END AS code FROM m LEFT JOIN l USING (pair)) SELECT c_custkey, pair, valid, fallback, code, {_LABEL} AS label FROM c""",
+    "asked_quotes": f"{GRID} SELECT symbol, contract, coalesce(barrier, -1)::INT AS barrier, duration, payout, round(true_p, 6) AS true_p FROM he WHERE payout IS NOT NULL",
+    "paper_trader_live": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "htf_confirm": f"WITH RECURSIVE {BARS}, {_HTF} SELECT * FROM hx",
     "expert_signals": f"""{FRAME}, {_HTF}, {WEEKS}, w1 AS (SELECT fr.symbol, fr.date, CASE WHEN long_signal AND htf_dir >= 0 THEN 1 WHEN short_signal AND htf_dir <= 0 THEN -1 ELSE 0 END AS want, cot_bias FROM fr
         JOIN hx ON hx.symbol = fr.symbol AND hx.date = fr.date JOIN al ON al.pair = fr.symbol AND al.date = fr.date)
