@@ -110,6 +110,22 @@ def test_verdict_on_the_learnt_p_equals_sql(spark, monkeypatch, tmp_path):
     assert v.skilled == bool(pairs >= 0.52 and table[1][4] > 0.02) and table[1][0] == 30
 
 
+@pytest.mark.parametrize("ranges", [2, 5, 64])
+def test_quantiles_are_exact(spark, ranges):
+    from tickloom.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(ranges)
+    groups = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 301).astype(float), "c": np.array([3.5]), "d": np.zeros(40)}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    shares = {"q0": 0.0, "q1": 0.13, "q5": 0.5, "q9": 0.9, "q10": 1.0}
+    got = {r.g: list(r)[1:] for r in exact_quantiles(df, ["g"], "x", shares, ranges).collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(np.quantile(values, list(shares.values())).tolist(), abs=1e-12)
+    assert exact_quantiles(df.where("false"), [], "x", shares, ranges).collect() == []
+
+
 def test_the_registered_walk_forward_boosts_as_often_as_the_reference():
     assert (G.Boosting().iterations, G.Boosting().depth, G.Boosting().rate, G.Boosting().subsample) == (160, 3, 0.05, 0.8)
     assert L.walk_forward.__defaults__ == (G.Boosting(),)

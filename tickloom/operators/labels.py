@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.boosting import Boosting, fit_folds, score_folds
+from tickloom.operators.quantiles import exact_quantiles
 from tickloom.operators.signals import SwingRules, wanted
 from tickloom.sources.tables import by_chunk, chunked, numbered, own_rows
 
@@ -67,7 +68,7 @@ def auc(scored: DataFrame, p: str = "p", y: str = "win", buckets: int = 1000) ->
 def selectivity(scored: DataFrame, p: str = "p") -> DataFrame:
     """top (percent taken), trades, win_pct, mean_r, gain (over taking all); ties at the cut are taken."""
     tops = [100, 70, 50, 30, 20]
-    cuts = scored.agg(*[F.percentile(p, (100 - t) / 100).alias(f"_c{t}") for t in tops], F.avg("r").alias("_all"))
+    cuts = exact_quantiles(scored, [], p, {f"_c{t}": (100 - t) / 100 for t in tops}).join(scored.agg(F.avg("r").alias("_all")))
     rows = scored.join(F.broadcast(cuts)).select(p, "r", "win", "_all", F.inline(F.array(*[F.struct(F.lit(t).alias("top"), (F.lit(float("-inf")) if t == 100 else F.col(f"_c{t}")).alias("_cut")) for t in tops])))
     kept = rows.where(F.col(p) >= F.col("_cut"))
     return kept.groupBy("top").agg(F.count("*").alias("trades"), (F.avg("win") * 100).alias("win_pct"), F.avg("r").alias("mean_r"), (F.avg("r") - F.first("_all")).alias("gain"))
@@ -77,7 +78,7 @@ def verdict(scored: DataFrame, p: str = "p", skill: float = 0.52, gain: float =
     """One row: n, auc, the gain in mean r of the best 30 % over all, whether these show skill, and what taking the better half gains for one symbol (null at ten samples or fewer)."""
     top = selectivity(scored, p).where("top = 30").select(F.col("gain").alias("top30_gain"))
     ours = scored.where(F.col("symbol") == gold)
-    cut = ours.agg(F.percentile(p, 0.5).alias("_cut"), F.avg("r").alias("_all"), F.count("*").alias("gold_n"))
+    cut = ours.agg(F.avg("r").alias("_all"), F.count("*").alias("gold_n")).join(exact_quantiles(ours, [], p, {"_cut": 0.5}), how="left")
     half = ours.join(F.broadcast(cut)).agg(F.avg(F.when(F.col(p) >= F.col("_cut"), F.col("r"))).alias("_half"), F.first("_all").alias("_all"), F.count("*").alias("gold_n"))
     half = half.select("gold_n", F.when(F.col("gold_n") > 10, F.col("_half") - F.col("_all")).alias("gold_gain"))
     one = auc(scored, p).join(F.broadcast(half)).join(F.broadcast(top), how="left")
