@@ -224,3 +224,53 @@ def test_a_report_is_whole_or_not_there(spark, tmp_path):
     assert table.read_text() == before and sorted(p.name for p in tmp_path.iterdir()) == ["e.json", "r.json", "r.md"]
     with pytest.raises(Exception, match="there already"):
         rows.write.format("report_file").mode("append").options(path=str(table), kind="markdown").save()
+
+
+# ---- alerts, text reports, cached files, every strategy
+
+
+def test_alerts_send_signals_only(spark, tmp_path):
+    from tickloom.streaming.bars import alerts
+
+    rows = spark.createDataFrame([("A", True, False), ("B", False, False), ("C", False, True)], "symbol string, long_signal boolean, short_signal boolean")
+    rows.write.parquet(str(tmp_path / "feed"))
+    sent = []
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "feed"))
+    alerts(stream, lambda df, batch: sent.extend(r.symbol for r in df.collect())).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(sent) == ["A", "C"]
+
+
+def test_text_reports_and_cached_weeks(spark, tmp_path):
+    from tickloom.sources import files
+
+    rows = spark.createDataFrame([("A", 3, 0.5)], "symbol string, n int, share double")
+    files.write_report(rows, "%s: %d of them, %.1f", ["symbol", "n", "share"], str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["A: 3 of them, 0.5"]
+    (tmp_path / "GOLD.csv").write_text("date,comm_net,noncomm_net,open_interest\n2024-01-02,5,-3.5,100\nx,1,n/a,2\n")
+    got = files.read_cot(spark, str(tmp_path / "GOLD.csv")).orderBy("open_interest").collect()
+    assert [(r.asset, str(r.date), r.comm_net, r.noncomm_net) for r in got] == [("GOLD", "None", 1.0, None), ("GOLD", "2024-01-02", 5.0, -3.5)]
+
+
+def by_hand(strategy, values, k=3):
+    """What each decided contract is and whether it won, tick by tick, with two decimals until there are fifty."""
+    digit = [round(p * 100) % 10 for p in values]
+    out, at = [], k + 2
+    while at + 2 < len(values):
+        moves = [b - a for a, b in zip(values[at - k : at], values[at - k + 1 : at + 1])]
+        asked = {"differs": ("DIGITDIFF", digit[at]), "even": ("DIGITEVEN", None), "over0": ("DIGITOVER", 0), "gambler_low": ("DIGITOVER", 3) if digit[at] <= 2 else None, "gambler_match": ("DIGITDIFF", digit[at]) if digit[at] == digit[at - 1] else None, "momentum": ("CALL", None) if min(moves) > 0 else None, "meanrev": ("CALL", None) if max(moves) < 0 else None}[strategy]
+        if asked is None:
+            at += 1
+            continue
+        d = digit[at + 2]
+        won = {"DIGITDIFF": d != asked[1], "DIGITEVEN": d % 2 == 0, "DIGITOVER": asked[1] is not None and d > asked[1], "CALL": values[at + 2] > values[at]}[asked[0]]
+        out.append((*asked, won))
+        at += 2
+    return out
+
+
+@pytest.mark.parametrize("strategy", ["differs", "even", "over0", "gambler_low", "gambler_match", "momentum", "meanrev"])
+def test_every_strategy_of_the_paper_trader(strategy):
+    values = prices(120, 11)
+    trader = paper.Trader(strategy=strategy, bankroll=1000.0)
+    rows = [r for i, p in enumerate(values) if (r := trader.tick(i, p, {}))]
+    assert [(r["contract"], r["barrier"], r["won"]) for r in rows] == by_hand(strategy, values) and rows

@@ -106,6 +106,11 @@ def in_session(ts: Column, start_hour: int, end_hour: int, monday: bool = True,
     return ok
 
 
+def spread_ok(ask: Column, bid: Column, atr: Column, most: float = 0.10) -> Column:
+    """Whether the spread is at most ``most`` ATRs; 0 turns the filter off."""
+    return F.lit(True) if most <= 0 else (ask - bid) <= most * atr
+
+
 def lots(risk_money: Column, loss_per_lot: Column, step: Column, least: Column, most: Column, cap: Column) -> Column:
     """Lots for a risk: down to a step, at least ``least``, at most ``most`` and the cap. No loss, no lots."""
     raw = F.floor(F.try_divide(risk_money, loss_per_lot) / step) * step

@@ -35,13 +35,17 @@ def higher_frame(bars: DataFrame, unit: str = "week", ema: int = 50) -> DataFram
     return bars.withColumn("_u", F.to_date(F.date_trunc(unit, "date"))).join(shown, ["symbol", "_u"], "left").select("symbol", "date", F.coalesce("htf_dir", F.lit(0)).alias("htf_dir"))
 
 
-def expert_signals(frame: DataFrame, higher: DataFrame, bias: DataFrame, session: Column, positions: int = 0, most: int = 1, allow_uncertain: bool = True) -> DataFrame:
-    """symbol, date, order (1, -1, 0): signals that the higher frame, the bias, the session and the open positions allow."""
+def expert_signals(frame: DataFrame, higher: DataFrame, bias: DataFrame, session: Column, positions: int = 0, most: int = 1, allow_uncertain: bool = True, tight: Column | None = None, halted: DataFrame | None = None) -> DataFrame:
+    """symbol, date, order (1, -1, 0): signals that the higher frame, the bias, the session and the open positions allow,
+    and if given, that the spread (``tight``) and the breaker (``halted``: symbol and date of halted days) allow."""
     rows = frame.join(higher, ["symbol", "date"], "left").join(bias, ["symbol", "date"], "left")
     htf = F.coalesce("htf_dir", F.lit(0))
     want = F.when(F.col("long_signal") & (htf >= 0), 1).when(F.col("short_signal") & (htf <= 0), -1).otherwise(0)
     allowed = gate(want, F.coalesce("bias", F.lit(0.0)).cast("int"), allow_uncertain)
-    free = F.lit(positions < most)
+    free = F.lit(positions < most) & no(F.lit(True) if tight is None else tight)
+    if halted is not None:
+        rows = rows.join(halted.select("symbol", "date", F.lit(True).alias("_halted")).distinct(), ["symbol", "date"], "left")
+        free = free & F.col("_halted").isNull()
     return rows.select("symbol", "date", F.when(no(session) & free, allowed).otherwise(0).alias("order"))
 
 

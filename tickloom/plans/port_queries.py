@@ -18,7 +18,7 @@ from tickloom.sources.asked import ask_quotes, quote_records
 from tickloom.sources.live import LiveTicks
 from tickloom.sources.reports import ReportFile
 from tickloom.sources.shared import new_path
-from tickloom.sources.tables import BARS, PAIR_PLACES, TICKS, bars, table, ticks
+from tickloom.sources.tables import BARS, PAIR_PLACES, TICKS, bars, bars_raw, table, ticks
 from tickloom.streaming import bars as stream_bars
 from tickloom.streaming import paper
 
@@ -97,6 +97,14 @@ def expert_signals(spark, d):
     return rows.where("order <> 0")
 
 
+def expert_guarded(spark, d):
+    """The expert's orders with a spread of a tenth of the bar's range, and no entries on days whose orders fell 60 % below the first."""
+    equity = bars_raw(spark, d).where("symbol is not null and date is not null").select("symbol", F.col("date").cast("timestamp").alias("ts"), "seq", F.col("price").alias("equity"))
+    halted = P.daily_breaker(equity, 60.0).where("halted").select("symbol", F.to_date("ts").alias("date"))
+    tight = X.spread_ok(F.col("low") + 0.1 * (F.col("high") - F.col("low")), F.col("low"), F.col("atr"))
+    return P.expert_signals(_frame(spark, d), htf_confirm(spark, d), _bias(spark, d), F.weekday("date") < 5, tight=tight, halted=halted).where("order <> 0")
+
+
 def managed_stops(spark, d):
     return P.managed_stops(_frame(spark, d)).select("symbol", "opened", "side", "step", *_r(4, "price", "stop"), "exit")
 
@@ -202,6 +210,7 @@ QUERIES = {
     "effective_bias": effective_bias,
     "htf_confirm": htf_confirm,
     "expert_signals": expert_signals,
+    "expert_guarded": expert_guarded,
     "managed_stops": managed_stops,
     "lot_size": lot_size,
     "chart_signals": chart_signals,
@@ -259,6 +268,11 @@ ORACLE = {
     "expert_signals": f"""{FRAME}, {_HTF}, {WEEKS}, w1 AS (SELECT fr.symbol, fr.date, CASE WHEN long_signal AND htf_dir >= 0 THEN 1 WHEN short_signal AND htf_dir <= 0 THEN -1 ELSE 0 END AS want, cot_bias FROM fr
         JOIN hx ON hx.symbol = fr.symbol AND hx.date = fr.date JOIN al ON al.pair = fr.symbol AND al.date = fr.date)
         SELECT symbol, date, want AS "order" FROM w1 WHERE want <> 0 AND cot_bias <> -want AND isodow(date) < 6""",
+    "expert_guarded": f"""{FRAME}, {_HTF}, {WEEKS}, eq AS (SELECT symbol, date, seq, price, first_value(price) OVER (PARTITION BY symbol, date ORDER BY seq) AS opening FROM bars_raw WHERE symbol IS NOT NULL AND date IS NOT NULL),
+        hl AS (SELECT DISTINCT symbol, date FROM eq WHERE (opening - price) / opening * 100 >= 60),
+        w1 AS (SELECT fr.symbol, fr.date, high, low, atr, CASE WHEN long_signal AND htf_dir >= 0 THEN 1 WHEN short_signal AND htf_dir <= 0 THEN -1 ELSE 0 END AS want, cot_bias FROM fr
+        JOIN hx ON hx.symbol = fr.symbol AND hx.date = fr.date JOIN al ON al.pair = fr.symbol AND al.date = fr.date)
+        SELECT symbol, date, want AS "order" FROM w1 WHERE want <> 0 AND cot_bias <> -want AND isodow(date) < 6 AND low + 0.1::DOUBLE * (high - low) - low <= 0.1::DOUBLE * atr AND (symbol, date) NOT IN (SELECT (symbol, date) FROM hl)""",
     "paper_trader_batch": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "paper_trader_stream": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "lot_size": f"""{FRAME}, g AS (SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, greatest(2 * atr, 50000) AS sd, 2.5 * (2 * atr) AS td FROM fr WHERE long_signal OR short_signal)

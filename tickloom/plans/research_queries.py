@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import cot as K
@@ -110,6 +112,12 @@ def _labelled(spark, d):
     return L.triple_barrier(S.frame(bars(spark, d), OPEN), OPEN)
 
 
+def entry_modes(spark, d):
+    """The signals of each entry mode, with wide gates."""
+    of = lambda mode: S.frame(bars(spark, d), replace(OPEN, entry=mode)).where("long_signal or short_signal").select(F.lit(mode).alias("mode"), "symbol", "date", "long_signal", "short_signal")
+    return of("either").unionByName(of("pullback")).unionByName(of("breakout"))
+
+
 def triple_barrier(spark, d):
     return _labelled(spark, d).select("symbol", "date", "direction", *_r(6, "r"), "win")
 
@@ -194,6 +202,7 @@ QUERIES = {
     "portfolio": portfolio,
     "portfolio_sharpe": portfolio_sharpe,
     "model_verdict": model_verdict,
+    "entry_modes": entry_modes,
     "triple_barrier": triple_barrier,
     "walkforward_folds": walkforward_folds,
     "selectivity": selectivity,
@@ -336,3 +345,6 @@ ORACLE["portfolio_sharpe"] = f"""SELECT variant, count(*) AS days, round(CASE WH
 ORACLE["model_verdict"] = f"""WITH a AS ({ORACLE["roc_auc"]}), s AS ({ORACLE["selectivity"]}), g AS ({LABELS} SELECT p, r FROM lb WHERE symbol = '3-MEDIUM')
     SELECT a.n, a.auc, s.gain AS top30_gain, a.auc >= 0.52 AND s.gain > 0.02 AS skilled, (SELECT count(*) FROM g) AS gold_n,
       (SELECT CASE WHEN count(*) > 10 THEN round(avg(r) FILTER (p >= (SELECT quantile_cont(p, 0.5) FROM g)) - avg(r), 6) END FROM g) AS gold_gain FROM a, s WHERE s.top = 30"""
+_MODES = "(VALUES ('either', true, true), ('pullback', true, false), ('breakout', false, true)) m(mode, pull, break_)"
+ORACLE["entry_modes"] = f"""{_OPEN_FRAME}, e AS (SELECT mode, symbol, date, i >= 102 AND (pull AND long_pullback OR break_ AND long_breakout) AS long_signal, i >= 102 AND (pull AND short_pullback OR break_ AND short_breakout) AS short_signal FROM fr, {_MODES})
+  SELECT * FROM e WHERE long_signal OR short_signal"""
