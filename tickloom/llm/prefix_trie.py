@@ -225,7 +225,7 @@ def op11(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """
     turns = ordered_turns(conversations)
     sizes = stash(turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")), "trie-sizes")
-    return trie(stash(rebuilt(turns, sizes), "trie-rebuilt"), sizes.select("conv_id"))
+    return trie(stash(rebuilt(turns, sizes), "trie-rebuilt"), sizes.select("conv_id")).drop("key", "parent_key")
 
 
 SQL = """
