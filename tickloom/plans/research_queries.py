@@ -122,6 +122,11 @@ def triple_barrier(spark, d):
     return _labelled(spark, d).select("symbol", "date", "direction", *_r(6, "r"), "win")
 
 
+def label_features(spark, d):
+    """What a learner sees of each signal besides the positioning."""
+    return _labelled(spark, d).select("symbol", "date", "direction", *_r(6, "adx", "rsi", "trend_ext", "pull_ext", "ret5", "ret20"), F.col("dow").cast("long").alias("dow"), "is_metal")
+
+
 def _folded(spark, d):
     """The samples with all features in their folds; written once, as folds and learners read them several times."""
     known = K.features(_daily(spark, d), cot(spark, d), pairs(spark)).withColumnsRenamed({"pair": "symbol", "date": "signal_date"})
@@ -204,6 +209,7 @@ QUERIES = {
     "model_verdict": model_verdict,
     "entry_modes": entry_modes,
     "triple_barrier": triple_barrier,
+    "label_features": label_features,
     "walkforward_folds": walkforward_folds,
     "selectivity": selectivity,
     "roc_auc": roc_auc,
@@ -348,3 +354,6 @@ ORACLE["model_verdict"] = f"""WITH a AS ({ORACLE["roc_auc"]}), s AS ({ORACLE["se
 _MODES = "(VALUES ('either', true, true), ('pullback', true, false), ('breakout', false, true)) m(mode, pull, break_)"
 ORACLE["entry_modes"] = f"""{_OPEN_FRAME}, e AS (SELECT mode, symbol, date, i >= 102 AND (pull AND long_pullback OR break_ AND long_breakout) AS long_signal, i >= 102 AND (pull AND short_pullback OR break_ AND short_breakout) AS short_signal FROM fr, {_MODES})
   SELECT * FROM e WHERE long_signal OR short_signal"""
+ORACLE["label_features"] = f"""{LABELS}, lg AS (SELECT symbol, i, lag(close, 5) OVER w AS c5, lag(close, 20) OVER w AS c20 FROM fr WINDOW w AS (PARTITION BY symbol ORDER BY i))
+  SELECT sh.symbol, on_date AS date, direction, round(adx, 6) AS adx, round(rsi, 6) AS rsi, round((close - ema_trend) / atr, 6) AS trend_ext, round((close - ema_pullback) / atr, 6) AS pull_ext, round(close / c5 - 1, 6) AS ret5, round(close / c20 - 1, 6) AS ret20,
+    isodow(on_date) - 1 AS dow, CAST(sh.symbol IN ('XAUUSD', 'XAGUSD') AS INT) AS is_metal FROM sh JOIN lg USING (symbol, i)"""
