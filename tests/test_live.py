@@ -251,6 +251,21 @@ def test_text_reports_and_cached_weeks(spark, tmp_path):
     assert [(r.asset, str(r.date), r.comm_net, r.noncomm_net) for r in got] == [("GOLD", "None", 1.0, None), ("GOLD", "2024-01-02", 5.0, -3.5)]
 
 
+def test_each_bar_file_has_its_own_separator(spark, tmp_path):
+    from tickloom.operators.bars import clean
+    from tickloom.sources import files
+
+    (tmp_path / "aaa.csv").write_text("Date;Open;High;Low;Close;Volume\n2024-01-02;1;2;0.5;1.5;7\n2024-01-02;1;3;0.5;1.6;8\n")
+    (tmp_path / "bbb.csv").write_text("close,<LOW>,time,open,high\n5,4,2024-01-03 10:00,4.5,6\n")
+    (tmp_path / "ccc.csv").write_text("Date;Open;High;Low;Close;Volume\n2024-01-04;1;1;1;1;1\n")
+    assert {files.line_separator(h) for h in files.by_header(spark, str(tmp_path))} == {",", ";"}
+    got = clean(files.read_bars(spark, str(tmp_path))).orderBy("symbol").collect()
+    assert [(r.symbol, str(r.date), r.high, r.close, r.volume) for r in got] == [("AAA", "2024-01-02", 3.0, 1.6, 8.0), ("BBB", "2024-01-03", 6.0, 5.0, 0.0), ("CCC", "2024-01-04", 1.0, 1.0, 1.0)]
+    (tmp_path / "ddd.csv").write_text("date,open,high,low\n")
+    with pytest.raises(ValueError, match="no column close"):
+        files.read_bars(spark, str(tmp_path))
+
+
 def by_hand(strategy, values, k=3):
     """What each decided contract is and whether it won, tick by tick, with two decimals until there are fifty."""
     digit = [round(p * 100) % 10 for p in values]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,29 +44,49 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("payout is not null").select("symbol", "contract", F.col("params.barrier").try_cast("int").alias("barrier"), F.col("params.duration").alias("duration"), "true_p", "payout", F.monotonically_increasing_id().alias("seq"))
 
 
-def separator(spark: SparkSession, path: str) -> str:
-    """';' if a file's first line has more of them than commas, else ','."""
-    first = spark.read.text(path).head(1)
-    line = first[0]["value"] if first else ""
+def line_separator(line: str) -> str:
+    """';' if a line has more of them than commas, else ','."""
     return ";" if line.count(";") > line.count(",") else ","
 
 
+def by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of ``path`` by their first line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    heads = lines.where("start = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    return {r["head"]: sorted(r["files"]) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()}
+
+
+def separator(spark: SparkSession, path: str) -> str:
+    """The separator of a file's first line (of a folder's first header)."""
+    return line_separator(min(by_header(spark, path), default=""))
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """symbol, seq, time, open, high, low, close, volume as text, from CSV files named by symbol, for ``bars.clean``.
 
-    Column names are taken in lower case; the time is the first with "time" or "date" in it, else the
-    first column, and the volume the first that starts with "vol". A missing price column is an error.
+    Each file has its own separator and columns. Names are taken in lower case; the time is the first with
+    "time" or "date" in it, else the first column, and the volume the first that starts with "vol". A missing
+    price column is an error.
     """
-    raw = spark.read.option("header", True).option("sep", separator(spark, path)).csv(path)
+    groups = by_header(spark, path)
+    if not groups:
+        raise ValueError(f"{path} has no line")
+    return reduce(DataFrame.unionByName, [_bars_of(spark, head, files) for head, files in sorted(groups.items())])
+
+
+def _bars_of(spark: SparkSession, head: str, files: list[str]) -> DataFrame:
+    raw = spark.read.option("header", True).option("sep", line_separator(head)).csv(files)
     names = {c.strip().strip("<>").lower(): c for c in raw.columns}
     absent = [c for c in ("open", "high", "low", "close") if c not in names]
     if absent:
-        raise ValueError(f"{path} has no column {', '.join(absent)}")
+        raise ValueError(f"{files[0]} has no column {', '.join(absent)}")
     time = next((c for n, c in names.items() if "time" in n or "date" in n), raw.columns[0])
     volume = next((c for n, c in names.items() if "vol" in n), None)
     price = [F.col(f"`{names[c]}`").alias(c) for c in ("open", "high", "low", "close")]
     symbol = F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
-    return raw.select(symbol.alias("symbol"), F.monotonically_increasing_id().alias("seq"), F.col(f"`{time}`").alias("time"), *price, (F.col(f"`{volume}`") if volume else F.lit("0")).alias("volume"))
+    # Rows follow each other by the block they lie in and their place in it, whichever task reads them.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(symbol.alias("symbol"), place.alias("seq"), F.col(f"`{time}`").alias("time"), *price, (F.col(f"`{volume}`") if volume else F.lit("0")).alias("volume"))
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
