@@ -30,18 +30,37 @@ from tickloom.streaming.paper import Trader
 # ---- functions
 
 
-def test_tails():
-    assert round(chi2_tail(3.55, 9), 3) == 0.938
-    assert round(chi2_tail(67.4, 81), 3) == 0.860
-    assert round(normal_two_sided(1.959964), 4) == 0.05
-    assert round(t_two_sided(2.228139, 10), 4) == 0.05
-    assert chi2_tail(None, 9) is None and t_two_sided(0.0, 5) == 1.0
-
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def area(density, start, end=400.0, n=400_001):
+    """The integral of a density by Simpson's rule."""
+    x = np.linspace(start, end, n)
+    w = np.where(np.arange(n) % 2, 4.0, 2.0)
+    w[[0, -1]] = 1
+    return float((w * density(x)).sum() * (end - start) / (n - 1) / 3)
+
+
+def test_tails_equal_integrals_of_the_densities(spark):
+    chi2 = lambda df: lambda x: np.exp((df / 2 - 1) * np.log(x) - x / 2 - df / 2 * math.log(2) - math.lgamma(df / 2))
+    t = lambda df: lambda x: np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(x * x / df))
+    points = [(x, df) for df in (1, 2, 9, 81, 150) for x in (0.5, 3.0, 8.5, 67.4, 120.0)]
+    got = spark.createDataFrame([(i, x, df) for i, (x, df) in enumerate(points)], "i int, x double, df int").select("i", chi2_tail(F.col("x"), F.col("df")).alias("c"), t_two_sided(F.col("x"), F.col("df")).alias("t")).orderBy("i").collect()
+    for (x, df), row in zip(points, got):
+        assert row.c == pytest.approx(area(chi2(df), x, 900.0), abs=1e-9)
+        assert row.t == pytest.approx(1 - 2 * area(t(df), 0.0, x), abs=1e-9)
+
+
+def test_tails_at_their_edges(spark):
+    assert round(one(spark, normal_two_sided(F.lit(-1.959964))), 6) == 0.05
+    assert one(spark, chi2_tail(F.lit(None), F.lit(9))) is None and one(spark, chi2_tail(F.lit(3.0), F.lit(0))) is None
+    assert one(spark, chi2_tail(F.lit(0.0), F.lit(3))) == 1 and one(spark, t_two_sided(F.lit(0.0), F.lit(5))) == 1
+    assert one(spark, chi2_tail(F.lit(5000.0), F.lit(9))) == 0
+    # With many degrees of freedom t is as the normal.
+    assert one(spark, t_two_sided(F.lit(2.0), F.lit(10**9))) == pytest.approx(math.erfc(math.sqrt(2)), abs=1e-8)
+
+
 def test_last_digit_rounds_half_to_even(spark):
     assert [one(spark, X.last_digit(F.lit(p), 0)) for p in (0.5, 1.5, 2.5, 13.0)] == [0, 2, 2, 3]
 

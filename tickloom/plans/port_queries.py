@@ -152,7 +152,8 @@ def paper_trader_batch(spark, d):
 
 
 def paper_trader_summary(spark, d):
-    return paper.summary(paper.paper_batch(ticks(spark, d).select("symbol", "i", "price"), PAYOUTS, strategy="momentum"))
+    rows = paper.summary(paper.paper_batch(ticks(spark, d).select("symbol", "i", "price"), PAYOUTS, strategy="momentum"))
+    return rows.select("symbol", "trades", "wins", *_r(6, "staked", "net", "roi", "max_drawdown"), "status")
 
 
 def _streamed(spark, feed, build, schema, mode="append"):
@@ -236,18 +237,23 @@ hd AS (SELECT w.symbol, w.u, CAST(sign(em.close - em.e) AS INT) AS dir FROM wk w
 hx AS (SELECT bars.symbol, bars.date, coalesce(hd.dir, 0) AS htf_dir FROM bars LEFT JOIN hd ON hd.symbol = bars.symbol AND hd.u = CAST(date_trunc('week', bars.date) AS DATE))"""
 
 #: The trader with strategy "even" and doubled stakes, tick by tick: state after each tick, and its ledger row if there is one.
-_PAPER = f"""WITH RECURSIVE {TICKS}, dg AS (SELECT symbol, i, CAST(round_even(price * 100, 0) AS BIGINT) % 10 AS digit FROM ticks),
+def _trader(hit: str, asks: str, doubled: int, payout: float) -> str:
+    """The paper trader tick by tick: ``hit`` says whether a contract that ends here wins, ``asks`` whether the rule asks for one."""
+    return f"""WITH RECURSIVE {TICKS}, dg AS (SELECT symbol, i, coalesce({hit}, false) AS hit, coalesce({asks}, false) AS asks FROM (SELECT *, CAST(round_even(price * 100, 0) AS BIGINT) % 10 AS digit, lag(price, 1) OVER w AS p1, lag(price, 2) OVER w AS p2, lag(price, 3) OVER w AS p3 FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY i))),
 pt AS (
   SELECT symbol, -1::BIGINT AS i, 10::DOUBLE AS bank, 0 AS losses, 10::DOUBLE AS peak, 0::DOUBLE AS dd, -1::BIGINT AS exit_i, 0::DOUBLE AS staked, 0 AS n, '' AS done, false AS row, NULL::BOOLEAN AS won, 0::DOUBLE AS stake FROM (SELECT DISTINCT symbol FROM dg)
   UNION ALL
   SELECT symbol, i, bank, losses, peak, dd, CASE WHEN opens THEN i + 2 WHEN settled THEN -1 ELSE exit_i END, CASE WHEN opens THEN want ELSE staked END, n, CASE WHEN ended <> '' THEN ended WHEN decides AND want > bank THEN 'unfunded' ELSE '' END,
     (settled OR decides AND want > bank) AND was = '', CASE WHEN settled THEN hit END, CASE WHEN settled THEN staked ELSE want END
-  FROM (SELECT *, decides AND want <= bank AS opens FROM (SELECT *, ended = '' AND (exit_i < 0 OR settled) AND i >= 5 AS decides, 0.35::DOUBLE * pow(2, losses) AS want FROM (
+  FROM (SELECT *, decides AND want <= bank AS opens FROM (SELECT *, ended = '' AND (exit_i < 0 OR settled) AND i >= 5 AND asks AS decides, 0.35::DOUBLE * pow(2, {doubled} * losses) AS want FROM (
     SELECT *, CASE WHEN was <> '' THEN was WHEN settled AND bank < 0.35 THEN 'ruined' WHEN settled AND n >= 200 THEN 'finished' ELSE '' END AS ended FROM (
       SELECT * REPLACE (greatest(peak, bank) AS peak, CASE WHEN settled THEN greatest(dd, greatest(peak, bank) - bank) ELSE dd END AS dd) FROM (
-        SELECT symbol, i, was, settled, hit, exit_i, staked, peak, dd, CASE WHEN NOT settled THEN bank WHEN hit THEN bank + staked * (1.95::DOUBLE - 1) ELSE bank - staked END AS bank, CASE WHEN NOT settled THEN losses WHEN hit THEN 0 ELSE losses + 1 END AS losses, n + CAST(settled AS INT) AS n FROM (
-          SELECT dg.symbol, dg.i, pt.bank, pt.losses, pt.peak, pt.dd, pt.exit_i, pt.staked, pt.n, pt.done AS was, pt.done = '' AND pt.exit_i >= 0 AND dg.i >= pt.exit_i AS settled, dg.digit % 2 = 0 AS hit FROM pt JOIN dg ON dg.symbol = pt.symbol AND dg.i = pt.i + 1)))))))
-,lg AS (SELECT symbol, n, i, won, round(stake, 6) AS stake, CASE WHEN won IS NOT NULL THEN 1.95::DOUBLE ELSE -1 END AS payout, round(bank, 6) AS bankroll, round(dd, 6) AS drawdown, CASE WHEN done = '' THEN 'open' ELSE done END AS status FROM pt WHERE row)"""
+        SELECT symbol, i, was, settled, hit, asks, exit_i, staked, peak, dd, CASE WHEN NOT settled THEN bank WHEN hit THEN bank + staked * ({payout}::DOUBLE - 1) ELSE bank - staked END AS bank, CASE WHEN NOT settled THEN losses WHEN hit THEN 0 ELSE losses + 1 END AS losses, n + CAST(settled AS INT) AS n FROM (
+          SELECT dg.symbol, dg.i, dg.hit, dg.asks, pt.bank, pt.losses, pt.peak, pt.dd, pt.exit_i, pt.staked, pt.n, pt.done AS was, pt.done = '' AND pt.exit_i >= 0 AND dg.i >= pt.exit_i AS settled FROM pt JOIN dg ON dg.symbol = pt.symbol AND dg.i = pt.i + 1)))))))
+,lg AS (SELECT symbol, n, i, won, round(stake, 6) AS stake, CASE WHEN won IS NOT NULL THEN {payout}::DOUBLE ELSE -1 END AS payout, round(bank, 6) AS bankroll, round(dd, 6) AS drawdown, CASE WHEN done = '' THEN 'open' ELSE done END AS status FROM pt WHERE row)"""
+
+
+_PAPER = _trader("digit % 2 = 0", "true", 1, 1.95)
 
 ORACLE = {
     "stream_bars": """SELECT * FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 4 HOUR, ts) AS start, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume
@@ -275,6 +281,8 @@ ORACLE = {
         SELECT symbol, date, want AS "order" FROM w1 WHERE want <> 0 AND cot_bias <> -want AND isodow(date) < 6 AND low + 0.1::DOUBLE * (high - low) - low <= 0.1::DOUBLE * atr AND (symbol, date) NOT IN (SELECT (symbol, date) FROM hl)""",
     "paper_trader_batch": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
     "paper_trader_stream": f"""{_PAPER} SELECT symbol, n, i, 'DIGITEVEN' AS contract, -1 AS barrier, coalesce(won, false) AS won, stake, payout, bankroll, drawdown, status FROM lg""",
+    "paper_trader_summary": f"""{_trader("price > p2", "price > p1 AND p1 > p2 AND p2 > p3", 0, PAYOUTS["CALL"])}, sm AS (SELECT symbol, count(won) AS trades, count(*) FILTER (won) AS wins, sum(stake) FILTER (won IS NOT NULL) AS staked, arg_max(bank, i) - 10 AS net, max(dd) AS dd, arg_max(CASE WHEN done = '' THEN 'open' ELSE done END, i) AS status FROM pt WHERE row GROUP BY symbol)
+        SELECT symbol, trades, wins, round(staked, 6) AS staked, round(net, 6) AS net, round(net / staked, 6) AS roi, round(dd, 6) AS max_drawdown, status FROM sm""",
     "lot_size": f"""{FRAME}, g AS (SELECT symbol, date, CASE WHEN long_signal THEN 1 ELSE -1 END AS side, greatest(2 * atr, 50000) AS sd, 2.5 * (2 * atr) AS td FROM fr WHERE long_signal OR short_signal)
         SELECT symbol, date, side, round(sd, 4) AS stop_distance, round(td, 4) AS take_distance, round(least(greatest(floor(50 / (sd * 0.01) / 0.01::DOUBLE) * 0.01, 0.01), 5.0), 4)::DOUBLE AS lots FROM g""",
     "managed_stops": f"""{FRAME}, la AS (SELECT *, lag(atr) OVER w AS pa, lead(open) OVER w AS entry FROM fr WINDOW w AS (PARTITION BY symbol ORDER BY i)),

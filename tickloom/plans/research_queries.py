@@ -261,8 +261,24 @@ wk AS (SELECT label, path, -1::BIGINT AS day, start AS bank, -1::BIGINT AS ruin_
 fin AS (SELECT wk.* FROM wk JOIN sc USING (label) WHERE day = days - 1)"""
 
 
-def _sum_sql(factor: int) -> str:
-    return f"""{_walk(factor, 2000)} SELECT label, count(*) AS paths, round(avg(CAST(ruin_day >= 0 AND ruin_day < 7 AS INT)), 6) AS p_ruin_week, round(avg(CAST(ruin_day >= 0 AS INT)), 6) AS p_ruin, round(quantile_cont(bank, 0.5), 6) AS median_final,
+def _folded(factor: int, n: int) -> str:
+    """All paths, each as one fold over its days; the list's elements have the type of the state."""
+    return f"""{_PLAN}, pa AS (SELECT label, list({{'stake': stake, 'lost': lost}} ORDER BY k) AS plan FROM pl GROUP BY label),
+fin AS (SELECT label, path, s.bank AS bank, s.ruin_day AS ruin_day, s.won AS days_won FROM (SELECT label, path, list_reduce(
+    list_transform(range(0, days), lambda d: {{'bank': 0::DOUBLE, 'ruin_day': d, 'won': floor(ln((('0x' || substr(md5(label || ':' || path || ':' || d), 1, 8))::BIGINT + 0.5) / 4294967296.0) / ln(1 - p))::BIGINT}}),
+    lambda a, x: CASE WHEN a.ruin_day >= 0 THEN a
+      WHEN x.won < 60 AND plan[least(x.won, 59) + 1].stake <= a.bank - plan[least(x.won, 59) + 1].lost + 1e-9
+        THEN {{'bank': a.bank + (plan[least(x.won, 59) + 1].stake * (payout - 1) - plan[least(x.won, 59) + 1].lost * {factor}), 'ruin_day': a.ruin_day, 'won': a.won + 1}}
+      ELSE {{'bank': 0::DOUBLE, 'ruin_day': x.ruin_day, 'won': a.won}} END,
+    {{'bank': start, 'ruin_day': -1::BIGINT, 'won': 0::BIGINT}}) AS s FROM sc JOIN pa USING (label), range(0, {n}) a(path)))"""
+
+
+def _paths_sql(walk: str) -> str:
+    return f"{walk} SELECT label, path, round(bank, 6) AS bank, CAST(ruin_day AS INT) AS ruin_day, CAST(days_won AS INT) AS days_won FROM fin"
+
+
+def _sum_sql(walk: str) -> str:
+    return f"""{walk} SELECT label, count(*) AS paths, round(avg(CAST(ruin_day >= 0 AND ruin_day < 7 AS INT)), 6) AS p_ruin_week, round(avg(CAST(ruin_day >= 0 AS INT)), 6) AS p_ruin, round(quantile_cont(bank, 0.5), 6) AS median_final,
         round(avg(bank), 6) AS mean_final, round(avg(bank - start), 6) AS expected_pl FROM fin JOIN sc USING (label) GROUP BY label"""
 
 
@@ -340,10 +356,14 @@ ORACLE = {
     "roc_auc": f"""{LABELS}, k AS (SELECT win, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM lb)
         SELECT count(*) AS n, round((sum(rk) FILTER (win = 1) - sum(win) * (sum(win) + 1) / 2) / (sum(win) * (count(*) - sum(win))), 6) AS auc FROM k""",
     "ruin_day_prob": f"{_PLAN}, k AS (SELECT label, count(*) FILTER (stake <= start - lost + 1e-9) AS losses FROM pl JOIN sc USING (label) GROUP BY label) SELECT label, CAST(losses AS INT) AS losses, round(pow(1 - p, losses), 6) AS p_lose, round(1 - pow(1 - p, losses), 6) AS p_win FROM k JOIN sc USING (label)",
-    "ruin_paths": f"{_walk(1, 2000)} SELECT label, path, round(bank, 6) AS bank, CAST(ruin_day AS INT) AS ruin_day, days_won FROM fin",
-    "ruin_paths_reference": f"{_walk(2, 2000)} SELECT label, path, round(bank, 6) AS bank, CAST(ruin_day AS INT) AS ruin_day, days_won FROM fin",
-    "ruin_summary": _sum_sql(1),
-    "ruin_summary_reference": _sum_sql(2),
+    "ruin_paths": _paths_sql(_walk(1, SQL_PATHS)),
+    "ruin_paths_reference": _paths_sql(_walk(2, SQL_PATHS)),
+    "ruin_summary": _sum_sql(_walk(1, SQL_PATHS)),
+    "ruin_summary_reference": _sum_sql(_walk(2, SQL_PATHS)),
+    "ruin_paths_full": _paths_sql(_folded(1, ALL_PATHS)),
+    "ruin_paths_full_reference": _paths_sql(_folded(2, ALL_PATHS)),
+    "ruin_summary_full": _sum_sql(_folded(1, ALL_PATHS)),
+    "ruin_summary_full_reference": _sum_sql(_folded(2, ALL_PATHS)),
     "ruin_curves": f"{_walk(1, 40)} SELECT label, path, CAST(day AS INT) AS day, round(bank, 6) AS bank FROM wk WHERE day >= 0",
 }
 ORACLE["portfolio_sharpe"] = f"""SELECT variant, count(*) AS days, round(CASE WHEN stddev_samp(c) > 0 THEN avg(c) / stddev_samp(c) * sqrt(252) ELSE 0 END, 5) AS sharpe FROM (

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tickloom.functions.scalars import sign3
 from tickloom.functions.tails import chi2_tail, normal_two_sided, t_two_sided
@@ -44,37 +43,26 @@ def _sign_acf(spark, d):
     return T.autocorrelation(placed, sign3(F.col("dp")), [1]).select("symbol", F.round("r", 6).alias("r"))
 
 
-@F.pandas_udf(DoubleType())
-def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(None if pd.isna(a) else a, b) for a, b in zip(x, df)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def _normal_p(z: pd.Series) -> pd.Series:
-    return pd.Series([normal_two_sided(None if pd.isna(a) else a) for a in z], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(None if pd.isna(a) else a, b) for a, b in zip(t, df)], dtype="float64")
+def _chi2_p(x: str, df: str | int) -> Column:
+    return F.round(chi2_tail(F.col(x), F.col(df) if isinstance(df, str) else F.lit(df)), 6)
 
 
 def battery_digits(spark, d):
-    """The digit report with p-values, computed for the few rows of the report."""
+    """The digit report with p-values, rounded to six places."""
     digits = _digits(spark, d)
     u = T.uniformity(digits)
     m = T.independence(T.transitions(digits), ["symbol"], "digit", "next").withColumnsRenamed({"chi2": "markov_chi2", "df": "markov_df"})
     lb = T.ljung_box(digits, F.col("digit") % 2, [20]).select("symbol", F.col("q").alias("lb20"))
     r = T.runs_test(digits, F.col("digit") % 2).select("symbol", "z")
     rows = u.join(m, "symbol").join(lb, "symbol").join(r, "symbol")
-    return rows.withColumns({"uniform_p": _chi2_p("chi2", F.lit(9)), "markov_p": _chi2_p("markov_chi2", "markov_df"), "lb20_p": _chi2_p("lb20", F.lit(20)), "runs_p": _normal_p("z")})
+    return rows.withColumns({"uniform_p": _chi2_p("chi2", 9), "markov_p": _chi2_p("markov_chi2", "markov_df"), "lb20_p": _chi2_p("lb20", 20), "runs_p": F.round(normal_two_sided(F.col("z")), 6)})
 
 
 def battery_prices(spark, d):
     """The price report with p-values."""
     moves = _moves(spark, d)
     rows = T.t_statistic(moves, "ret").join(T.direction_shares(moves), "symbol").join(T.ljung_box(moves, F.col("ret"), [10]).drop("m"), "symbol")
-    return rows.withColumns({"t_p": _t_p("t", F.col("n") - 1), "lb10_p": _chi2_p("q", F.lit(10))})
+    return rows.withColumns({"t_p": F.round(t_two_sided(F.col("t"), F.col("n") - 1), 6), "lb10_p": _chi2_p("q", 10)})
 
 
 def spike_report(spark, d):
@@ -111,6 +99,7 @@ QUERIES = {
     "battery_digits": battery_digits,
     "battery_prices": battery_prices,
     "spike_report": spike_report,
+    "hazard_test_large": lambda s, d: T.hazard_chi2(_moves(s, d), LARGE).withColumn("p", _chi2_p("chi2", "df")),
 }
 
 DIGITS = f"WITH {TICKS}, d AS (SELECT *, CAST(round_even(price * 100, 0) AS BIGINT) % 10 AS digit FROM ticks)"
@@ -178,3 +167,31 @@ for _name in ("hazard_buckets", "hazard_chi2"):
     _large = ORACLE[_name].replace("THEN dp < 0 ELSE dp > 0 END AS spike", f"THEN dp <= -{LARGE} ELSE dp >= {LARGE} END AS spike")
     ORACLE["hazard_large" if _name == "hazard_buckets" else "hazard_chi2_large"] = _large
 
+
+def _rising(x: str, top: str, bottom: str) -> str:
+    """1 + x * top(1) / bottom(1) * (1 + x * top(2) / bottom(2) * (1 + ...)): a series of terms over 0, whose factors are in k."""
+    return f"list_reduce(range(600, 0, -1), lambda s, k: 1 + ({x}) * ({top}) / ({bottom}) * s, 1::DOUBLE)"
+
+
+def _chi2_sql(x: str, df: str) -> str:
+    """1 minus the series of the lower incomplete gamma function."""
+    a, y = f"(({df}) / 2::DOUBLE)", f"(({x}) / 2::DOUBLE)"
+    return f"CASE WHEN {y} <= 0 THEN 1 WHEN {y} IS NOT NULL THEN round(1 - exp({a} * ln({y}) - {y} - lgamma({a} + 1)) * {_rising(y, '1', f'{a} + k')}, 6) END"
+
+
+def _t_sql(t: str, df: str) -> str:
+    """1 minus the series of the incomplete beta function, from the middle outwards."""
+    a, y = f"(({df}) / 2::DOUBLE)", f"(({t}) * ({t}) / (({df}) + ({t}) * ({t})))"
+    front = f"exp(lgamma({a} + 0.5) - lgamma({a}) - lgamma(0.5) + 0.5 * ln({y}) + {a} * ln(1 - {y}))"
+    return f"CASE WHEN {t} = 0 THEN 1 WHEN {t} IS NOT NULL THEN round(1 - 2 * {front} * {_rising(y, f'{a} + 0.5 + k - 1', '0.5 + k')}, 6) END"
+
+
+ORACLE["battery_digits"] = f"""WITH u AS ({ORACLE["digit_uniformity"]}), m AS ({ORACLE["markov_chi2"]}), l AS ({ORACLE["ljung_box"]}), r AS ({ORACLE["runs_test"]})
+    SELECT u.symbol, u.n, u.chi2, m.chi2 AS markov_chi2, m.df AS markov_df, l.q AS lb20, r.z, {_chi2_sql("u.chi2", "9")} AS uniform_p, {_chi2_sql("m.chi2", "m.df")} AS markov_p, {_chi2_sql("l.q", "20")} AS lb20_p, {_chi2_sql("r.z * r.z", "1")} AS runs_p
+    FROM u JOIN m USING (symbol) JOIN l ON l.symbol = u.symbol AND l.m = 20 JOIN r ON r.symbol = u.symbol"""
+_LB10 = MOVES + _acf_sql("m", "ret", list(range(1, 11))) + " SELECT symbol, round(any_value(n) * (any_value(n) + 2) * sum(r * r / (n - lag)), 6) AS q FROM acf WHERE n > lag GROUP BY symbol"
+ORACLE["battery_prices"] = f"""WITH t AS ({ORACLE["drift_ttest"]}), s AS ({ORACLE["direction_shares"]}), l AS ({_LB10})
+    SELECT t.symbol, t.n, mean, t.t, up, down, flat, q, {_t_sql("t.t", "t.n - 1")} AS t_p, {_chi2_sql("q", "10")} AS lb10_p FROM t JOIN s USING (symbol) JOIN l USING (symbol)"""
+ORACLE["hazard_test_large"] = f"WITH h AS ({ORACLE['hazard_chi2_large']}) SELECT *, {_chi2_sql('chi2', 'df')} AS p FROM h"
+ORACLE["spike_report"] = f"""WITH s AS ({ORACLE["spike_stats"]}), g AS ({ORACLE["spike_gaps"]}), h AS ({ORACLE["hazard_chi2"]})
+    SELECT *, {_chi2_sql("chi2", "df")} AS p FROM s LEFT JOIN g USING (symbol, side) LEFT JOIN h USING (symbol, side)"""
