@@ -58,7 +58,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["swing_rollup", "gbt_selectivity"])
+@pytest.mark.parametrize("name", ["swing_rollup"])
 def test_reports_have_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 

@@ -261,7 +261,7 @@ wk AS (SELECT label, path, -1::BIGINT AS day, start AS bank, -1::BIGINT AS ruin_
 fin AS (SELECT wk.* FROM wk JOIN sc USING (label) WHERE day = days - 1)"""
 
 
-def _folded(factor: int, n: int) -> str:
+def _walk_by_fold(factor: int, n: int) -> str:
     """All paths, each as one fold over its days; the list's elements have the type of the state."""
     return f"""{_PLAN}, pa AS (SELECT label, list({{'stake': stake, 'lost': lost}} ORDER BY k) AS plan FROM pl GROUP BY label),
 fin AS (SELECT label, path, s.bank AS bank, s.ruin_day AS ruin_day, s.won AS days_won FROM (SELECT label, path, list_reduce(
@@ -360,10 +360,10 @@ ORACLE = {
     "ruin_paths_reference": _paths_sql(_walk(2, SQL_PATHS)),
     "ruin_summary": _sum_sql(_walk(1, SQL_PATHS)),
     "ruin_summary_reference": _sum_sql(_walk(2, SQL_PATHS)),
-    "ruin_paths_full": _paths_sql(_folded(1, ALL_PATHS)),
-    "ruin_paths_full_reference": _paths_sql(_folded(2, ALL_PATHS)),
-    "ruin_summary_full": _sum_sql(_folded(1, ALL_PATHS)),
-    "ruin_summary_full_reference": _sum_sql(_folded(2, ALL_PATHS)),
+    "ruin_paths_full": _paths_sql(_walk_by_fold(1, ALL_PATHS)),
+    "ruin_paths_full_reference": _paths_sql(_walk_by_fold(2, ALL_PATHS)),
+    "ruin_summary_full": _sum_sql(_walk_by_fold(1, ALL_PATHS)),
+    "ruin_summary_full_reference": _sum_sql(_walk_by_fold(2, ALL_PATHS)),
     "ruin_curves": f"{_walk(1, 40)} SELECT label, path, CAST(day AS INT) AS day, round(bank, 6) AS bank FROM wk WHERE day >= 0",
 }
 ORACLE["portfolio_sharpe"] = f"""SELECT variant, count(*) AS days, round(CASE WHEN stddev_samp(c) > 0 THEN avg(c) / stddev_samp(c) * sqrt(252) ELSE 0 END, 5) AS sharpe FROM (
