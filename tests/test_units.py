@@ -504,3 +504,16 @@ def test_verdict_against_pandas(spark):
     few = L.verdict(spark.createDataFrame(pdf.assign(symbol="B"))).first()
     assert few.gold_n == 0 and few.gold_gain is None
 
+
+def test_confirmed_level_is_carried_over_chunks(spark):
+    flags, prices = {2, 11, 12, 30}, [float(p) for p in np.random.default_rng(5).integers(1, 99, 40)]
+    rows = [("a", i, i in flags, prices[i]) for i in range(40)] + [("b", i, False, prices[i]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "symbol string, i long, flag boolean, price double")
+    last, want = None, []
+    for i, price in enumerate(prices):
+        last = price if i - 3 in flags else last
+        want.append(last)
+    for size in (4, 7, 1000):
+        got = B.confirmed_level(frame, "flag", "price", 3, size).orderBy("symbol", "i").collect()
+        assert [r.level for r in got if r.symbol == "a"] == want
+        assert [r.level for r in got if r.symbol == "b"] == [None] * 9

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import to_number
-from tickloom.sources.tables import by_chunk, chunked, own_rows
+from tickloom.sources.tables import by_chunk, carried, chunked, own_rows
 
 
 def clean(raw: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -77,12 +77,16 @@ def pivots(bars: DataFrame, left: int = 3, right: int = 3) -> DataFrame:
     return own_rows(near(bars, left, right).withColumns({"pivot_high": f(high), "pivot_low": f(low)}))
 
 
-def confirmed_level(bars: DataFrame, flag: str, price: str, right: int = 3) -> DataFrame:
-    """``level``: the price at the bar that last confirmed a pivot (``right`` bars after it), carried on."""
-    w = Window.partitionBy("symbol").orderBy("i")
-    confirmed = F.lag(flag, right).over(w)
-    marked = bars.withColumn("_m", F.when(confirmed, F.col(price)))
-    return marked.withColumn("level", F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_m")
+def confirmed_level(bars: DataFrame, flag: str, price: str, right: int = 3, size: int = 1_000_000) -> DataFrame:
+    """``level``: the price at the bar that last confirmed a pivot (``right`` bars after it), carried on.
+
+    The last one is looked for within a chunk of ``size`` bars, and else taken from the chunks before.
+    """
+    confirmed = F.lag(flag, right).over(by_chunk())
+    marked = own_rows(near(bars, right).withColumn("_m", F.when(confirmed, F.col(price))))
+    mark = F.when(F.col("_m").isNotNull(), F.struct("i", "_m"))
+    placed = carried(marked, ["symbol"], {"_before": (F.max, mark)}, size)
+    return placed.withColumn("level", F.coalesce("_m", F.col("_before._m"))).drop("_m", "_before")
 
 
 def rolling_rank(df: DataFrame, x: str, n: int, out: str, partial: float | None = None) -> DataFrame:
