@@ -142,6 +142,44 @@ def test_selection_is_greedy(spark):
     assert {k: sorted(v) for k, v in got.items()} == {str(s): greedy(m) for s, m in enumerate(masks) if greedy(m)}
 
 
+@pytest.mark.parametrize("step", [2, 5])
+@pytest.mark.parametrize("size", [7, 10, 1_000_000])
+def test_spacing_in_chunks_and_small_batches(spark, step, size):
+    """Runs over several chunks, chunks without a row, several keys in a batch and several batches in a chunk."""
+    rnd = random.Random(step)
+    masks = {(s, r): [rnd.random() < share for _ in range(60)] for s in "abc" for r, share in (("x", 0.2), ("y", 0.8), ("z", 1.0))}
+    rows = spark.createDataFrame([(s, i, r, 60) for (s, r), m in masks.items() for i, x in enumerate(m) if x], "symbol string, i long, rule string, ticks long").cache()
+    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = C.selected(rows, duration=step - 1, size=size)
+        assert found.columns == rows.columns
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+    for (s, r), mask in masks.items():
+        want, free = [], 1
+        for i in range(min(57, 60 - step)):
+            if mask[i] and i >= free:
+                want.append(i)
+                free = i + step
+        assert sorted(x.i for x in got if (x.symbol, x.rule) == (s, r)) == want
+
+
+def test_long_symbols_are_selected_without_python(spark):
+    """Contracts of one tick take every other row of a run: windows alone, as no worker should hold a chunk."""
+    rows = spark.createDataFrame([("a", "r", i, 50) for i in range(50)], "symbol string, rule string, i long, ticks long")
+    plan = C.selected(rows, size=8)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_rows_of_long_symbols_pass_in_batches(spark):
+    """What chooses the rows sees batches, not a symbol's whole chunk."""
+    rows = spark.createDataFrame([("a", "r", i, 50) for i in range(50)], "symbol string, rule string, i long, ticks long")
+    plan = C.selected(rows, duration=5, size=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_backtest_against_a_loop(spark):
     rnd = random.Random(3)
     prices = [100 + rnd.randint(0, 999) / 100 for _ in range(300)]
