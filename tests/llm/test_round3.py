@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tickloom.llm import chunks, collocations, piece_bpe, prefix_trie
+from tickloom.llm import chunks, collocations, common, components, piece_bpe, prefix_trie
 
 CONV = "conv_id long, turn long, role string, text string"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -248,3 +248,24 @@ def test_huge_components_are_an_error(spark):
     rows = [(0, [1.0, 2.0]), (1, [1e300, 0.5]), (2, [0.5, 0.5])]
     with pytest.raises(Exception, match="too large"):
         topk.op2(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
+# ---- what the driver holds
+
+
+def test_few_links_need_no_broadcast(spark):
+    """The driver holds every broadcast: bounded edges have none, and the same least nodes as with hubs sent."""
+    rnd = random.Random(9)
+    edges = spark.createDataFrame([(u, v) for u, v in {(0, k) for k in range(1, 200)} | {(rnd.randrange(300), rnd.randrange(300)) for _ in range(300)} if u != v], "u long, v long")
+    few, many = (components._with_least(edges, n) for n in (edges.count(), common.PLAIN + 1))
+    assert "Broadcast" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.select("u", "v", "m").collect())) == sorted(map(tuple, many.select("u", "v", "m").collect()))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_few_rows_are_joined_plainly(spark, how):
+    rows = spark.createDataFrame([(k % 7 or None, k) for k in range(40)], "k long, v long")
+    side = spark.createDataFrame([(k, -k) for k in (1, 2, 3, 9)], "k long, w long")
+    plain, heavy = (common.join_heavy(rows, side, "k", how, most) for most in (40, 39))
+    assert "broadcast" in heavy._jdf.queryExecution().analyzed().toString() and "broadcast" not in plain._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(repr, plain.select("k", "v", "w").collect())) == sorted(map(repr, heavy.select("k", "v", "w").collect()))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import PLAIN
 
 #: A node with this share of the edges is a hub; there are at most twice 1 / share.
 HUB, HUB_LEAST = 1 / 4096, 64
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Each (u, v) with m, the least of u and all its v; a hub's least is sent to every task, so its edges stay where they are."""
+    """Each (u, v) with m, the least of u and all its v; a hub's least is sent to every task, so its edges stay where they are.
+
+    Up to PLAIN edges no node has too many for one task, and nothing is sent: plans with fewer steps, which the driver has to hold.
+    """
+    if total <= PLAIN:
+        return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     bound = max(HUB_LEAST, total * HUB)
     held = edges.join(F.broadcast(least.where(F.col("n") >= bound).select("u", F.col("m").alias("_hub"))), "u", "left")

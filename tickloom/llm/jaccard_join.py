@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_heavy, parts_wanted, pieces, small_batches, stash
+from .common import PLAIN, join_heavy, parts_wanted, pieces, small_batches, stash
 from .components import components
 from .shingles import Shingler, set_id
 
@@ -337,7 +337,7 @@ def _relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     if labels is None:
         return stash(roots.select("node", F.col("root").alias("label")), "labels")
-    moved = join_heavy(labels, roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    moved = join_heavy(labels, roots.select(F.col("node").alias("label"), "root"), "label", "left", PLAIN).select("node", F.coalesce("root", "label").alias("label"))
     fresh = roots.join(labels.select("node"), "node", "left_anti").select("node", F.col("root").alias("label"))
     return stash(moved.unionByName(fresh), "labels")
 
@@ -396,10 +396,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = _relabelled(labels, edges)
 
     labels = _relabelled(labels, _left_links(spark, lists, labels, some, words, percent))
-    rooted = join_heavy(members.where("n > 0"), labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rooted = join_heavy(members.where("n > 0"), labels, "node", "left", PLAIN).withColumn("label", F.coalesce("label", "node"))
     rooted = stash(rooted.select("doc_id", "n", "label"), "rooted")
     least = rooted.groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = join_heavy(rooted, least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    out = join_heavy(rooted, least, "label", plain=PLAIN).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
