@@ -56,9 +56,11 @@ SENT_SHARE = 2.0**-20
 #: The hash that stands for the end of a text, and for what is before its first word.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(7)
 LOG10 = np.log(10)
-#: A count is kept as one byte, 8 steps to a doubling.
-LOG_OF = np.r_[0, np.arange(255) * np.log(2) / 8].astype(np.float32)
+#: A count is kept as one byte, 8 steps to a doubling: code c stands for the log STEP * (c - 1).
+STEP = np.float32(np.log(2) / 8)
 BUCKET_OF = np.minimum(np.r_[0, 1 + (np.arange(255) + 2) // 8], TIMES - 1)
+#: Logits of so many tokens are computed together, rows of so many are looked for, features of so many are sorted.
+TOGETHER, SOUGHT, SORTED = 2048, 1 << 15, 1 << 18
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -101,32 +103,60 @@ def tokens_of(texts: list[str | None], hasher: WordHasher) -> Tokens:
     return Tokens(hashes, path_of(hashes), np.repeat(np.arange(len(sizes)), sizes), sizes)
 
 
-def histories(t: Tokens, near: np.ndarray) -> list[np.ndarray]:
-    """One hash a token of each kind of feature; words not in ``near`` (sorted) are seen by their first digit."""
-    seen = np.where(among(near, t.hashes), t.hashes, (t.path >> 4 * (MOST_LEVELS - 1)).astype(np.uint64))
+def histories(t: Tokens, near: Places) -> np.ndarray:
+    """(kinds, tokens) hashes of features' words; words not in ``near`` are seen by their first digit."""
+    seen = np.where(near.of(t.hashes) >= 0, t.hashes, (t.path >> 4 * (MOST_LEVELS - 1)).astype(np.uint64))
     backs = {d: t.back(d, seen) for kind in KINDS for d in kind}
-    out = []
+    out = np.empty((len(KINDS), len(t.hashes)), np.uint64)
     for k, kind in enumerate(KINDS):
-        h = np.full(len(t.hashes), np.uint64(k + 1))
+        out[k] = k + 1
         for d in kind:
-            h = mixed(h * ONE + backs[d])
-        out.append(h)
+            out[k] = mixed(out[k] * ONE + backs[d])
     return out
 
 
-def among(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes are in the sorted words."""
-    if not len(words):
-        return np.zeros(len(hashes), bool)
-    at = np.searchsorted(words, hashes)
-    at[at == len(words)] = 0
-    return words[at] == hashes
+class Places:
+    """Where hashes stand in a sorted array of distinct ones: at a slot by their first bits, or, where several share one, by search."""
+
+    def __init__(self, words: np.ndarray):
+        bits = max(4, int(len(words)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.words = words
+        slot = (words >> self.shift).astype(np.int64)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.slots[slot[::-1]] = np.arange(len(words), dtype=np.int32)[::-1]
+        self.others = np.flatnonzero(self.slots[slot] != np.arange(len(words)))
+        self.crowded = words[self.others]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        place = self.slots.take((hashes >> self.shift).view(np.int64))
+        out = np.where(self.words.take(place, mode="clip") == hashes, place, -1)
+        if len(self.crowded):
+            left = np.flatnonzero((out < 0) & (place >= 0))
+            at = np.minimum(np.searchsorted(self.crowded, hashes[left]), len(self.crowded) - 1)
+            out[left] = np.where(self.crowded[at] == hashes[left], self.others[at], -1)
+        return out
+
+
+def cuts(start: int, end: int, size: int = TOGETHER) -> list[slice]:
+    return [slice(a, min(a + size, end)) for a in range(start, end, size)]
 
 
-def rows_of(history: list[np.ndarray], path: np.ndarray, level: int, rows: int) -> list[np.ndarray]:
-    """The table row of each token's feature of each kind at its node of this level."""
-    turn = ((path >> 4 * (MOST_LEVELS - level)).astype(np.uint64) + np.uint64(level << 40)) * TWO
-    return [(mixed(h + turn) >> np.uint64(24)).astype(np.int64) & rows - 1 for h in history]
+def rows_of(history: np.ndarray, path: np.ndarray, levels: range, rows: int) -> np.ndarray:
+    """(levels, kinds, tokens): the table row of each token's feature of each kind at its node of these levels."""
+    turn = np.stack([(path >> 4 * (MOST_LEVELS - level)).astype(np.uint64) + np.uint64(level << 40) for level in levels]) * TWO
+    x = history + turn[:, None]
+    y = x >> np.uint64(30)
+    x ^= y
+    x *= TWO
+    np.right_shift(x, np.uint64(29), out=y)
+    x ^= y
+    x >>= np.uint64(24)
+    x &= np.uint64(rows - 1)
+    return x.view(np.int64)
 
 
 def digit_of(path: np.ndarray, level: int) -> np.ndarray:
@@ -150,39 +180,68 @@ class Model:
     distinct: int
 
 
-def modes(t: Tokens, h: list[np.ndarray], table: np.ndarray, base: np.ndarray | int, rows: int, levels: int) -> np.ndarray:
-    """For each token how many of the four before it a rare n-gram foretold: 0, 1, or 2 for more."""
-    level = min(1, levels - 1)
-    at = rows_of([h[TELLING]], t.path, level, rows)[0] + base
-    total = table[at, WAYS]
-    told = np.cumsum(np.r_[0, (table[at, digit_of(t.path, level)] > 0) & (total <= RARE)])
-    place = np.arange(len(t.path))
-    first = np.repeat(np.cumsum(t.sizes) - t.sizes, t.sizes)
-    return np.minimum(told[place] - told[np.maximum(place - 4, first)], MODES - 1)
-
-
-def values(table: np.ndarray, rows: list[np.ndarray], shares: np.ndarray, mode: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each kind the (token, digit) values and the bucket of each token; the table's last column is the row's total."""
-    out, bucket = [], []
-    for at in rows:
-        codes = table.take(at, axis=0)
-        v = LOG_OF.take(codes[:, :WAYS])
-        v -= shares * (codes[:, :WAYS] != 0)
-        out.append(v)
-        bucket.append(BUCKET_OF.take(codes[:, WAYS]) + mode * TIMES)
-    return out, bucket
-
-
-def level_logits(shares: np.ndarray, value: list[np.ndarray], bucket: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    out = shares.copy()
-    for v, b, w in zip(value, bucket, weights.astype(np.float32)):
-        out += w.take(b)[:, None] * v
-    return out
+class Logits:
+    """Logits of digits from a table of codes, the nodes' shares and the weights.
 
+    Rows of 16 bytes and their totals are fetched apart. Values are kept in units of STEP, as code - unit where there is a
+    code, so that every step runs over the digits of many tokens at once; weights come 16 times each for the same reason.
+    """
 
-def log_total(z: np.ndarray) -> np.ndarray:
-    """The log of the sum of each row's exponentials; logits stay far from the limits of exp."""
-    return np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+    def __init__(self, table: np.ndarray, shares: list[np.ndarray]):
+        self.cells, self.totals = np.ascontiguousarray(table[:, :WAYS]), np.ascontiguousarray(table[:, WAYS])
+        self.bucket = BUCKET_OF.astype(np.uint8).take(self.totals)
+        self.shares, self.units = shares, [1 + s / STEP for s in shares]
+        self.levels = range(len(shares))
+        self.room = [np.empty(len(KINDS) * TOGETHER * WAYS, x) for x in (np.uint8, np.uint8, np.float32, np.float32, np.float32)]
+
+    def modes(self, t: Tokens, h: np.ndarray, base: np.ndarray | int, rows: int) -> np.ndarray:
+        """For each token how many of the four before it a rare n-gram foretold: 0, 1, or 2 for more."""
+        level = min(1, self.levels[-1])
+        at = rows_of(h[TELLING:], t.path, range(level, level + 1), rows)[0, 0] + base
+        told = np.cumsum(np.r_[0, (self.cells.ravel().take(at * WAYS + digit_of(t.path, level)) > 0) & (self.totals.take(at) <= RARE)])
+        place = np.arange(len(t.path))
+        first = np.repeat(np.cumsum(t.sizes) - t.sizes, t.sizes)
+        return np.minimum(told[place] - told[np.maximum(place - 4, first)], MODES - 1)
+
+    def found(self, h: np.ndarray, path: np.ndarray, mode: np.ndarray, base: np.ndarray | int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(levels, kinds, tokens): each feature's row, and where its weight stands among a level's weights of all kinds and buckets.
+
+        All at once, before any row is read: the buckets stay in the cache.
+        """
+        at = np.empty((len(self.levels), len(KINDS), len(path)), np.int64)
+        place = np.empty(at.shape, np.uint8)
+        part = (mode * TIMES + np.arange(len(KINDS))[:, None] * BUCKETS).astype(np.uint8)
+        for z in cuts(0, len(path)):
+            x = rows_of(h[:, z], path[z], self.levels, rows)
+            x += base if isinstance(base, int) else base[z]
+            at[..., z], place[..., z] = x, self.bucket.take(x)
+        place += part
+        return at, place
+
+    def of(self, level: int, at: np.ndarray, place: np.ndarray, path: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (kinds, tokens, digits) values and (tokens, digits) logits at the rows ``at``. The values are good until the next call."""
+        node, shape = path >> 4 * (MOST_LEVELS - level), (*at.shape, WAYS)
+        codes, there, value, known, weight = (x[: at.size * WAYS].reshape(shape) for x in self.room)
+        self.cells.take(at, axis=0, out=codes, mode="clip")
+        value[...] = codes
+        np.not_equal(codes, 0, out=there.view(bool))
+        known[...] = there
+        value -= self.units[level].take(node, axis=0)
+        value *= known
+        out = np.einsum("knd,knd->nd", value, weights.take(place, axis=0, out=weight, mode="clip"))
+        out += self.shares[level].take(node, axis=0)
+        return value, out
+
+
+def spread(weights: np.ndarray) -> np.ndarray:
+    """(levels, kinds and buckets, digits): each weight for every digit of a value."""
+    return np.repeat((weights * STEP).astype(np.float32).reshape(len(weights), -1, 1), WAYS, axis=2)
+
+
+def exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each logit's exponential, in its place, and the sums of rows; logits stay far from the limits of exp."""
+    np.exp(z, out=z)
+    return z, z @ np.ones(WAYS, z.dtype)
 
 
 # ---- counts of words
@@ -222,9 +281,18 @@ def half_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (mixed(np.add.reduceat(hashes, first) + ONE) >> np.uint64(63)).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
 
 
+def _cells_of(h: np.ndarray, path: np.ndarray, base: np.ndarray, levels: int, rows: int) -> np.ndarray:
+    """The cells of the table that the features of some tokens add to."""
+    digits = np.stack([digit_of(path, level) for level in range(levels)])
+    at = rows_of(h, path, range(levels), rows)
+    at *= WAYS
+    at += (digits + base)[:, None]
+    return at.astype(np.int32).ravel()
+
+
 def _features_counted(batches: Iterator[pa.RecordBatch], near: np.ndarray, levels: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(block, half, width, counts) of a task's texts: the table's non-empty blocks."""
-    hasher, press = WordHasher(), zstandard.ZstdCompressor(level=1)
+    hasher, press, near = WordHasher(), zstandard.ZstdCompressor(level=1), Places(near)
     met = np.zeros(2 * rows * WAYS, np.uint16)
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -237,18 +305,18 @@ def _features_counted(batches: Iterator[pa.RecordBatch], near: np.ndarray, level
 
     for batch in pieces(batches, 0, 1 << 20):
         t = tokens_of(batch.column(0).to_pylist(), hasher)
-        h, base = histories(t, near), half_of(t.hashes, t.sizes)[t.text] * rows
-        for level in range(levels):
-            digit = digit_of(t.path, level)
-            at = np.sort(np.concatenate([((r + base) * WAYS + digit).astype(np.int32) for r in rows_of(h, t.path, level, rows)]))
+        h, base = histories(t, near), half_of(t.hashes, t.sizes)[t.text] * (rows * WAYS)
+        for a in range(0, len(t.path), SORTED):
+            at = np.sort(np.concatenate([_cells_of(h[:, z], t.path[z], base[z], levels, rows) for z in cuts(a, min(a + SORTED, len(t.path)))]))
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             at, times = at[first], np.diff(np.r_[first, len(at)])
             for part in range(0, int(times.max()), 60_000):  # more than a cell holds come in several goes
                 some = np.clip(times - part, 0, 60_000)
-                if (met[at] + some > 65_535).any():
+                sums = met.take(at) + some
+                if (sums > 65_535).any():
                     yield from out()
-                    met[:] = 0
-                met[at] += some.astype(np.uint16)
+                    met[:], sums = 0, some
+                met[at] = sums
     yield from out()
 
 
@@ -307,12 +375,15 @@ def feature_tables(train: DataFrame, near: np.ndarray, levels: int, rows: int) -
 # ---- training
 
 
-def slopes(shares: np.ndarray, value: list[np.ndarray], bucket: list[np.ndarray], digit: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def slopes(logits: Logits, level: int, at: np.ndarray, place: np.ndarray, path: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The gradient of the log likelihood by kind and bucket: values seen less values expected."""
-    z = level_logits(shares, value, bucket, weights)
-    p = np.exp(z - log_total(z)[:, None])
-    at = np.arange(len(digit))
-    return np.stack([np.bincount(b, v[at, digit] - np.einsum("ij,ij->i", v, p), BUCKETS) for v, b in zip(value, bucket)])
+    value, z = logits.of(level, at, place, path, weights)
+    p, total = exp_sums(z)
+    here = np.arange(0, z.size, WAYS) + digit_of(path, level)
+    seen = value.reshape(len(KINDS), -1).take(here, axis=1)
+    value *= p
+    seen -= value @ np.ones(WAYS, value.dtype) / total
+    return STEP * np.bincount(place.ravel(), seen.ravel(), len(KINDS) * BUCKETS)
 
 
 class Steps:
@@ -338,20 +409,23 @@ def _train_task(batches: Iterator[pa.RecordBatch], near: np.ndarray, tables: np.
     The first steps take few positions each, so that small inputs make steps too; from then on ``most``.
     """
     hasher, steps, met, rows = WordHasher(), Steps(weights, rate), 0, tables.shape[1]
-    tables = tables.reshape(2 * rows, WAYS + 1)
+    logits, near = Logits(tables.reshape(2 * rows, WAYS + 1), shares), Places(near)
     for batch in pieces(batches, 0, 1 << 20):
         t = tokens_of(batch.column(0).to_pylist(), hasher)
         h, other = histories(t, near), (1 - half_of(t.hashes, t.sizes)[t.text]) * rows
-        mode = modes(t, h, tables, other, rows, len(shares))
-        a = 0
-        while a < len(t.path):
-            z = slice(a, a + min(most, 128 << int(steps.n[0]) // 16))
-            a = z.stop
-            path, part = t.path[z], [x[z] for x in h]
-            for level in range(len(shares)):
-                share = shares[level][path >> 4 * (MOST_LEVELS - level)]
-                value, bucket = values(tables, [r + other[z] for r in rows_of(part, path, level, rows)], share, mode[z])
-                steps.take(level, slopes(share, value, bucket, digit_of(path, level), steps.weights[level]) / len(path))
+        mode = logits.modes(t, h, other, rows)
+        for s in cuts(0, len(t.path), SOUGHT):
+            path, a = t.path[s], 0
+            at, place = logits.found(h[:, s], path, mode[s], other[s], rows)
+            while a < len(path):
+                end = min(a + min(most, 128 << int(steps.n[0]) // 16), len(path))
+                wide, total = spread(steps.weights), np.zeros((len(shares), len(KINDS) * BUCKETS))
+                for z in cuts(a, end):
+                    for level in logits.levels:
+                        total[level] += slopes(logits, level, at[level, :, z], place[level, :, z], path[z], wide[level])
+                for level in logits.levels:
+                    steps.take(level, total[level].reshape(len(KINDS), BUCKETS) / (end - a))
+                a = end
         met += len(t.path)
     if met:
         yield pa.record_batch({"met": pa.array([met], pa.int64()), "weights": pa.array([(steps.weights * met).ravel().tolist()], pa.list_(pa.float64()))})
@@ -399,60 +473,56 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = 1, rate: float = 0.03
         for r in sums:
             weights.ravel()[r["k"]] = r["w"] / r["met"]
     sent.unpersist()
-    order = np.argsort(words)
+    order = np.argsort(words.view(np.uint64))
     return Model(levels, shares, near, tables[2].copy(), weights, mass, words[order], times[order], n, distinct)
 
 
 # ---- scoring
 
 
-def shape_of(model: Model, t: Tokens, size: int = 2048) -> np.ndarray:
+def shape_of(model: Model, logits: Logits, near: Places, t: Tokens) -> np.ndarray:
     """log10 of P(path | history) less the path's mass, for every token."""
-    h, out = histories(t, model.near), np.empty(len(t.path))
-    mode = modes(t, h, model.table, 0, len(model.table), model.levels)
-    for a in range(0, len(t.path), size):
-        z = slice(a, a + size)
-        path, part = t.path[z], [x[z] for x in h]
-        total = np.zeros(len(path))
-        for level in range(model.levels):
-            share = model.shares[level][path >> 4 * (MOST_LEVELS - level)]
-            value, bucket = values(model.table, rows_of(part, path, level, len(model.table)), share, mode[z])
-            logit = level_logits(share, value, bucket, model.weights[level])
-            total += logit[np.arange(len(path)), digit_of(path, level)] - log_total(logit)
-        out[z] = total / LOG10
-    return out - model.mass[t.path >> 4 * (MOST_LEVELS - model.levels)]
+    h, out, rows = histories(t, near), np.zeros(len(t.path)), len(model.table)
+    mode, wide = logits.modes(t, h, 0, rows), spread(model.weights)
+    for s in cuts(0, len(t.path), SOUGHT):
+        at, place = logits.found(h[:, s], t.path[s], mode[s], 0, rows)
+        for z in cuts(0, at.shape[2]):
+            path = t.path[s][z]
+            for level in logits.levels:
+                _, logit = logits.of(level, at[level, :, z], place[level, :, z], path, wide[level])
+                out[s][z] += logit.ravel().take(np.arange(0, logit.size, WAYS) + digit_of(path, level))
+                out[s][z] -= np.log(exp_sums(logit)[1])
+    return out / LOG10 - model.mass[t.path >> 4 * (MOST_LEVELS - model.levels)]
 
 
 SCORED = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counted", pa.float64()), ("shaped", pa.float64())])
 
 
-def _find(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+def _find(model: Model, words: Places, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """For each token: is its word's count here, and which."""
-    hashes = t.hashes.view(np.int64)
+    at = words.of(t.hashes)
     if not len(model.words):
-        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-    at = np.searchsorted(model.words, hashes)
-    at[at == len(model.words)] = 0
-    return model.words[at] == hashes, model.counts[at]
+        return at >= 0, np.zeros(len(at), np.int64)
+    return at >= 0, model.counts.take(at, mode="clip")
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Rows (id, part, doc_id, text): sums over the paths of all tokens and over the words whose counts are here."""
-    hasher = WordHasher()
+    hasher, logits, near, words = WordHasher(), Logits(model.table, model.shares), Places(model.near), Places(model.words.view(np.uint64))
     for batch in pieces(batches, 3, 1 << 20):
         t, n = tokens_of(batch.column(3).to_pylist(), hasher), batch.num_rows
-        here, c = _find(model, t)
+        here, c = _find(model, words, t)
         known = np.where(here, np.log10(c + 0.5), 0)
-        sums = [pa.array(t.sizes), pa.array(np.bincount(t.text, here, n).astype(np.int64)), pa.array(np.bincount(t.text, known, n)), pa.array(np.bincount(t.text, shape_of(model, t), n))]
+        sums = [pa.array(t.sizes), pa.array(np.bincount(t.text, here, n).astype(np.int64)), pa.array(np.bincount(t.text, known, n)), pa.array(np.bincount(t.text, shape_of(model, logits, near, t), n))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sums], schema=SCORED)
 
 
 def _rare(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """(hash, id, part) of every token whose count was not sent."""
-    hasher = WordHasher()
+    hasher, words = WordHasher(), Places(model.words.view(np.uint64))
     for batch in pieces(batches, 2, 2 << 20):
         t = tokens_of(batch.column(2).to_pylist(), hasher)
-        rare = np.flatnonzero(~_find(model, t)[0])
+        rare = np.flatnonzero(words.of(t.hashes) < 0)
         of = pa.array(t.text[rare])
         yield pa.record_batch({"hash": pa.array(t.hashes[rare].view(np.int64)), "id": batch.column(0).take(of), "part": batch.column(1).take(of)})
 
