@@ -14,10 +14,11 @@ On the cluster the same division is made in two places:
    over all their shingles with DivideSkip.
 
 Steps: equal sets are one node from the start. Rounds of (2) join what they can, each node in one
-of its lists, blocks bounded in size. Where lists then still hold several components, their nodes
-are searched among the nodes of every other component with which they share enough lists, small
-components taken together, so no link is lost. No pair is ever a row, and a task sends on at most
-one edge a node.
+of its lists, blocks bounded in size. Where lists then still hold several components, nodes are
+searched among those of every large component with which they share enough lists. Pairs of nodes of
+small components are rows if their sizes fit: the lists they share and then their bitmaps bound
+their overlap, and only pairs that both bounds leave open are searched by their texts, so no link is
+lost. A task sends on at most one edge a node.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ HEAP_MOST = 256
 #: Of a set of n shingles n * MEET // 100 short lists must be shared with a partner, 1 at least.
 MEET = 5
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SHINGLES = 4096, 24 << 20, 3_000_000
-HOME_NODES = 256
+#: Components of more open nodes are large.
+SMALL_NODES = 64
+#: Nodes of a list that one task pairs with the rest of it.
+SLICE = 256
 
 
 def needed(n: int, percent: int) -> int:
@@ -63,6 +67,35 @@ def least_meets(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * MEET / 100))
 
 
+def least_shared(n: Column, m: Column, percent: int) -> Column:
+    """The short lists that linked sets of n and m shingles share at least.
+
+    Of the two short prefixes one ends first in the common order. What its set shares beyond it lies among the
+    T - h shingles that are not in its prefix.
+    """
+    both = F.ceil(percent * (n + m) / (100 + percent))
+    beyond = [F.ceil(k * percent / 100) - F.greatest(F.lit(1), F.floor(k * MEET / 100)) for k in (n, m)]
+    return both - F.greatest(*beyond)
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bit by bit (of the least power of two that is 64 and the set's size at least) whether an odd number of the set's shingles falls on it."""
+    size = 64
+    while size < len(shingles):
+        size *= 2
+    return (np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """False only if sets of n and m shingles with these bitmaps cannot link: every differing bit is a shingle that one of them lacks."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.count_nonzero(x != y))
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
+
+
 def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     """The shingles whose lists are short lists of this set: the first n - T + h, hot ones last."""
     n = len(shingles)
@@ -323,6 +356,21 @@ def _against(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
     yield from search()
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The bitmap of each node of rows (node, text)."""
+    shingler = Shingler(words)
+    for batch in pieces(batches, 1, 2 << 20):
+        found = [(node, np.packbits(bitmap(s)).tobytes()) for node, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1).to_pylist())) if set_id(s) == node]
+        yield pa.record_batch({"node": pa.array([n for n, _ in found], pa.int64()), "bits": pa.array([b for _, b in found], pa.binary())})
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, other, n, m, bits, other_bits) those that may link, as (node, other)."""
+    for batch in batches:
+        keep = [may_link(*(np.unpackbits(np.frombuffer(b, np.uint8)) for b in (x, y)), n, m, percent) for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _nodes_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The node and text of rows (id, text) that have a shingle."""
     shingler = Shingler(words)
@@ -406,34 +454,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _left_links(spark: SparkSession, lists: DataFrame, labels: DataFrame | None, some: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between labels that still share short lists, found among all their nodes that do.
 
-    Every label has a home: a large one its own, small ones share homes of about HOME_NODES nodes.
-    Of two homes with open lists in common, the smaller one's nodes that share enough lists with the
-    other's together visit it, and small labels visit their own home; so rows grow with nodes and
-    homes, not with pairs. A home is searched in chunks of bounded size.
+    A large label is a home. Of two homes with open lists in common, the smaller one's nodes that share enough lists
+    with the other's together visit it, and so do nodes of small labels; so rows grow with nodes and large labels, not
+    with pairs. Of two nodes of small labels that may link the smaller one is the other's home. A home is searched
+    in chunks of bounded size.
     """
     rows = _labelled(lists, labels).select("shingle", "node", "n", "label")
     rows = stash(rows, "open-lists")
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"))
-    sizes = nodes.groupBy("label").agg(F.count("*").alias("nodes"))
-    small = F.col("nodes") <= HOME_NODES // 4
-    few = sizes.where(small).agg(F.sum("nodes").alias("n")).first()["n"] or 0
-    shared = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-few // HOME_NODES))))
-    housed = stash(nodes.join(sizes, "label").select("node", "label", "n", small.alias("small"), F.when(small, shared).otherwise(F.col("label")).alias("home")), "homes")
-    homes = housed.groupBy("home").agg(F.count("*").alias("nodes"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
-    placed = rows.select("shingle", "node").join(housed, "node").join(homes.select("home", "nodes"), "home")
-    spans = placed.groupBy("shingle", "home", "nodes").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnsRenamed({"home": "to", "nodes": "to_nodes"})
-    fewer = (F.col("nodes") < F.col("to_nodes")) | ((F.col("nodes") == F.col("to_nodes")) & (F.col("home") < F.col("to")))
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("nodes"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+    large = stash(sizes.where(F.col("nodes") > SMALL_NODES).withColumnRenamed("label", "home"), "homes")
+    held = stash(rows.join(large.select(F.col("home").alias("label"), "nodes"), "label", "left"), "housed-lists")
+    inside = held.where("nodes is not null")
+    spans = inside.groupBy("shingle", F.col("label").alias("to"), F.col("nodes").alias("to_nodes")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    own = F.coalesce("nodes", F.lit(0))
+    fewer = (own < F.col("to_nodes")) | ((own == F.col("to_nodes")) & (F.col("label") < F.col("to")))
     fits = (F.col("n") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("n") * 100)
-    visits = placed.join(spans, "shingle").where(fewer & fits).groupBy("node", "to").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("label").alias("label"))
-    visits = visits.where(F.col("met") >= least_meets(F.col("n"), percent)).select("node", F.col("to").alias("home"), "label")
-    visits = stash(visits.unionByName(housed.where("small").select("node", "home", "label")), "visits")
-    called = visits.select("home").distinct().join(homes.select("home", "chunks"), "home")
-    members = housed.join(called, "home").select("home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("visitor"), "node", "label")
+    met = held.join(spans, "shingle").where(fewer & fits).groupBy("node", "to").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("label").alias("label"))
+    visits = met.where(F.col("met") >= least_meets(F.col("n"), percent)).select("node", F.col("to").alias("home"), "label")
+    visits = stash(visits, "visits")
+    called = visits.select("home").distinct().join(large.select("home", "chunks"), "home")
+    members = inside.select("node", F.col("label").alias("home")).distinct().join(called, "home").select("home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("visitor"), "node", F.col("home").alias("label"))
     visitors = visits.join(called, "home").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "node", "label")
-    dealt = members.unionByName(visitors).join(some, "node").select("home", "chunk", "visitor", "node", "label", "text")
+
+    pairs = stash(_pairs(held.where("nodes is null").select("shingle", "node", "n", "label"), some, words, percent), "pairs")
+    asked = pairs.select(F.col("other").alias("home"), F.lit(0).alias("visitor"), F.col("other").alias("node")).distinct()
+    guests = pairs.select(F.col("other").alias("home"), F.lit(1).alias("visitor"), "node")
+    paired = asked.unionByName(guests).join(nodes.select("node", "label"), "node").select("home", F.lit(0).cast("long").alias("chunk"), "visitor", "node", "label")
+    dealt = members.unionByName(visitors).unionByName(paired).join(some, "node").select("home", "chunk", "visitor", "node", "label", "text")
     dealt = dealt.repartition(parts_wanted(spark), "home", "chunk").sortWithinPartitions("home", "chunk", "visitor")
     return stash(dealt.mapInArrow(lambda b: _against(b, words, percent), "u long, v long"), "links")
 
 
+def _pairs(rows: DataFrame, some: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, other): nodes of different labels in rows (shingle, node, n, label) that may link, by the lists they share and by their bitmaps.
+
+    A list is paired in slices, so a long one is many short groups.
+    """
+    slices = rows.groupBy("shingle").agg(F.ceil(F.count("*") / SLICE).alias("slices"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "slices")
+    rows = stash(rows.join(slices, "shingle"), "paired-lists")
+    others = rows.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    rows = rows.select("shingle", "node", "n", "label", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"))
+    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))
+    met = rows.join(others, ["shingle", "slice"]).where((F.col("label") != F.col("to")) & once & (F.col("n") * 100 >= F.col("m") * percent))
+    found = met.groupBy("node", "other", "n", "m").agg(F.count("*").alias("met")).where(F.col("met") >= least_shared(F.col("n"), F.col("m"), percent))
+    found = stash(found.select("node", "other", "n", "m"), "met-pairs")
+    named = found.select("node").union(found.select("other")).distinct()
+    bits = stash(some.join(named, "node").select("node", "text").mapInArrow(lambda b: _bitmaps(b, words), "node long, bits binary").dropDuplicates(["node"]), "bitmaps")
+    both = found.join(bits, "node").join(bits.select(F.col("node").alias("other"), F.col("bits").alias("other_bits")), "other").select("node", "other", "n", "m", "bits", "other_bits")
+    return both.mapInArrow(lambda b: _open_pairs(b, percent), "node long, other long")
+
+
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return jaccard_components(docs.select("doc_id", "text"), words=4, percent=85)
